@@ -66,6 +66,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end]: a polynomial in an odd base modulo 2^64, by differences of one running sum."""
+    if not len(start):
+        return np.zeros(0, _U)
+    n = len(buf)
+    total = np.zeros(n + 1, _U)
+    np.cumsum(_BYTE[buf] * _power("up", _BASE, n), out=total[1:])
+    h = (total[end] - total[start]) * _power("down", _BASE_INV, n + 1)[start]
+    return mix(h + (end - start).astype(_U))
+
+
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of pieces of a string column without nulls; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,8 +100,8 @@ class Words:
 
     __slots__ = ("buf", "end", "first", "start")
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, is_word: np.ndarray):
-        self.buf = LOWER[raw]
+    def __init__(self, raw: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool = True):
+        self.buf = LOWER[raw] if lower else raw
         n = len(raw)
         inside = is_word[self.buf]
         before = np.zeros(n, bool)
@@ -109,13 +120,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, _U)
-        n = len(self.buf)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _power("down", _BASE_INV, n)[self.start]
-        return mix(h + (self.end - self.start).astype(_U))
+        return hash_spans(self.buf, self.start, self.end)
 
 
 def hash_words(texts: list[str], is_word: np.ndarray) -> list[np.ndarray]:
