@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import _text as tx
+from quire.llm.components import folder
 
 SIZE = 1024
 SALTS = 64
@@ -242,13 +243,6 @@ def place(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id
     return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
 
 
-def folder(spark) -> None:
-    """The shared checkpoint folder that the cluster names; one of our own only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 def pack(documents: DataFrame, paths: tuple[str, str] | None = None, size: int = SIZE) -> DataFrame:
     """Where each piece of each document goes: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontamination, licenses, packing
+from quire.llm import chat, decontamination, jaccard, licenses, lines, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_table(spark, sf_dir, "documents"), k=4, percent=85).drop("node")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.find_licenses(_table(spark, sf_dir, "documents")))
 
@@ -32,9 +36,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(lines.dedup_lines(_table(spark, sf_dir, "documents")))
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op5_chat_format, op8_benchmark_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_license_scan, op5_chat_format, op8_benchmark_decontamination, op9_packing, op10_fuzzy_line_dedup)}
