@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontamination, jaccard, licenses, lines, packing
+from quire.llm import chat, decontamination, jaccard, licenses, lines, lm, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows))
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -45,4 +49,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_license_scan, op5_chat_format, op8_benchmark_decontamination, op9_packing, op10_fuzzy_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_license_scan, op5_chat_format, op7_ppm_scores, op8_benchmark_decontamination, op9_packing, op10_fuzzy_line_dedup)}
