@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontamination, jaccard, licenses, lines, lm, packing
+from quire.llm import chat, decontamination, jaccard, licenses, lines, lm, oracles, packing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents"), k=4, percent=85).drop("node")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages"))))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.find_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -28,6 +36,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"))
 
@@ -44,9 +56,31 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.dedup_lines(_table(spark, sf_dir, "documents")))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+_ALL = (
+    op1_ngram_jaccard_join,
+    op2_warc_revisits,
+    op3_license_scan,
+    op4_quality_classifier,
+    op5_chat_format,
+    op6_exact_topk,
+    op7_ppm_scores,
+    op8_benchmark_decontamination,
+    op9_packing,
+    op10_fuzzy_line_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_license_scan, op5_chat_format, op7_ppm_scores, op8_benchmark_decontamination, op9_packing, op10_fuzzy_line_dedup)}
+    return {f.__name__: f for f in _ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Those that SQL can express; the others are tested against brute force."""
+    return {
+        "op1_ngram_jaccard_join": oracles.JACCARD,
+        "op2_warc_revisits": warc.ORACLE_SQL,
+        "op3_license_scan": oracles.licenses(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD),
+        "op5_chat_format": oracles.CHAT,
+        "op6_exact_topk": oracles.TOPK,
+        "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+    }
