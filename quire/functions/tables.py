@@ -126,9 +126,9 @@ def json_csv(json: Column) -> Column:
 
 def markdown_csv(md: Column) -> Column:
     """CSV of a Markdown table; escaped pipes split cells all the same, rows of dashes go."""
-    line = F.filter(F.transform(F.split(md, r"\r\n|[\n\r\x0B\x0C\u0085  ]"), F.trim), lambda x: x.contains("|"))
+    line = F.filter(F.transform(F.split(md, r"\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]"), lambda x: F.trim(x)), lambda x: x.contains("|"))
     bare = F.transform(line, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\|", ""), r"\|\z", ""))
-    cells = F.transform(bare, lambda x: F.transform(F.split(x, r"\|"), F.trim))
+    cells = F.transform(bare, lambda x: F.transform(F.split(x, r"\|"), lambda c: F.trim(c)))
     rows = F.filter(cells, lambda r: ~F.forall(r, lambda c: c.rlike("^:?-{3,}:?$")))
     return F.when(is_blank(md), "").otherwise(csv_rows(rows))
 

@@ -6,9 +6,10 @@ go through one Python function; pages are bounded and independent. Judging and r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +90,15 @@ def boxes(lines: DataFrame) -> DataFrame:
 def infer_tables(lines: DataFrame) -> DataFrame:
     """doc_id and the tables of each page: id, page, title, markdown, html, rows, source 'ocr'; numbered within the page."""
 
-    def infer(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line_no", kind="stable")
-        found = page_tables(page[["text", "x0", "x1", "y0", "y1"]].to_dict("records"))
-        return pd.DataFrame({"doc_id": [page["doc_id"].iloc[0]] * len(found), "page_no": [page["page_no"].iloc[0]] * len(found), "block": range(len(found)), "rows": found})
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, k, rows) for i, page in enumerate(b.column("lines").to_pylist()) for k, rows in enumerate(page_tables(page))]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page_no").take(at), pa.array([k for _, k, _ in found], pa.int32()), pa.array([r for _, _, r in found], pa.list_(pa.list_(pa.string())))], ["doc_id", "page_no", "block", "rows"])
 
     doc_type = dict(lines.dtypes)["doc_id"]
-    raw = boxes(lines).groupBy("doc_id", "page_no").applyInPandas(infer, f"doc_id {doc_type}, page_no int, block int, rows array<array<string>>")
+    pages = boxes(lines).groupBy("doc_id", F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "x0", "x1", "y0", "y1"))).alias("lines"))
+    raw = pages.mapInArrow(infer, f"doc_id {doc_type}, page_no int, block int, rows array<array<string>>")
     good = raw.withColumn("rows", tb.normalise_rows(F.col("rows"))).where(tb.judge(tb.shape(F.col("rows"))))
     seq = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("block"))
     return good.withColumn("seq", seq).select("doc_id", F.inline(F.array(tb.table_struct(F.col("page_no"), F.col("seq"), F.col("rows"), F.lit("ocr")))))

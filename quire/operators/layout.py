@@ -58,12 +58,17 @@ def widest_gap(centers: Column) -> Column:
     return F.when(F.size(gap) > 0, F.struct(best["gap"].alias("gap"), (-best["minus"]).alias("at"), best["split"].alias("split")))
 
 
-def is_two_column(l: Column) -> Column:
-    """12 lines, 8 of column width, and between their centres a gap of 12 % of the page with three lines on either side."""
-    width = metrics(l)["page_width"]
-    centers = F.array_sort(F.transform(F.filter(l, lambda x: (x["width"] >= width * 0.18) & (x["width"] <= width * 0.65)), lambda x: x["center_x"]))
-    g, n = widest_gap(centers), F.size(centers)
-    return F.coalesce((F.size(l) >= 12) & (n >= 8) & (g["gap"] >= width * 0.12) & (g["at"] + 1 >= 3) & (n - g["at"] - 1 >= 3), F.lit(False))
+def detect(pages: DataFrame) -> DataFrame:
+    """pages with m (metrics) and two: 12 lines, 8 of column width, and between their centres a gap of 12 % of the page with three lines on either side.
+
+    Each step is a column of its own, so no expression is worked out, or written down, more than once.
+    """
+    pages = pages.withColumn("m", metrics(F.col("lines")))
+    width, n, g = F.col("m.page_width"), F.size("_centers"), F.col("_gap")
+    pages = pages.withColumn("_centers", F.array_sort(F.transform(F.filter("lines", lambda x: (x["width"] >= width * 0.18) & (x["width"] <= width * 0.65)), lambda x: x["center_x"])))
+    pages = pages.withColumn("_gap", widest_gap(F.col("_centers")))
+    two = (F.size("lines") >= 12) & (n >= 8) & (g["gap"] >= width * 0.12) & (g["at"] + 1 >= 3) & (n - g["at"] - 1 >= 3)
+    return pages.withColumn("two", F.coalesce(two, F.lit(False))).drop("_centers", "_gap")
 
 
 def row_numbers(l: Column, tolerance: float = ROW_TOLERANCE) -> Column:
@@ -78,47 +83,45 @@ def row_numbers(l: Column, tolerance: float = ROW_TOLERANCE) -> Column:
     return F.aggregate(l, start, step, lambda acc: acc["rows"])
 
 
-def _sorted_by(l: Column, *fields: str) -> Column:
+def sorted_by(l: Column, *fields: str) -> Column:
+    """Lines by some of their fields; equal ones keep their order."""
     keyed = F.transform(l, lambda x, i: F.struct(*(x[f].alias(f"k{n}") for n, f in enumerate(fields)), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed, lambda a, b: _compare(a, b, len(fields))), lambda s: s["x"])
-
-
-def _compare(a: Column, b: Column, n: int) -> Column:
-    out = a["i"] - b["i"]
-    for k in reversed(range(n)):
-        out = F.when(a[f"k{k}"] < b[f"k{k}"], -1).when(a[f"k{k}"] > b[f"k{k}"], 1).otherwise(out)
-    return out
-
-
-def single_column(l: Column) -> Column:
-    """Rows from top to bottom, lines of a row from left to right."""
-    s = _sorted_by(l, "center_y", "left")
-    rows = row_numbers(s)
-    keyed = F.zip_with(s, rows, lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x.alias("x")))
-    return F.transform(_sorted_by(keyed, "row", "left"), lambda k: k["x"])
-
-
-def two_columns(l: Column) -> Column:
-    """Header, full-width lines above the columns, left column, right column, other full-width lines, footer."""
-    m = metrics(l)
-    top, bottom = F.array_min(F.transform(l, lambda x: x["top"])), F.array_max(F.transform(l, lambda x: x["bottom"]))
-    height = F.greatest(F.lit(1.0), bottom - top)
-    is_header, is_footer = (lambda x: x["bottom"] <= top + height * 0.18), (lambda x: x["top"] >= bottom - height * 0.12)
-    wide = lambda x: x["width"] >= m["page_width"] * 0.72
-    header, footer = F.filter(l, is_header), F.filter(l, is_footer)
-    body = F.filter(l, lambda x: ~is_header(x) & ~is_footer(x))
-    full, narrow = _sorted_by(F.filter(body, wide), "top", "left"), _sorted_by(F.filter(body, lambda x: ~wide(x)), "top", "left")
-    split = widest_gap(F.array_sort(F.transform(narrow, lambda x: x["center_x"])))["split"]
-    is_left = lambda x: F.coalesce(x["center_x"] <= split, F.lit(True))
-    left, right = F.filter(narrow, is_left), F.filter(narrow, lambda x: ~is_left(x))
-    anchor = F.array_min(F.transform(narrow, lambda x: x["top"])) + F.greatest(F.lit(12.0), m["median_height"] * 1.5)
-    leads = lambda x: F.coalesce(x["bottom"] <= anchor, F.lit(True))
-    return F.concat(single_column(header), F.filter(full, leads), single_column(left), single_column(right), F.filter(full, lambda x: ~leads(x)), single_column(footer))
-
-
-def reading_order(l: Column, mode: Column) -> Column:
-    """Notices have one column always; other pages are looked at."""
-    return F.when((mode != "notice") & is_two_column(l), two_columns(l)).otherwise(single_column(l))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def single(pages: DataFrame, lines: str, to: str) -> DataFrame:
+    """pages with the lines of a column in one-column order: rows from top to bottom, each from left to right. Also <to>_rows, the row of each line by height."""
+    pages = pages.withColumn("_sorted", sorted_by(F.col(lines), "center_y", "left")).withColumn(f"{to}_rows", row_numbers(F.col("_sorted")))
+    keyed = F.zip_with("_sorted", f"{to}_rows", lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x.alias("x")))
+    return pages.withColumn("_keyed", sorted_by(keyed, "row", "left")).withColumn(to, F.transform("_keyed", lambda k: k["x"])).drop("_sorted", "_keyed")
+
+
+def two_columns(pages: DataFrame, to: str) -> DataFrame:
+    """pages (with m) with their lines in two-column order: header, full-width lines above the columns, left column, right column, other full-width lines, footer."""
+    pages = pages.withColumn("_top", F.array_min(F.transform("lines", lambda x: x["top"]))).withColumn("_bottom", F.array_max(F.transform("lines", lambda x: x["bottom"])))
+    height = F.greatest(F.lit(1.0), F.col("_bottom") - F.col("_top"))
+    pages = pages.withColumn("_low", F.col("_top") + height * 0.18).withColumn("_high", F.col("_bottom") - height * 0.12)
+    is_header, is_footer = (lambda x: x["bottom"] <= F.col("_low")), (lambda x: x["top"] >= F.col("_high"))
+    wide = lambda x: x["width"] >= F.col("m.page_width") * 0.72
+    body = F.filter("lines", lambda x: ~is_header(x) & ~is_footer(x))
+    pages = pages.withColumn("_header", F.filter("lines", is_header)).withColumn("_footer", F.filter("lines", is_footer)).withColumn("_body", body)
+    pages = pages.withColumn("_full", sorted_by(F.filter("_body", wide), "top", "left")).withColumn("_narrow", sorted_by(F.filter("_body", lambda x: ~wide(x)), "top", "left"))
+    pages = pages.withColumn("_centers", F.array_sort(F.transform("_narrow", lambda x: x["center_x"]))).withColumn("_split", widest_gap(F.col("_centers"))["split"])
+    is_left = lambda x: F.coalesce(x["center_x"] <= F.col("_split"), F.lit(True))
+    pages = pages.withColumn("_left", F.filter("_narrow", is_left)).withColumn("_right", F.filter("_narrow", lambda x: ~is_left(x)))
+    pages = pages.withColumn("_anchor", F.array_min(F.transform("_narrow", lambda x: x["top"])) + F.greatest(F.lit(12.0), F.col("m.median_height") * 1.5))
+    for part in ("_header", "_left", "_right", "_footer"):
+        pages = single(pages, part, f"{part}_in_order")
+    leads = lambda x: F.coalesce(x["bottom"] <= F.col("_anchor"), F.lit(True))
+    whole = F.concat("_header_in_order", F.filter("_full", leads), "_left_in_order", "_right_in_order", F.filter("_full", lambda x: ~leads(x)), "_footer_in_order")
+    pages = pages.withColumn(to, whole)
+    return pages.drop(*(c for c in pages.columns if c.startswith("_")))
+
+
+def order(pages: DataFrame, to: str = "in_order") -> DataFrame:
+    """pages (with mode) in reading order. Notices have one column always; other pages are looked at."""
+    pages = two_columns(single(detect(pages), "lines", "one"), "both")
+    return pages.withColumn(to, F.when((F.col("mode") != "notice") & F.col("two"), F.col("both")).otherwise(F.col("one"))).drop("one", "one_rows", "both")
 
 
 def keeps_line(line: Column, mode: Column, min_score: float = MIN_SCORE, min_length: int = 1) -> Column:
@@ -145,7 +148,7 @@ def parse_pages(lines: DataFrame, modes: DataFrame) -> DataFrame:
     modes has doc_id and clean_mode; documents without one are general. A page whose lines have no text has empty texts.
     """
     pages = gather(lines).join(modes.select("doc_id", tx.clean_mode(F.col("clean_mode")).alias("mode")), "doc_id", "left")
-    pages = pages.withColumn("mode", F.coalesce("mode", F.lit("general"))).withColumn("ordered", F.filter(reading_order(F.col("lines"), F.col("mode")), lambda x: keeps_line(x, F.col("mode"))))
+    pages = order(pages.withColumn("mode", F.coalesce("mode", F.lit("general")))).withColumn("ordered", F.filter("in_order", lambda x: keeps_line(x, F.col("mode"))))
     pages = pages.withColumn("preclean_text", stitch(F.col("ordered")))
     return pages.select(
         "doc_id",
@@ -155,7 +158,7 @@ def parse_pages(lines: DataFrame, modes: DataFrame) -> DataFrame:
         tx.display_text(F.col("preclean_text"), F.col("mode")).alias("display_text"),
         tx.rag_text(F.col("preclean_text"), F.col("mode")).alias("clean_text_for_rag"),
         F.col("mode").alias("clean_mode"),
-        ((F.col("mode") != "notice") & is_two_column(F.col("lines"))).alias("is_two_column"),
+        ((F.col("mode") != "notice") & F.col("two")).alias("is_two_column"),
         F.col("line_count").alias("ocr_line_count"),
         F.size("ordered").cast("long").alias("filtered_line_count"),
         F.transform("ordered", lambda x: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), x["score"].alias("score"), x["bbox"].alias("bbox"))).alias("lines"),

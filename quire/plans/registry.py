@@ -78,7 +78,7 @@ def _kind(spark_type: str) -> str:
     return {"string": "varchar", "int": "integer", "long": "bigint", "double": "double", "boolean": "boolean"}[t]
 
 
-def scalar(name: str, fixture: Fixture, sql: str, **columns: Callable[..., Column]) -> None:
+def scalar(name: str, fixture: Fixture, sql: str, /, **columns: Callable[..., Column]) -> None:
     """A query of expressions over a fixture; sql selects the same from {t}."""
     if name in QUERIES:
         raise ValueError(f"two queries are called {name}")
