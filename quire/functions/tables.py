@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import CJK, is_blank, strip
+from quire.functions.text import CJK, is_blank, let, strip
 
 _EMPTY = "array<array<string>>"
 
@@ -13,11 +13,14 @@ _EMPTY = "array<array<string>>"
 def normalise_rows(rows: Column) -> Column:
     """Cells stripped (null as empty), empty rows dropped, rows padded to the widest, columns that are empty throughout dropped."""
     some = lambda r: F.exists(r, lambda c: c != "")
-    r = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit(""))))), some)
-    width = F.array_max(F.transform(r, F.size))
-    kept = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(r, lambda x: F.coalesce(F.get(x, i), F.lit("")) != ""))
-    padded = F.transform(r, lambda x: F.transform(kept, lambda i: F.coalesce(F.get(x, i), F.lit(""))))
-    return F.when(F.size(r) > 0, padded).otherwise(F.array().cast(_EMPTY))
+    clean = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit(""))))), some)
+
+    def squared(r: Column) -> Column:
+        kept = F.filter(F.sequence(F.lit(0), F.array_max(F.transform(r, F.size)) - 1), lambda i: F.exists(r, lambda x: F.coalesce(F.get(x, i), F.lit("")) != ""))
+        padded = let(kept, lambda k: F.transform(r, lambda x: F.transform(k, lambda i: F.coalesce(F.get(x, i), F.lit("")))))
+        return F.when(F.size(r) > 0, padded).otherwise(F.array().cast(_EMPTY))
+
+    return let(clean, squared)
 
 
 def is_prose(c: Column) -> Column:
@@ -28,31 +31,37 @@ def is_prose(c: Column) -> Column:
 def shape(rows: Column) -> Column:
     """Statistics of normalised rows, over rows with two filled cells at least."""
     filled = lambda r: F.filter(r, lambda c: c != "")
-    kept = F.filter(rows, lambda r: F.size(filled(r)) >= 2)
-    cells = F.flatten(F.transform(kept, filled))
-    share = lambda test: F.size(F.filter(cells, test)) / F.size(cells)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    cols = F.array_max(F.transform(rows, F.size))
-    short_first = F.filter(kept, lambda r: (F.length(F.get(r, 0)) <= 28) | F.get(r, 0).endswith(":") | F.get(r, 0).endswith("："))
-    return F.struct(
-        F.size(rows).alias("n_rows"),
-        cols.alias("n_cols"),
-        F.size(kept).alias("kept"),
-        F.size(F.filter(kept, lambda r: F.size(filled(r)) >= 3)).alias("three"),
-        F.size(cells).alias("cells"),
-        (F.size(cells) / (F.size(kept) * cols)).alias("density"),
-        (total(F.transform(cells, F.length)) / F.size(cells)).alias("avg_chars"),
-        share(lambda c: F.length(c) <= 32).alias("short"),
-        share(lambda c: F.length(c) >= 56).alias("long"),
-        share(lambda c: c.rlike(r"(?U)\d")).alias("numeric"),
-        share(is_prose).alias("prose"),
-        (F.size(short_first) / F.size(kept)).alias("short_first"),
-        (total(F.transform(cells, F.length)) / F.size(kept)).alias("row_chars"),
-    )
+    is_short = lambda c: (F.length(c) <= 28) | c.endswith(":") | c.endswith("：")
+
+    def of(kept: Column, cells: Column, cols: Column) -> Column:
+        share = lambda test: F.size(F.filter(cells, test)) / F.size(cells)
+        return F.struct(
+            F.size(rows).alias("n_rows"),
+            cols.alias("n_cols"),
+            F.size(kept).alias("kept"),
+            F.size(F.filter(kept, lambda r: F.size(filled(r)) >= 3)).alias("three"),
+            F.size(cells).alias("cells"),
+            (F.size(cells) / (F.size(kept) * cols)).alias("density"),
+            (total(F.transform(cells, F.length)) / F.size(cells)).alias("avg_chars"),
+            share(lambda c: F.length(c) <= 32).alias("short"),
+            share(lambda c: F.length(c) >= 56).alias("long"),
+            share(lambda c: c.rlike(r"(?U)\d")).alias("numeric"),
+            share(is_prose).alias("prose"),
+            (F.size(F.filter(kept, lambda r: is_short(F.get(r, 0)))) / F.size(kept)).alias("short_first"),
+            (total(F.transform(cells, F.length)) / F.size(kept)).alias("row_chars"),
+        )
+
+    some = lambda kept: let(F.flatten(F.transform(kept, filled)), lambda cells: F.when(F.size(cells) > 0, of(kept, cells, F.array_max(F.transform(rows, F.size)))))
+    return let(F.filter(rows, lambda r: F.size(filled(r)) >= 2), some)
+
+
+def judge(stats: Column) -> Column:
+    """Whether statistics from shape() are a table's."""
+    return F.coalesce(let(stats, _judged), F.lit(False))
 
 
-def judge(s: Column) -> Column:
-    """Whether statistics from shape() are a table's."""
+def _judged(s: Column) -> Column:
     wide = (
         (s["kept"] >= 3)
         & (s["three"] >= F.greatest(F.lit(2), F.floor(s["kept"] * F.lit(0.35))))
@@ -68,7 +77,7 @@ def judge(s: Column) -> Column:
 
 
 def is_probable(rows: Column) -> Column:
-    return judge(shape(normalise_rows(rows)))
+    return F.coalesce(let(normalise_rows(rows), lambda r: judge(shape(r))), F.lit(False))
 
 
 def markdown(rows: Column) -> Column:

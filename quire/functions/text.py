@@ -33,6 +33,11 @@ CHAPTER = r"([^\n])\n(第[0-9一二三四五六七八九十百零两]+[章节编
 NUMBERED_HEADING = r"([^\n])\n((?:(?U:\d)+|[一二三四五六七八九十]+)[、.．](?U:\s)*[一-龥])"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 

@@ -109,11 +109,11 @@ def inferred(t):
 
 
 query("x50_infer_tables")(inferred)
-query("j11_row_clusters", "select l_orderkey as doc_id, count(distinct l_linenumber) as n_rows from lineitem group by 1 having count(distinct l_linenumber) >= 3 and count(*) = count(distinct l_linenumber)")(
-    lambda t: infer.infer_tables(grid_lines(t).join(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_distinct("l_linenumber").alias("d"), F.count("*").alias("n")).where("d = n and d >= 3"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.sum(F.size("rows")).alias("n_rows"))
+query("j11_row_clusters", "select l_orderkey as doc_id, count(distinct l_linenumber) as n_rows from lineitem group by 1 having count(distinct l_linenumber) >= 3 and count(*) = count(distinct l_linenumber) and max(l_linenumber) = count(*)")(
+    lambda t: infer.infer_tables(grid_lines(t).join(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_distinct("l_linenumber").alias("d"), F.count("*").alias("n"), F.max("l_linenumber").alias("m")).where("d = n and d >= 3 and m = n"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.sum(F.size("rows")).alias("n_rows"))
 )
-query("j09_cells_by_anchor", "select l_orderkey as doc_id, string_agg(l_linenumber || ' ' || l_returnflag || ' ' || l_quantity::integer || ' ' || l_linestatus, '|' order by l_linenumber) as cells from lineitem group by 1 having count(distinct l_linenumber) >= 3 and count(*) = count(distinct l_linenumber)")(
-    lambda t: infer.infer_tables(grid_lines(t).join(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_distinct("l_linenumber").alias("d"), F.count("*").alias("n")).where("d = n and d >= 3"), "doc_id", "left_semi")).select("doc_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "|").alias("cells"))
+query("j09_cells_by_anchor", "select l_orderkey as doc_id, string_agg(l_linenumber || ' ' || l_returnflag || ' ' || l_quantity::integer || ' ' || l_linestatus, '|' order by l_linenumber) as cells from lineitem group by 1 having count(distinct l_linenumber) >= 3 and count(*) = count(distinct l_linenumber) and max(l_linenumber) = count(*)")(
+    lambda t: infer.infer_tables(grid_lines(t).join(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_distinct("l_linenumber").alias("d"), F.count("*").alias("n"), F.max("l_linenumber").alias("m")).where("d = n and d >= 3 and m = n"), "doc_id", "left_semi")).select("doc_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "|").alias("cells"))
 )
 query("u06_tables_of_all_pages")(lambda t: infer.infer_tables(grid_lines(t)).groupBy("doc_id").agg(F.count("*").alias("n")))
 query("a13_column_anchors")(lambda t: infer.infer_tables(grid_lines(t)).select("doc_id", F.size(F.get("rows", 0)).alias("n_cols")))
