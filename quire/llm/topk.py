@@ -23,10 +23,12 @@ from quire.llm import _text as tx
 
 K, SCALE = 5, 256
 CELL, BLOCK = 16_384, 2_048
-#: Shares of the lists read before bounds are compared; at 1 all scores are known.
-STEPS = (0.125, 0.25, 0.5, 0.75, 1.0)
-#: So many vectors for each result may be left when reading stops.
+#: Shares of the lists read before bounds are compared. What is left after the last is resolved in full.
+STEPS = (0.25, 0.5, 0.75)
+#: So many vectors for each result, or an eighth of the cell, may be left when reading stops; they get their final scores.
 FEW = 64
+#: Queries whose bounds are held at once.
+QUERIES = 128
 
 
 class Lists:
@@ -34,55 +36,71 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
         self.ids, self.copies, self.vectors = ids, copies, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T  # by dimension, ascending
-        self.sorted = np.take_along_axis(vectors.T, self.order, 1)
-
-    def best(self, q: np.ndarray, own: tuple[int, int], k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best vectors for query q, except its own."""
-        n = len(self.ids)
-        own = (self.ids == own[0]) & (self.copies == own[1])
-        left = np.flatnonzero(~own)
-        if n > FEW * k:
-            lowest = np.minimum(q * self.sorted[:, 0], q * self.sorted[:, -1])  # contributions at the lists' ends
-            up = q > 0
+        self.order = np.argsort(vectors, axis=0, kind="stable")  # of each dimension, ascending
+        largest = max(1.0, float(np.abs(vectors).max(initial=0)))
+        # sums of products that fit the narrower float exactly are added up in it
+        self.kind = np.float32 if largest**2 * vectors.shape[1] < 1 << 23 else np.float64
+
+    def read(self, depth: int) -> tuple[np.ndarray, ...]:
+        """For lists read to a depth from the top, and from the bottom: what has been read, over the frontier and over the far end; then frontiers and ends."""
+        n, d = self.vectors.shape
+        v, columns = self.vectors.astype(self.kind), np.arange(d)
+        low, high = v.min(0), v.max(0)
+        out = []
+        for part, edge, end in ((self.order[n - depth :], v[self.order[n - depth], columns], low), (self.order[:depth], v[self.order[depth - 1], columns], high)):
+            seen = np.zeros((n, d), bool)
+            seen[part, columns] = True
+            out += [np.where(seen, v - edge, 0), np.where(seen, v - end, 0), edge, end]
+        return tuple(out)
+
+    def best(self, queries: np.ndarray, own: list[tuple[int, int]], k: int) -> Iterator[list[tuple[int, int]]]:
+        """(id, score) of the k best vectors for each query, except its own.
+
+        All queries of the block read the lists to the same depths, so what they have read is added up by matrix products:
+        where a component is positive its list is read from the top, where it is negative from the bottom.
+        """
+        n, few = len(self.ids), max(FEW * k, len(self.ids) // 8)
+        left: list[np.ndarray | None] = [None] * len(queries)
+        if n > few:
+            up, down = np.maximum(queries, 0).astype(self.kind), np.minimum(queries, 0).astype(self.kind)
+            open_ = np.arange(len(queries))
             for step in STEPS:
-                depth = min(n, int(np.ceil(step * n)))
-                if depth == n:
+                top_edge, top_end, edge_up, end_up, low_edge, low_end, edge_down, end_down = self.read(min(n, int(np.ceil(step * n))))
+                still = []
+                for a in range(0, len(open_), QUERIES):
+                    part = open_[a : a + QUERIES]
+                    u, w = up[part], down[part]
+                    above = u @ top_edge.T + w @ low_edge.T + (u @ edge_up + w @ edge_down)[:, None]
+                    below = u @ top_end.T + w @ low_end.T + (u @ end_up + w @ end_down)[:, None]
+                    # its own row may be among the k best, so k + 1 lower bounds are passed
+                    bar = np.partition(below, n - k - 1, axis=1)[:, n - k - 1] if n > k else np.full(len(part), -np.inf)
+                    for i, x in enumerate(part):
+                        left[x] = np.flatnonzero(above[i] >= bar[i])
+                        if len(left[x]) > few:
+                            still.append(x)
+                open_ = np.array(still, np.int64)
+                if not len(open_):
                     break
-                rows, read = [], []
-                frontier = np.zeros(len(q))
-                for d in np.flatnonzero(q):
-                    part = slice(n - depth, n) if up[d] else slice(0, depth)
-                    rows.append(self.order[d, part])
-                    read.append(q[d] * self.sorted[d, part])
-                    frontier[d] = read[-1][0] if up[d] else read[-1][-1]
-                if not rows:
-                    break
-                at = np.concatenate(rows)
-                known = np.concatenate(read)
-                width = np.repeat(np.flatnonzero(q), depth)
-                above = frontier.sum() + np.bincount(at, known - frontier[width], n)
-                below = lowest.sum() + np.bincount(at, known - lowest[width], n)
-                bar = np.partition(below[~own], -k)[-k] if n - own.sum() >= k else -np.inf
-                left = np.flatnonzero((above >= bar) & ~own)
-                if len(left) <= FEW * k:
-                    break
-        score = self.vectors[left] @ q
-        if len(left) > k:
-            bar = np.partition(score, -k)[-k]
-            left, score = left[score >= bar], score[score >= bar]
-        order = np.lexsort((self.copies[left], self.ids[left], -score))[:k]
-        return [(int(self.ids[left[i]]), int(score[i])) for i in order]
+        for x, (q, o) in enumerate(zip(queries, own, strict=True)):
+            rest = np.arange(n) if left[x] is None else left[x]
+            rest = rest[(self.ids[rest] != o[0]) | (self.copies[rest] != o[1])]
+            score = self.vectors[rest] @ q
+            if len(rest) > k:
+                bar = np.partition(score, len(rest) - k)[len(rest) - k]
+                rest, score = rest[score >= bar], score[score >= bar]
+            order = np.lexsort((self.copies[rest], self.ids[rest], -score))[:k]
+            yield [(int(self.ids[rest[i]]), int(score[i])) for i in order]
 
 
 def _search(k: int):
     def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and vectors.num_rows:
-            dense = lambda t: np.array(t.column("v").to_pylist(), np.int64).reshape(t.num_rows, -1)
+            dense = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             lists = Lists(vectors.column("vec_id").to_numpy(), vectors.column("copy").to_numpy(), dense(vectors))
-            for i, c, q in zip(queries.column("vec_id").to_pylist(), queries.column("copy").to_pylist(), dense(queries), strict=True):
-                out += [(i, c, v, s) for v, s in lists.best(q, (i, c), k)]
+            own = list(zip(queries.column("vec_id").to_pylist(), queries.column("copy").to_pylist(), strict=True))
+            for (i, c), best in zip(own, lists.best(dense(queries), own, k), strict=True):
+                out += [(i, c, v, s) for v, s in best]
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_copy", "vec_id", "score"), columns, strict=True)})
 
@@ -92,7 +110,8 @@ def _search(k: int):
 def nearest(embeddings: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by ``every`` the k best other rows.
 
-    Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Rows that repeat are
+    Vectors that are null or hold null or non-finite components (or ones beyond 2^26 / scale, whose products leave 64 bits
+    in few dimensions), and rows without vec_id, take no part. Rows that repeat are
     rows of their own: each is a query, and each may be the other's result. Vectors are compared with those of equal length
     only. Fewer than k other rows give fewer results; an empty table gives none. Columns other than vec_id and embedding are
     ignored, whatever their names.
@@ -100,8 +119,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = K, scale: int = SCA
     spark = embeddings.sparkSession
     tx.importable(spark)
     x = embeddings["embedding"].cast("array<double>")
-    whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).try_cast("long"))
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & ((F.abs(c) * scale < float(1 << 26))))
     rows = embeddings.where(fine & embeddings["vec_id"].isNotNull()).select(embeddings["vec_id"].cast("long").alias("vec_id"), whole.alias("v"))
     rows = _numbered(rows)
     sizes = {r["d"]: (r["n"], r["q"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}  # a row for each length
