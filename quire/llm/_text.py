@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4000
+BATCH_ROWS = 2000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 5)
@@ -37,11 +38,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds the batches they get."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    # whole texts go to Python in batches: fewer rows each, so that JVM and worker hold a few megabytes
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:

@@ -35,7 +35,7 @@ _TOKEN = _U((1 << 52) - 1)
 MOST_GROUPS = 256
 LEAF = 32
 #: Shingles counted together in a task, and the share of their documents from which on a shingle is broad.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 BROAD = 1000
 #: The order's exceptions; what isn't among them is ordered by its hash alone.
 MOST_BROAD = 1 << 16
