@@ -1,8 +1,8 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (lower case, runs of other characters than letters and digits become one blank). Lines that normalise
-alike are one line. A line's SimHash has 63 bits, from the 64-bit hashes of its words; bits are counted in parallel, as
-lanes of longs (the sign bit stays free, so sums can't overflow). Two lines link if their SimHashes differ in at most DISTANCE bits and the edit similarity of their
+alike are one line. A line's SimHash has 63 bits, from the weighted 64-bit hashes of its words; bits are counted in
+parallel, as lanes of longs (the sign bit stays free, so sums can't overflow). Two lines link if their SimHashes differ in at most DISTANCE bits and the edit similarity of their
 normalised forms is at least 0.8. Of every connected group the first occurrence stays (lowest doc_id, then line).
 
 With DISTANCE + 2 blocks of bits, lines that link agree in at least two blocks; each pair of blocks is a key of about 26
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from quire.llm.components import connected, folder
 
 DISTANCE = 3
+#: Words of five characters or more weigh more: function words are much the same in all lines.
+LONG_WORD, LONG_WEIGHT = 5, 4
 #: Edit similarity is 1 - distance / length of the longer one, in fifths: at most one fifth may differ.
 FIFTH = 5
 #: The edit distance of longer lines counts words instead of characters.
-MOST_CHARACTERS = 2000
+MOST_CHARACTERS = 256
 #: Up to so many lines are sent to every task to pick their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1 << 20
 
@@ -36,28 +38,50 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _majority(hashes: Column, n: Column, lane: int) -> Column:
-    """Which of the low 63 bits more than half of the hashes have; for fewer than 2^(lane-1) hashes."""
-    ones = F.lit(sum(1 << i for i in range(0, BITS, lane))).cast("long")
-    start = F.struct(*(F.lit(0).cast("long").alias(f"c{k}") for k in range(lane)))
-    add = lambda acc, h: F.struct(*((acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"c{k}") for k in range(lane)))
-    # a lane's top bit shows whether its count is over half, once what is missing to that bit has been added
-    lift = (F.lit((1 << (lane - 1)) - 1).cast("long") - F.floor(n / 2)) * ones
+def _weight(word: Column) -> Column:
+    return F.when(F.length(word) >= LONG_WORD, F.lit(LONG_WEIGHT)).otherwise(F.lit(1)).cast("long")
+
 
-    def finish(acc: Column) -> Column:
-        out = None
-        for k in range(lane):
-            bits = F.shiftleft(F.shiftrightunsigned(acc[f"c{k}"] + lift, lane - 1).bitwiseAND(ones), k)
-            out = bits if out is None else out.bitwiseOR(bits)
-        return out
+def _ones(lane: int) -> Column:
+    return F.lit(sum(1 << i for i in range(0, BITS, lane))).cast("long")
 
-    return F.aggregate(hashes, start, add, finish)
+
+def _counts(h: Column, weight: Column, lane: int) -> list[Column]:
+    """A hash's bits, as lanes of longs: the k-th holds bits k, k + lane, ..."""
+    return [F.shiftrightunsigned(h, k).bitwiseAND(_ones(lane)) * weight for k in range(lane)]
+
+
+def _majority(counts: list[Column], weight: Column) -> Column:
+    """Which of the low 63 bits have more than half of the weight; counts has as many longs as a lane has bits."""
+    lane, out = len(counts), None
+    # a lane's top bit shows whether its count is over half, once what is missing to that bit has been added
+    lift = (F.lit((1 << (lane - 1)) - 1).cast("long") - F.floor(weight / 2)) * _ones(lane)
+    for k, c in enumerate(counts):
+        bits = F.shiftleft(F.shiftrightunsigned(c + lift, lane - 1).bitwiseAND(_ones(lane)), k)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
 
 
 def simhash(words: Column) -> Column:
-    """SimHash of an array of words."""
-    hashes, n = F.transform(words, lambda w: F.xxhash64(w)), F.size(words)
-    return F.when(n < 1 << 8, _majority(hashes, n, 9)).when(n < 1 << 20, _majority(hashes, n, 21)).otherwise(_majority(hashes, n, 63))
+    """SimHash of an array of words, in one expression and for any number of them; slower than simhashes()."""
+    zero, names = F.lit(0).cast("long"), [f"c{k}" for k in range(BITS)]
+    start = F.struct(*(zero.alias(n) for n in names), zero.alias("w"))
+    add = lambda acc, w: F.struct(*((acc[n] + c).alias(n) for n, c in zip(names, _counts(F.xxhash64(w), _weight(w), BITS), strict=True)), (acc["w"] + _weight(w)).alias("w"))
+    return F.aggregate(words, start, add, lambda acc: _majority([acc[n] for n in names], acc["w"]))
+
+
+def simhashes(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and bits, the SimHash of each row's text; keys must tell the rows apart.
+
+    A row's words are counted where the row is, three lanes to a long, so only the counts go through the shuffle.
+    """
+    lane = BITS // 3
+    most = (1 << (lane - 1)) // LONG_WEIGHT  # words that a lane can count; what has more takes its text along
+    words = F.split(text, " ")
+    fits = F.size(words) < most
+    word = lines.select(*keys, F.when(~fits, F.col(text)).alias("long"), F.explode(F.when(fits, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, "long", F.xxhash64("w").alias("h"), _weight(F.col("w")).alias("w"))
+    sums = word.groupBy(*keys, "long").agg(*(F.sum(c).alias(f"c{k}") for k, c in enumerate(_counts(F.col("h"), F.col("w"), lane))), F.sum("w").alias("w"))
+    return sums.select(*keys, F.when(F.col("long").isNull(), _majority([F.col(f"c{k}") for k in range(lane)], F.col("w"))).otherwise(simhash(F.split("long", " "))).alias("bits"))
 
 
 def _keys(bits: Column) -> Column:
@@ -69,30 +93,43 @@ def _keys(bits: Column) -> Column:
     return F.array(*(F.lit(p << 26).cast("long") + F.shiftleft(blocks[i], 13) + blocks[j] for p, (i, j) in enumerate(combinations(range(len(_WIDTHS)), 2))))
 
 
+def _first_key(a: str, b: str) -> Column:
+    """The number of the first key that two SimHashes share."""
+    at, same, out = 0, [], None
+    for w in _WIDTHS:
+        same.append(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), at).bitwiseAND(F.lit((1 << w) - 1).cast("long")) == 0)
+        at += w
+    for p, (i, j) in enumerate(combinations(range(len(_WIDTHS)), 2)):
+        out = F.when(same[i] & same[j], p) if out is None else out.when(same[i] & same[j], p)
+    return out
+
+
 def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
-def similar(a: str, b: str) -> Column:
-    """Edit similarity of two normalised lines of at least 0.8."""
-    whole = F.expr(f"levenshtein({a}, {b}, cast(greatest(length({a}), length({b})) div {FIFTH} as int)) >= 0")
+def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Those pairs (a, b) whose normalised lines, in the columns a and b name, have an edit similarity of at least 0.8."""
+    within = lambda x, y: F.expr(f"levenshtein({x}, {y}, cast(greatest(length({x}), length({y})) div {FIFTH} as int)) >= 0")
     # one character for each word: 20,000 of them, none a surrogate
     symbol = lambda w: F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00)), "UTF-16BE")
     short = lambda c: F.array_join(F.transform(F.split(c, " "), symbol), "")
-    worded = F.levenshtein(short(F.col(a)), short(F.col(b))) * FIFTH <= F.greatest(F.size(F.split(a, " ")), F.size(F.split(b, " ")))
-    return F.when((F.length(a) <= MOST_CHARACTERS) & (F.length(b) <= MOST_CHARACTERS), whole).otherwise(worded)
+    short_lines = (F.length(a) <= MOST_CHARACTERS) & (F.length(b) <= MOST_CHARACTERS)
+    by = lambda c: F.when(short_lines, F.col(c)).otherwise(short(c)).alias(c)
+    return pairs.select("a", "b", by(a), by(b)).where(within(a, b)).select("a", "b")
 
 
 def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b), by k1, that connect all lines that the full set of links connects."""
     keyed = distinct.select(F.explode(_keys(F.col("bits"))).alias("key"), "k1", "bits", "n")
     order = Window.partitionBy("key").orderBy(F.desc("n"), "k1")
-    led = keyed.withColumns({"leader": F.first("k1").over(order), "leader_bits": F.first("bits").over(order)}).where("k1 <> leader")
-    others = led.select("key", "k1", "bits", "leader", _near("bits", "leader_bits").alias("near")).checkpoint()
+    led = keyed.withColumns({"leader": F.first("k1").over(order), "leader_bits": F.first("bits").over(order), "size": F.count("*").over(Window.partitionBy("key"))}).where("k1 <> leader")
+    # a line that is far from its leader matters only if there is a third
+    others = led.withColumn("near", _near("bits", "leader_bits")).where("near or size > 2").select("key", "k1", "bits", "leader", "near").checkpoint()
     first = _verified(others.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b")).distinct(), distinct, docs).checkpoint()
-    # lines that don't link with their leader: against every other line under the key
+    # lines that don't link with their leader: against every other line under the key, each pair under its first key only
     unlinked = others.join(first.select(F.col("a").alias("k1"), F.col("b").alias("leader")), ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("bits").alias("a_bits"))
-    rest = unlinked.join(others.select("key", F.col("k1").alias("b"), F.col("bits").alias("b_bits")), "key").where((F.col("a") != F.col("b")) & _near("a_bits", "b_bits"))
+    rest = unlinked.join(others.select("key", F.col("k1").alias("b"), F.col("bits").alias("b_bits")), "key").where((F.col("a") != F.col("b")) & _near("a_bits", "b_bits") & (F.shiftright("key", 26) == _first_key("a_bits", "b_bits")))
     second = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), distinct, docs)
     return first.unionAll(second)
 
@@ -104,9 +141,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     at = distinct.join(wanted, "k1").select("k1", "first.doc_id", "first.fp", "first.line").checkpoint()
     if at.count() <= BROADCAST_LINES:
         at = F.broadcast(at)
-    text = docs.join(at, ["doc_id", "fp"]).select("k1", normalised(F.get(F.split("text", "\n"), F.col("line"))).alias("t")).dropDuplicates(["k1"]).checkpoint()
+    text = docs.join(at, ["doc_id", "fp"]).select("k1", normalised(F.get(F.split("text", "\n"), F.col("line"))).alias("t")).checkpoint()
     both = pairs.join(text.select(F.col("k1").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("k1").alias("b"), F.col("t").alias("tb")), "b")
-    return both.where(similar("ta", "tb")).select("a", "b")
+    return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -120,7 +157,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     folder(spark)
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["text"]).alias("fp"), documents["text"].cast("string").alias("text"))
     line = docs.where("text is not null").select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "fp", "line", normalised(F.col("t")).alias("t")).where("t <> ''")
-    lines = line.select("doc_id", "fp", "line", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), simhash(F.split("t", " ")).alias("bits")).checkpoint()
+    line = line.select("doc_id", "fp", "line", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), "t", F.monotonically_increasing_id().alias("row"))
+    lines = simhashes(line, ["row", "doc_id", "fp", "line", "k1", "k2"], "t").drop("row").checkpoint()
     distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "fp", "line")).alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits")).checkpoint()
     groups = connected(_links(distinct, docs))
     # the occurrence that stays, of every line that occurs again or is linked
@@ -129,12 +167,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     again = distinct.where("n > 1").join(groups.select(F.col("node").alias("k1")), "k1", "left_anti").select("k1", "k2", F.col("first").alias("kept"))
     repeated = lines.join(kept.unionAll(again), ["k1", "k2"]).where(~F.struct("doc_id", "fp", "line").eqNullSafe(F.col("kept")))
     dropped = repeated.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("line")).alias("dropped")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("dropped").alias("_dropped"))
-    rest = documents.withColumn("_hash", F.xxhash64("text")).join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_fp")), "left").withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
+    rest = documents.withColumn("_hash", F.xxhash64("text")).join(dropped.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_fp")), "left").withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
     split = F.split("text", "\n")
     stay = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_dropped")), lambda i: F.get(split, i)), "\n")
     names = [c for c in documents.columns if c not in ("n_lines", "dropped")]
     new = {"text": F.when(F.size("_dropped") == 0, F.col("text")).otherwise(stay).alias("text")}
-    return rest.select(*(new.get(c, F.col(f"`{c}`")) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.col("_dropped").alias("dropped"))
+    return rest.select(*(new.get(c, F.col(f"`{c}`")) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.col("_dropped").alias("dropped"))
 
 
 def report(deduped: DataFrame) -> DataFrame:
