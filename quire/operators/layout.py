@@ -58,17 +58,22 @@ def widest_gap(centers: Column) -> Column:
     return F.when(F.size(gap) > 0, F.struct(best["gap"].alias("gap"), (-best["minus"]).alias("at"), best["split"].alias("split")))
 
 
+def bind(pages: DataFrame, name: str, value: Column) -> DataFrame:
+    """pages with a column that the optimizer doesn't write out again wherever it is used: one element, exploded."""
+    return pages.withColumn(name, F.explode(F.array(value)))
+
+
 def detect(pages: DataFrame) -> DataFrame:
     """pages with m (metrics) and two: 12 lines, 8 of column width, and between their centres a gap of 12 % of the page with three lines on either side.
 
     Each step is a column of its own, so no expression is worked out, or written down, more than once.
     """
-    pages = pages.withColumn("m", metrics(F.col("lines")))
-    width, n, g = F.col("m.page_width"), F.size("_centers"), F.col("_gap")
-    pages = pages.withColumn("_centers", F.array_sort(F.transform(F.filter("lines", lambda x: (x["width"] >= width * 0.18) & (x["width"] <= width * 0.65)), lambda x: x["center_x"])))
-    pages = pages.withColumn("_gap", widest_gap(F.col("_centers")))
+    pages = pages.withColumn("m", metrics(F.col("lines"))).withColumn("page_width", metrics(F.col("lines"))["page_width"]).withColumn("median_height", metrics(F.col("lines"))["median_height"])
+    width, n, g = F.col("page_width"), F.size("_centers"), F.col("_gap")
+    pages = pages.transform(bind, "_centers", F.array_sort(F.transform(F.filter("lines", lambda x: (x["width"] >= width * 0.18) & (x["width"] <= width * 0.65)), lambda x: x["center_x"])))
+    pages = pages.transform(bind, "_gap", widest_gap(F.col("_centers")))
     two = (F.size("lines") >= 12) & (n >= 8) & (g["gap"] >= width * 0.12) & (g["at"] + 1 >= 3) & (n - g["at"] - 1 >= 3)
-    return pages.withColumn("two", F.coalesce(two, F.lit(False))).drop("_centers", "_gap")
+    return pages.transform(bind, "two", F.coalesce(two, F.lit(False))).drop("_centers", "_gap")
 
 
 def row_numbers(l: Column, tolerance: float = ROW_TOLERANCE) -> Column:
@@ -91,37 +96,37 @@ def sorted_by(l: Column, *fields: str) -> Column:
 
 def single(pages: DataFrame, lines: str, to: str) -> DataFrame:
     """pages with the lines of a column in one-column order: rows from top to bottom, each from left to right. Also <to>_rows, the row of each line by height."""
-    pages = pages.withColumn("_sorted", sorted_by(F.col(lines), "center_y", "left")).withColumn(f"{to}_rows", row_numbers(F.col("_sorted")))
+    pages = pages.transform(bind, "_sorted", sorted_by(F.col(lines), "center_y", "left")).transform(bind, f"{to}_rows", row_numbers(F.col("_sorted")))
     keyed = F.zip_with("_sorted", f"{to}_rows", lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x.alias("x")))
-    return pages.withColumn("_keyed", sorted_by(keyed, "row", "left")).withColumn(to, F.transform("_keyed", lambda k: k["x"])).drop("_sorted", "_keyed")
+    return pages.transform(bind, "_keyed", sorted_by(keyed, "row", "left")).transform(bind, to, F.transform("_keyed", lambda k: k["x"])).drop("_sorted", "_keyed")
 
 
 def two_columns(pages: DataFrame, to: str) -> DataFrame:
     """pages (with m) with their lines in two-column order: header, full-width lines above the columns, left column, right column, other full-width lines, footer."""
-    pages = pages.withColumn("_top", F.array_min(F.transform("lines", lambda x: x["top"]))).withColumn("_bottom", F.array_max(F.transform("lines", lambda x: x["bottom"])))
+    pages = pages.transform(bind, "_top", F.array_min(F.transform("lines", lambda x: x["top"]))).transform(bind, "_bottom", F.array_max(F.transform("lines", lambda x: x["bottom"])))
     height = F.greatest(F.lit(1.0), F.col("_bottom") - F.col("_top"))
-    pages = pages.withColumn("_low", F.col("_top") + height * 0.18).withColumn("_high", F.col("_bottom") - height * 0.12)
+    pages = pages.transform(bind, "_low", F.col("_top") + height * 0.18).transform(bind, "_high", F.col("_bottom") - height * 0.12)
     is_header, is_footer = (lambda x: x["bottom"] <= F.col("_low")), (lambda x: x["top"] >= F.col("_high"))
-    wide = lambda x: x["width"] >= F.col("m.page_width") * 0.72
+    wide = lambda x: x["width"] >= F.col("page_width") * 0.72
     body = F.filter("lines", lambda x: ~is_header(x) & ~is_footer(x))
-    pages = pages.withColumn("_header", F.filter("lines", is_header)).withColumn("_footer", F.filter("lines", is_footer)).withColumn("_body", body)
-    pages = pages.withColumn("_full", sorted_by(F.filter("_body", wide), "top", "left")).withColumn("_narrow", sorted_by(F.filter("_body", lambda x: ~wide(x)), "top", "left"))
-    pages = pages.withColumn("_centers", F.array_sort(F.transform("_narrow", lambda x: x["center_x"]))).withColumn("_split", widest_gap(F.col("_centers"))["split"])
+    pages = pages.transform(bind, "_header", F.filter("lines", is_header)).transform(bind, "_footer", F.filter("lines", is_footer)).transform(bind, "_body", body)
+    pages = pages.transform(bind, "_full", sorted_by(F.filter("_body", wide), "top", "left")).transform(bind, "_narrow", sorted_by(F.filter("_body", lambda x: ~wide(x)), "top", "left"))
+    pages = pages.transform(bind, "_centers", F.array_sort(F.transform("_narrow", lambda x: x["center_x"]))).transform(bind, "_split", widest_gap(F.col("_centers"))["split"])
     is_left = lambda x: F.coalesce(x["center_x"] <= F.col("_split"), F.lit(True))
-    pages = pages.withColumn("_left", F.filter("_narrow", is_left)).withColumn("_right", F.filter("_narrow", lambda x: ~is_left(x)))
-    pages = pages.withColumn("_anchor", F.array_min(F.transform("_narrow", lambda x: x["top"])) + F.greatest(F.lit(12.0), F.col("m.median_height") * 1.5))
+    pages = pages.transform(bind, "_left", F.filter("_narrow", is_left)).transform(bind, "_right", F.filter("_narrow", lambda x: ~is_left(x)))
+    pages = pages.transform(bind, "_anchor", F.array_min(F.transform("_narrow", lambda x: x["top"])) + F.greatest(F.lit(12.0), F.col("median_height") * 1.5))
     for part in ("_header", "_left", "_right", "_footer"):
         pages = single(pages, part, f"{part}_in_order")
     leads = lambda x: F.coalesce(x["bottom"] <= F.col("_anchor"), F.lit(True))
     whole = F.concat("_header_in_order", F.filter("_full", leads), "_left_in_order", "_right_in_order", F.filter("_full", lambda x: ~leads(x)), "_footer_in_order")
-    pages = pages.withColumn(to, whole)
+    pages = pages.transform(bind, to, whole)
     return pages.drop(*(c for c in pages.columns if c.startswith("_")))
 
 
 def order(pages: DataFrame, to: str = "in_order") -> DataFrame:
     """pages (with mode) in reading order. Notices have one column always; other pages are looked at."""
     pages = two_columns(single(detect(pages), "lines", "one"), "both")
-    return pages.withColumn(to, F.when((F.col("mode") != "notice") & F.col("two"), F.col("both")).otherwise(F.col("one"))).drop("one", "one_rows", "both")
+    return pages.transform(bind, to, F.when((F.col("mode") != "notice") & F.col("two"), F.col("both")).otherwise(F.col("one"))).drop("one", "one_rows", "both")
 
 
 def keeps_line(line: Column, mode: Column, min_score: float = MIN_SCORE, min_length: int = 1) -> Column:
