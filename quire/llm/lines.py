@@ -13,6 +13,7 @@ So every link is found or implied, and a key with many variants of one line give
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +26,8 @@ DISTANCE = 3
 LONG_WORD, LONG_WEIGHT = 5, 4
 #: Edit similarity is 1 - distance / length of the longer one, in fifths: at most one fifth may differ.
 FIFTH = 5
-#: The edit distance of longer lines counts words instead of characters.
-MOST_CHARACTERS = 256
+#: The edit distance counts characters in lines of up to so many: in all.
+MOST_CHARACTERS = sys.maxsize
 #: Up to so many lines are sent to every task to pick their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1 << 20
 
@@ -111,12 +112,7 @@ def _near(a: str, b: str) -> Column:
 def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Those pairs (a, b) whose normalised lines, in the columns a and b name, have an edit similarity of at least 0.8."""
     within = lambda x, y: F.expr(f"levenshtein({x}, {y}, cast(greatest(length({x}), length({y})) div {FIFTH} as int)) >= 0")
-    # one character for each word: 20,000 of them, none a surrogate
-    symbol = lambda w: F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00)), "UTF-16BE")
-    short = lambda c: F.array_join(F.transform(F.split(c, " "), symbol), "")
-    short_lines = (F.length(a) <= MOST_CHARACTERS) & (F.length(b) <= MOST_CHARACTERS)
-    by = lambda c: F.when(short_lines, F.col(c)).otherwise(short(c)).alias(c)
-    return pairs.select("a", "b", by(a), by(b)).where(within(a, b)).select("a", "b")
+    return pairs.where(within(a, b)).select("a", "b")
 
 
 def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:

@@ -394,6 +394,13 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_long_lines_are_judged_by_characters(spark):
+    """Most words of a long line differ in one letter: far apart by words, near by characters."""
+    same = [f"abcdefgh{k}" for k in range(30)]
+    a, b = (" ".join([*same, *(f"a{x}{k}" for k in range(40))]) for x in "xy")
+    assert len(a) > 256 and lines.similar(spark.createDataFrame([(1, 2, a, b), (3, 4, a, b[::-1])], "a long, b long, ta string, tb string"), "ta", "tb").collect() == [(1, 2)]
+
+
 def test_simhash_in_one_expression(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta of the"), (2, "one")], "i int, t string")
     fast = dict(map(tuple, lines.simhashes(df, ["i"], "t").collect()))
