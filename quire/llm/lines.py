@@ -135,9 +135,10 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     pairs = pairs.checkpoint()
     wanted = pairs.select(F.col("a").alias("k1")).unionAll(pairs.select("b")).distinct()
     at = distinct.join(wanted, "k1").select("k1", "first.doc_id", "first.fp", "first.line").checkpoint()
+    at = at.select("k1", F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "line")
     if at.count() <= BROADCAST_LINES:
         at = F.broadcast(at)
-    text = docs.join(at, ["doc_id", "fp"]).select("k1", normalised(F.get(F.split("text", "\n"), F.col("line"))).alias("t")).checkpoint()
+    text = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).select("k1", normalised(F.get(F.split("text", "\n"), F.col("line"))).alias("t")).checkpoint()
     both = pairs.join(text.select(F.col("k1").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("k1").alias("b"), F.col("t").alias("tb")), "b")
     return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 

@@ -394,6 +394,13 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_line_of_a_row_without_doc_id_has_its_links(spark):
+    line = " ".join(f"longword{i}" for i in range(60))
+    data = [(None, line), (1, line), (2, line.replace("longword7 ", "longwordx "))]
+    got = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {None: [], 1: [0], 2: [0]}
+
+
 def test_long_lines_are_judged_by_characters(spark):
     """Most words of a long line differ in one letter: far apart by words, near by characters."""
     same = [f"abcdefgh{k}" for k in range(30)]
