@@ -1,7 +1,7 @@
 """Exact retrieval over an index of chunk vectors, context assembly and prompts.
 
-The index is index(doc_id, ord, embedding, ...); questions are a bounded request (qid, embedding, ...), checked before they
-are sent to every task. Scores accumulate in double and are rounded to six places, so equal vectors tie; ties go to the
+The index is index(doc_id, ord, embedding, ...); questions are (qid, embedding, ...), sent to every task if they are
+few and asked in blocks if not. Scores accumulate in double and are rounded to six places, so equal vectors tie; ties go to the
 document's order, then the chunk's.
 """
 
@@ -23,11 +23,14 @@ PROMPT = ("问题：", "\n\n检索上下文：\n")
 
 
 def score(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every question with every row of the index, with score. questions: qid and q (its vector)."""
-    n = questions.limit(MOST_QUESTIONS + 1).count()
-    if n > MOST_QUESTIONS:
-        raise ValueError(f"more than {MOST_QUESTIONS} questions: ask in blocks")
-    return index.crossJoin(F.broadcast(questions)).withColumn("score", F.round(dot(F.col("embedding"), F.col("q")), 6))
+    """Every question with every row of the index, with score. questions: qid and q (its vector), any number of them.
+
+    Up to MOST_QUESTIONS are sent to every task. More are dealt into even blocks of at most about so many, and each block
+    meets each partition of the index in a task of its own.
+    """
+    n = questions.count()
+    asked = F.broadcast(questions) if n <= MOST_QUESTIONS else questions.repartition(-(-n // MOST_QUESTIONS)).hint("shuffle_replicate_nl")
+    return index.crossJoin(asked).withColumn("score", F.round(dot(F.col("embedding"), F.col("q")), 6))
 
 
 def top_in_document(scored: DataFrame, k: int = 5) -> DataFrame:
