@@ -7,18 +7,21 @@ gets distinct / (total + distinct); after an escape the next shorter context cod
 excluded; below the empty context, what no training text holds shares the rest evenly. The score of a text is the sum of
 log10 probabilities of its bytes and the end.
 
-Counts cover every training text. In a task they are added up per slice and per task, then by Spark. The trie keeps the
-MOST_GRAMS most frequent branches of its contexts of four, of three and of two bytes (a bound on the model's size, not on
-the text counted). As the counts are fixed, escapes and exclusions of each context are worked out once: contexts of up to
-three bytes have a table of all their bytes, and the longest ones a sorted list of their branches.
+Counts cover every training text. In a task they are added up per slice and per task, then by Spark. No counted branch is
+dropped. As the counts are fixed, escapes and exclusions of each context are worked out once. A model of up to MOST_GRAMS
+branches of its longest contexts is sent to every task as a trie: contexts of up to three bytes have a table of all their
+bytes, and the longest ones a sorted list of their branches. A larger model stays in tables, a row for each context and
+each branch, and every gram of the texts gets its probability by joins; no key of these has more than 256 rows a side.
+Both give the same scores, but for rounding.
 
 The unigram base needs the training count of every word of every text, and the vocabulary grows with the corpus. Texts are
-dealt into chunks; each chunk asks once for each of its distinct words, the counts come by a join, and chunk and counts
-meet in one group. No word's rows are more than the number of chunks.
+dealt into chunks; each chunk asks once for each of its distinct words (and grams, if the model is in tables), the answers
+come by a join, and chunk and answers meet in one group. No word's rows are more than the number of chunks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,11 +252,56 @@ class Trie:
         return np.add.reduceat(p, at[:-1])
 
 
-def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = counts.orderBy(F.desc("n"), "key").limit(MOST_GRAMS).toArrow()
+def _all(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = counts.toArrow()
     return t.column("key").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.float64)
 
 
+def _shorter(gram: DataFrame, n: int) -> DataFrame:
+    """Counts of the grams' last n bytes."""
+    return gram.groupBy((F.col("key") % (1 << 8 * n)).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def _contexts(gram: DataFrame, shorter: DataFrame | None, parents: DataFrame | None, order: int) -> DataFrame:
+    """A row for each context of order bytes that the counts have.
+
+    t and d are its total and distinct branches. A byte that has its count n in the context of k - 1 bytes, and in no longer
+    one, gets log10(n) + e{k} - w{k}: e is the sum of the escapes to it, w the weight left there after exclusions. For k = 0
+    no context has the byte, and n is 1. own is the escape from this context if nothing is excluded.
+    """
+    # the branches of a context are branches of the shorter one, too: with what they count there they are excluded there
+    excluded = gram if shorter is None else gram.withColumn("_key", F.col("key") % (1 << 8 * order)).join(shorter.select(F.col("key").alias("_key"), F.col("n").alias("x")), "_key")
+    own = excluded.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"), (F.lit(0) if shorter is None else F.sum("x")).alias("x"))
+    own = own.withColumns({"own": F.log10(F.col("d") / (F.col("t") + F.col("d"))), f"e{order + 1}": F.lit(0.0), f"w{order + 1}": F.log10(F.col("t") + F.col("d"))})
+    if parents is None:
+        return own.drop("x").withColumns({"e0": F.col("own"), "w0": F.log10(F.greatest(256 - F.col("d"), F.lit(1)))})
+    up = parents.select(F.col("context").alias("_up"), *(F.col(c).alias(f"_{c}") for c in parents.columns if c != "context"))
+    distinct = F.col("_d") - F.col("d")
+    left = F.col("_t") - F.col("x") + distinct
+    between = F.when(distinct > 0, F.log10(distinct / left)).otherwise(0.0)
+    both = own.join(up, F.col("context") % (1 << 8 * (order - 1)) == F.col("_up")).withColumns({f"e{order}": F.col("own"), f"w{order}": F.log10(F.greatest(left, F.lit(1)))})
+    both = both.withColumns({f"e{k}": F.col(f"_e{k}") - F.col("_own") + between + F.col("own") for k in range(order)} | {f"w{k}": F.col(f"_w{k}") for k in range(order)})
+    return both.select("context", "t", "d", "own", *(f"{x}{k}" for k in range(order + 2) for x in "ew"))
+
+
+def _probabilities(gram: DataFrame, asked: DataFrame) -> DataFrame:
+    """key and p, the log10 of its last byte's probability behind the others, of every gram (key) asked for."""
+    levels = [*(_shorter(gram, o + 1).checkpoint() for o in range(ORDER)), gram]
+    contexts = p = None
+    for o, level in enumerate(levels):
+        contexts = _contexts(level, levels[o - 1] if o else None, contexts, o).checkpoint()
+        keys = asked.select((F.col("key") % (1 << 8 * (o + 1))).alias("key")).distinct()
+        if p is None:
+            known = keys.withColumns({"k": F.lit(0), "log_n": F.lit(0.0), "p": F.lit(-math.log10(256))})
+        else:
+            known = keys.withColumn("_key", F.col("key") % (1 << 8 * o)).join(p.withColumnRenamed("key", "_key"), "_key").drop("_key")
+        found = known.join(level.select("key", "n"), "key", "left").withColumns({"k": F.when(F.col("n").isNotNull(), o + 1).otherwise(F.col("k")), "log_n": F.when(F.col("n").isNotNull(), F.log10("n")).otherwise(F.col("log_n"))})
+        at = lambda c, o=o: F.get(F.array(*(F.col(f"{c}{k}") for k in range(o + 2))), F.col("k"))
+        in_context = found.withColumn("context", F.shiftright("key", 8)).join(contexts, "context", "left")
+        p = in_context.select("key", "k", "log_n", F.when(F.col("t").isNull(), F.col("p")).otherwise(F.col("log_n") + at("e") - at("w")).alias("p")).checkpoint()
+    return p.select("key", "p")
+
+
 def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS) -> DataFrame:
     """One row per row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -270,8 +318,12 @@ def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOL
     known = counts.where(f"kind = {_WORD}")
     n_train, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     gram = counts.where(f"kind = {_GRAM}").select("key", "n")
-    shorter = lambda n: gram.groupBy((F.col("key") % (1 << 8 * n)).alias("key")).agg(F.sum("n").alias("n"))
-    model = spark.sparkContext.broadcast(Trie(*map(_most_frequent, (gram, shorter(4), shorter(3)))))  # of at most 3 x MOST_GRAMS counts
+    sent = gram.count() <= MOST_GRAMS
+    model = spark.sparkContext.broadcast(Trie(*map(_all, (gram, _shorter(gram, 4), _shorter(gram, 3))))) if sent else None  # no level has more grams than the longest
+    known = known.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("n"))
+    if not sent:
+        of_others = docs.where("held_out").select("text").mapInArrow(_count, "kind int, key long, n long").where(f"kind = {_GRAM}").select("key")
+        known = known.unionAll(_probabilities(gram, gram.select("key").unionAll(of_others).distinct().checkpoint()).select(F.lit(_GRAM), "key", "p"))
 
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(8, -(-total // CHUNK_CHARACTERS))
@@ -279,24 +331,35 @@ def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOL
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each of a partition's chunks."""
-        held: dict[int, np.ndarray] = {}
+        """The distinct words of each of a partition's chunks, and its grams if the model isn't sent."""
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             b = b.sort_by("chunk")
             chunk = b.column("chunk").to_numpy()
             edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(chunk) else []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
-                new = [np.unique(tokens(raw, off)[0]) for _, _, raw, off in tx.slices(b.column("text").slice(a, z - a))]
-                held[int(chunk[a])] = np.unique(np.concatenate([held.get(int(chunk[a]), np.zeros(0, _U)), *new]))
-        for c, own in held.items():
+                texts = b.column("text").slice(a, z - a)
+                for kind, hashes in ((_WORD, tokens),) if sent else ((_WORD, tokens), (_GRAM, grams)):
+                    new = [np.unique(hashes(raw, off)[0]).view(np.int64) for _, _, raw, off in tx.slices(texts)]
+                    held[int(chunk[a]), kind] = np.unique(np.concatenate([held.get((int(chunk[a]), kind), np.zeros(0, np.int64)), *new]))
+        for (c, kind), own in held.items():
             for a in range(0, len(own), 1 << 17):
                 k = own[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int64)), pa.array(k.view(np.int64))], ["chunk", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int64)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k)], ["chunk", "kind", "key"])
 
     def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        ids = counted.column("key").to_numpy().astype(np.int64).view(_U)
-        order = np.argsort(ids)
-        ids, c = ids[order], counted.column("n").to_numpy()[order].astype(np.float64)
+        def answers_of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            own = counted.column("kind").to_numpy() == kind
+            ids = counted.column("key").to_numpy().astype(np.int64)[own].view(_U)
+            order = np.argsort(ids)
+            return ids[order], counted.column("n").to_numpy()[own][order].astype(np.float64)
+
+        (ids, c), (gram_ids, gram_p) = answers_of(_WORD), answers_of(_GRAM)
+
+        def by_tables(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+            key, at = grams(raw, off)
+            return np.add.reduceat(gram_p[np.searchsorted(gram_ids, key.view(_U))], at[:-1])
+
         out = []
         for lo, hi, raw, off in tx.slices(texts.column("text")):
             h, at = tokens(raw, off)
@@ -305,9 +368,9 @@ def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOL
             size = np.diff(at)
             base = np.add.reduceat(np.log10(n + 0.1), at[:-1]) - size * np.log10(n_train + 0.1 * (v + 1))
             rows = texts.slice(lo, hi - lo)
-            out.append(pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64), at[:-1]), "train_tokens": np.full(hi - lo, n_train, np.int64), "base_score": base, "score": model.value.scores(raw, off)}))
+            out.append(pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64), at[:-1]), "train_tokens": np.full(hi - lo, n_train, np.int64), "base_score": base, "score": model.value.scores(raw, off) if sent else by_tables(raw, off)}))
         return pa.concat_tables(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = chunked.mapInArrow(words, "chunk long, key long").join(known.select("key", "n"), "key").select("chunk", "key", "n")
+    answers = chunked.mapInArrow(words, "chunk long, kind int, key long").join(known, ["kind", "key"]).select("chunk", "kind", "key", "n")
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)

@@ -262,6 +262,18 @@ def test_language_model(spark, docs, rows, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_model_in_tables_gives_the_same_scores(docs, monkeypatch):
+    """A model of more grams than are sent keeps them all."""
+    key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["base_score"])
+    for folds in (10, 1):  # with one fold all rows are held out
+        sent = sorted(lm.score_texts(docs, folds=folds).collect(), key=key)
+        with monkeypatch.context() as m:
+            m.setattr(lm, "MOST_GRAMS", -1)
+            tables = sorted(lm.score_texts(docs, folds=folds).collect(), key=key)
+        assert [r[:6] for r in tables] == [r[:6] for r in sent]
+        assert [r["score"] for r in tables] == pytest.approx([r["score"] for r in sent], rel=1e-5)
+
+
 def test_decontamination(spark, docs, rows, empty, monkeypatch):
     items = [("a", rows[0][1][:300]), ("b", "one"), (None, rows[1][1][:200]), ("c", None), ("d", "the of the of the of the of the of the"), ("a", rows[2][1][:400])]
     benchmark = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
