@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that stay; one that loses all its lines with a letter or digit goes. n_chars follows the text."""
-    deduped = lines.dedup_lines(docs).where((F.size("dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    deduped = lines.dedup_lines(docs, bundles=True).where((F.size("dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     chars = {"n_chars": F.when(F.size("dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")} if "n_chars" in docs.columns else {}
     return deduped.select(*(chars.get(c, F.col(f"`{c}`")) for c in docs.columns))
 

@@ -5,6 +5,11 @@ alike are one line. A line's SimHash has 63 bits, from the weighted 64-bit hashe
 parallel, as lanes of longs (the sign bit stays free, so sums can't overflow). Two lines link if their SimHashes differ in at most DISTANCE bits and the edit similarity of their
 normalised forms is at least 0.8. Of every connected group the first occurrence stays (lowest doc_id, then line).
 
+On request, lines are also candidates if they share a bundle of words, as few changed words move many bits of a SimHash but
+leave most bundles alone: in lines of 5-14 words all words but one, in longer ones the words of some of the classes that
+words are dealt to by their hashes. A bundle has at least LEAST_BUNDLE words. Candidates of either kind link by their edit
+similarity alone, so bundles add links and take none away.
+
 With DISTANCE + 2 blocks of bits, lines that link agree in at least two blocks; each pair of blocks is a key of about 26
 bits. Of the lines under one key the most frequent is the leader, and the others are first compared with it. A line that
 doesn't link with its leader is compared with all others under the key; two lines that link with it are connected already.
@@ -31,6 +36,12 @@ MOST_CHARACTERS = sys.maxsize
 #: Up to so many lines are sent to every task to pick their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1 << 20
 
+#: A bundle of fewer words is shared by too many lines that have nothing else in common.
+LEAST_BUNDLE = 4
+#: From so many words on, bundles are three of six classes, two of six, and single ones of about CLASS_WORDS words.
+MIDDLE, LONGER, LONGEST = 15, 30, 60
+CLASS_WORDS, MOST_CLASSES = 6, 128
+
 BITS = 63
 _WIDTHS = (13, 13, 13, 12, 12)
 
@@ -115,17 +126,62 @@ def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(within(a, b)).select("a", "b")
 
 
-def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_bundles(lines: DataFrame, text: str) -> DataFrame:
+    """lines with bundles, an array of keys. A line also has the keys that one with a twentieth of its words less would have."""
+    none, h = F.array().cast("array<long>"), F.col("_hashes")
+    n, fewer = F.col("_n"), F.col("_n") - F.ceil(F.col("_n") / 20).cast("int")
+    within = lambda lo, hi: ((n >= lo) & (n < hi)) | ((fewer >= lo) & (fewer < hi))
+    key = lambda words: F.when(F.size(words) >= LEAST_BUNDLE, F.xxhash64(words))
+    class_ = lambda i, classes: F.filter(h, lambda x: F.pmod(x, classes.cast("long")) == i)
+    without_one = F.transform(F.sequence(F.lit(1), n), lambda i: key(F.concat(F.slice(h, 1, i - 1), F.slice(h, i + 1, n - i))))
+    some_of_six = lambda k: F.array(*(key(F.concat(*(F.get("_six", F.lit(i)) for i in c))) for c in combinations(range(6), k)))
+    classes = lambda size: F.least(F.lit(MOST_CLASSES), F.pow(2.0, F.floor(F.log2(size / CLASS_WORDS))).cast("int"))
+    each = lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda i: key(class_(i, m)))
+    parts = [
+        F.when(within(LEAST_BUNDLE, MIDDLE), F.concat(F.array(key(h)), without_one)).otherwise(none),
+        F.when(within(MIDDLE, LONGER), some_of_six(3)).otherwise(none),
+        F.when(within(LONGER, LONGEST), some_of_six(2)).otherwise(none),
+        F.when(n >= LONGEST, each(classes(n))).otherwise(none),
+        F.when((fewer >= LONGEST) & (classes(n) != classes(fewer)), each(classes(fewer))).otherwise(none),
+    ]
+    hashed = lines.withColumn("_hashes", F.array_sort(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))).withColumn("_n", F.size("_hashes"))
+    six = F.when(within(MIDDLE, LONGEST), F.array(*(class_(F.lit(i), F.lit(6)) for i in range(6))))
+    return hashed.withColumn("_six", six).withColumn("bundles", F.array_distinct(F.array_compact(F.concat(*parts)))).drop("_hashes", "_n", "_six")
+
+
+def _bundled(line: DataFrame) -> DataFrame:
+    """key, k1, length, leader and near, for lines (k1, t) that share a key with others; near: lengths may be similar."""
+    # a plain explode would have its filter pushed down, and with it every array worked out anew at each use
+    keyed = _with_bundles(line.select("k1", "t"), "t").select("k1", F.length("t").alias("length"), F.explode_outer("bundles").alias("key")).where("key is not null")
+    under = Window.partitionBy("key")
+    led = keyed.withColumn("leader", F.min(F.struct("k1", "length")).over(under)).where("k1 <> leader.k1")
+    return led.select("key", "k1", "length", F.col("leader.k1").alias("leader"), _alike("length", "leader.length").alias("near")).distinct()
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether an edit similarity of 0.8 is possible between lines of these lengths."""
+    return F.abs(F.col(a) - F.col(b)) * FIFTH <= F.greatest(a, b)
+
+
+def _links(distinct: DataFrame, docs: DataFrame, bundled: DataFrame | None) -> DataFrame:
     """Links (a, b), by k1, that connect all lines that the full set of links connects."""
     keyed = distinct.select(F.explode(_keys(F.col("bits"))).alias("key"), "k1", "bits", "n")
     order = Window.partitionBy("key").orderBy(F.desc("n"), "k1")
     led = keyed.withColumns({"leader": F.first("k1").over(order), "leader_bits": F.first("bits").over(order), "size": F.count("*").over(Window.partitionBy("key"))}).where("k1 <> leader")
     # a line that is far from its leader matters only if there is a third
     others = led.withColumn("near", _near("bits", "leader_bits")).where("near or size > 2").select("key", "k1", "bits", "leader", "near").checkpoint()
-    first = _verified(others.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b")).distinct(), distinct, docs).checkpoint()
+    first = others.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b"))
+    if bundled is not None:
+        bundled = bundled.checkpoint()
+        first = first.unionAll(bundled.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b")))
+    first = _verified(first.distinct(), distinct, docs).checkpoint()
     # lines that don't link with their leader: against every other line under the key, each pair under its first key only
-    unlinked = others.join(first.select(F.col("a").alias("k1"), F.col("b").alias("leader")), ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("bits").alias("a_bits"))
-    rest = unlinked.join(others.select("key", F.col("k1").alias("b"), F.col("bits").alias("b_bits")), "key").where((F.col("a") != F.col("b")) & _near("a_bits", "b_bits") & (F.shiftright("key", 26) == _first_key("a_bits", "b_bits")))
+    linked = first.select(F.col("a").alias("k1"), F.col("b").alias("leader"))
+    unlinked = others.join(linked, ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("bits").alias("a_bits"))
+    rest = unlinked.join(others.select("key", F.col("k1").alias("b"), F.col("bits").alias("b_bits")), "key").where((F.col("a") != F.col("b")) & _near("a_bits", "b_bits") & (F.shiftright("key", 26) == _first_key("a_bits", "b_bits"))).select("a", "b")
+    if bundled is not None:
+        unlinked = bundled.join(linked, ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("length").alias("a_length"))
+        rest = rest.unionAll(unlinked.join(bundled.select("key", F.col("k1").alias("b"), F.col("length").alias("b_length")), "key").where((F.col("a") != F.col("b")) & _alike("a_length", "b_length")).select("a", "b"))
     second = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), distinct, docs)
     return first.unionAll(second)
 
@@ -143,9 +199,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, bundles: bool = False) -> DataFrame:
     """documents with the text that stays, and n_lines and dropped (line numbers from 0, ascending).
 
+    bundles: whether lines that share a bundle of words are candidates, too.
+
     Lines end at "\\n". Lines without a letter or digit always stay. A null text has no lines and stays null. Rows that
     agree in doc_id and text are treated alike: they keep and lose the same lines. A null doc_id comes before all others. An
     empty table gives an empty table. Other columns are carried along; n_lines and dropped replace columns of these names.
@@ -157,7 +215,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     line = line.select("doc_id", "fp", "line", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), "t", F.monotonically_increasing_id().alias("row"))
     lines = simhashes(line, ["row", "doc_id", "fp", "line", "k1", "k2"], "t").drop("row").checkpoint()
     distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "fp", "line")).alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits")).checkpoint()
-    groups = connected(_links(distinct, docs))
+    groups = connected(_links(distinct, docs, _bundled(line) if bundles else None))
     # the occurrence that stays, of every line that occurs again or is linked
     linked = distinct.join(groups.select(F.col("node").alias("k1"), "root"), "k1").select("k1", "k2", "first", "root")
     kept = linked.join(linked.groupBy("root").agg(F.min("first").alias("kept")), "root").select("k1", "k2", "kept")

@@ -53,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(lines.dedup_lines(_table(spark, sf_dir, "documents")))
+    return lines.report(lines.dedup_lines(_table(spark, sf_dir, "documents"), bundles=True))
 
 
 _ALL = (

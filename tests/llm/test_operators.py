@@ -413,6 +413,22 @@ def test_line_of_a_row_without_doc_id_has_its_links(spark):
     assert got == {None: [], 1: [0], 2: [0]}
 
 
+def test_bundles_link_lines_with_few_changed_words(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    data = []
+    for n in (6, 10, 14, 15, 20, 29, 30, 45, 60, 90, 200):
+        for _ in range(4):
+            w = [word() for _ in range(n)]
+            at = rng.randrange(n)
+            data += [(len(data), " ".join(w)), (len(data) + 1, " ".join([*w[:at], word()[: len(w[at])], *w[at + 1 :]]))]
+    pairs = [(a[1], b[1]) for a, b in zip(data[::2], data[1::2], strict=True)]
+    alike = lines.similar(spark.createDataFrame([(k, k, *p) for k, p in enumerate(pairs)], "a long, b long, ta string, tb string"), "ta", "tb").count()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    gone = lambda **how: lines.dedup_lines(df, **how).where("size(dropped) > 0").count()
+    assert alike >= 40 and gone(bundles=True) == alike and gone() < alike
+
+
 def test_long_lines_are_judged_by_characters(spark):
     """Most words of a long line differ in one letter: far apart by words, near by characters."""
     same = [f"abcdefgh{k}" for k in range(30)]
