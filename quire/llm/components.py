@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def folder(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read back: smaller than a checkpoint where values repeat."""
+    folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the component's smallest node.
 

@@ -1,161 +1,194 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (lower case, runs of other characters than letters and digits become one blank). Lines that normalise
-alike are one line. A line's SimHash has 63 bits, from the weighted 64-bit hashes of its words; bits are counted in
-parallel, as lanes of longs (the sign bit stays free, so sums can't overflow). Two lines link if their SimHashes differ in at most DISTANCE bits and the edit similarity of their
-normalised forms is at least 0.8. Of every connected group the first occurrence stays (lowest doc_id, then line).
-
-On request, lines are also candidates if they share a bundle of words, as few changed words move many bits of a SimHash but
-leave most bundles alone: in lines of 5-14 words all words but one, in longer ones the words of some of the classes that
-words are dealt to by their hashes. A bundle has at least LEAST_BUNDLE words. Candidates of either kind link by their edit
-similarity alone, so bundles add links and take none away.
-
-With DISTANCE + 2 blocks of bits, lines that link agree in at least two blocks; each pair of blocks is a key of about 26
-bits. Of the lines under one key the most frequent is the leader, and the others are first compared with it. A line that
-doesn't link with its leader is compared with all others under the key; two lines that link with it are connected already.
-So every link is found or implied, and a key with many variants of one line gives one row for each and not all pairs.
+alike are one line. Two lines link if they share a block and the edit similarity of their normalised forms is at least
+0.8. Of every connected group the first occurrence stays (lowest doc_id, then line).
+
+One SimHash over all words of a line can't find such lines: a changed word in ten moves about nine of 64 bits, and blocks
+that allow so many are too short to tell lines apart. So a line's distinct words are dealt by their hashes to parts of three
+to six words, and each part's SimHash is one block. A changed word moves the block of its own part and leaves the others
+alone: lines that differ in fewer words than there are parts agree in a block (the pigeonhole argument, on words). Long
+lines have MOST_PARTS blocks, over as many of their parts. A line whose number of words is just below the next number of
+parts has the blocks of that number, too. In lines under SHORT words a part is all words but one (hashed as they are), in
+lines of under FEW words also either half of the characters. This finds links with high, not full, probability; a test
+measures recall against all pairs of lines.
+
+Of the lines under one block the one with the smallest hash leads, and the others are compared with it. Blocks whose lines
+then lie in several connected groups are compared across these groups. So every link is found or implied, and a block
+with many variants of one line gives one row for each and not all pairs.
 """
 
 from __future__ import annotations
 
-import sys
-from itertools import combinations
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.components import connected, folder
+from quire.functions.text import let
+from quire.llm.components import connected, folder, written
 
-DISTANCE = 3
-#: Words of five characters or more weigh more: function words are much the same in all lines.
-LONG_WORD, LONG_WEIGHT = 5, 4
 #: Edit similarity is 1 - distance / length of the longer one, in fifths: at most one fifth may differ.
 FIFTH = 5
-#: The edit distance counts characters in lines of up to so many: in all.
-MOST_CHARACTERS = sys.maxsize
-#: Up to so many lines are sent to every task to pick their texts; more are joined by a shuffle.
-BROADCAST_LINES = 1 << 20
-
-#: A bundle of fewer words is shared by too many lines that have nothing else in common.
-LEAST_BUNDLE = 4
-#: From so many words on, bundles are three of six classes, two of six, and single ones of about CLASS_WORDS words.
-MIDDLE, LONGER, LONGEST = 15, 30, 60
-CLASS_WORDS, MOST_CLASSES = 6, 128
-
-BITS = 63
-_WIDTHS = (13, 13, 13, 12, 12)
+#: Distinct words of a part, and their characters, at least; a line has blocks from LEAST_WORDS on.
+PART_WORDS, PART_CHARS, LEAST_WORDS, MOST_PARTS = 3, 12, 8, 16
+#: Lines of so many distinct words or more must share two blocks, those of twice as many four.
+MANY_WORDS = 24
+#: Lines of fewer distinct words have all words but one as blocks, and of still fewer also halves of so many characters.
+SHORT, FEW, LEAST_HALF = 15, 5, 6
+#: What is left when one word is taken out needs so many characters to be a block.
+LEAST_REST = 8
+#: Up to so many rows of a few longs are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+#: A SimHash has BITS bits; they are counted in parallel, LANE bits for each count, in LANE sums of longs.
+LANE, BITS = 4, 52
+
+#: Words that are looked ahead for where two lines agree again.
+AHEAD = 2
+#: Lines of over LONG characters are compared piece by piece first; a piece is PIECE characters, or a MOST_PIECES-th, and
+#: begins with ANCHOR characters that stand in the other line, up to DRIFT characters from where they are expected.
+LONG, PIECE, MOST_PIECES, ANCHOR, DRIFT = 384, 64, 1024, 16, 32
+
+_LETTER = r"[\p{L}\p{N}]"
+#: Runs to be replaced by a blank: all but single blanks.
+_GAPS = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+"
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
+    return F.trim(F.regexp_replace(F.lower(line), _GAPS, " "))
 
-def _weight(word: Column) -> Column:
-    return F.when(F.length(word) >= LONG_WORD, F.lit(LONG_WEIGHT)).otherwise(F.lit(1)).cast("long")
 
+def _ones() -> Column:
+    return F.lit(sum(1 << i for i in range(0, BITS, LANE))).cast("long")
 
-def _ones(lane: int) -> Column:
-    return F.lit(sum(1 << i for i in range(0, BITS, lane))).cast("long")
 
+def _counts(h: str) -> list[Column]:
+    """A hash's bits, as lanes of longs: the k-th holds bits k, k + LANE, ..."""
+    return [F.shiftrightunsigned(h, k).bitwiseAND(_ones()) for k in range(LANE)]
 
-def _counts(h: Column, weight: Column, lane: int) -> list[Column]:
-    """A hash's bits, as lanes of longs: the k-th holds bits k, k + lane, ..."""
-    return [F.shiftrightunsigned(h, k).bitwiseAND(_ones(lane)) * weight for k in range(lane)]
 
-
-def _majority(counts: list[Column], weight: Column) -> Column:
-    """Which of the low 63 bits have more than half of the weight; counts has as many longs as a lane has bits."""
-    lane, out = len(counts), None
+def _majority(counts: list[Column], n: Column) -> Column:
+    """Which bits more than half of n words have. A count that outgrows its lane still depends on the words alone."""
     # a lane's top bit shows whether its count is over half, once what is missing to that bit has been added
-    lift = (F.lit((1 << (lane - 1)) - 1).cast("long") - F.floor(weight / 2)) * _ones(lane)
+    lift = (F.lit((1 << (LANE - 1)) - 1) - F.floor(F.least(n, F.lit(64)) / 2)) * _ones()
+    out = F.lit(0).cast("long")
     for k, c in enumerate(counts):
-        bits = F.shiftleft(F.shiftrightunsigned(c + lift, lane - 1).bitwiseAND(_ones(lane)), k)
-        out = bits if out is None else out.bitwiseOR(bits)
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(c + lift, LANE - 1).bitwiseAND(_ones()), k))
     return out
 
 
-def simhash(words: Column) -> Column:
-    """SimHash of an array of words, in one expression and for any number of them; slower than simhashes()."""
-    zero, names = F.lit(0).cast("long"), [f"c{k}" for k in range(BITS)]
-    start = F.struct(*(zero.alias(n) for n in names), zero.alias("w"))
-    add = lambda acc, w: F.struct(*((acc[n] + c).alias(n) for n, c in zip(names, _counts(F.xxhash64(w), _weight(w), BITS), strict=True)), (acc["w"] + _weight(w)).alias("w"))
-    return F.aggregate(words, start, add, lambda acc: _majority([acc[n] for n in names], acc["w"]))
+def _levels(n: Column) -> Column:
+    """0 (the line itself) and the numbers of parts of a line with n distinct words: a power of two, and the next where it is near."""
+    power = lambda x: F.pow(F.lit(2.0), F.greatest(F.lit(1), F.floor(F.log2(x / F.lit(float(PART_WORDS)))))).cast("int")
+    return F.when(n >= LEAST_WORDS, F.array_distinct(F.array(F.lit(0), power(n), power(n * 1.1)))).otherwise(F.array(F.lit(0)))
 
 
-def simhashes(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and bits, the SimHash of each row's text; keys must tell the rows apart.
+def _small_blocks(t: Column) -> Column:
+    """Blocks of a short line: all words, all words but one, and either half of the characters."""
+    h = F.array_sort(F.array_distinct(F.split(t, " ")))
+    rest = F.length(F.replace(t, F.lit(" "), F.lit("")))
+    but_one = F.transform(h, lambda w: F.when(rest - F.length(w) >= LEAST_REST, F.xxhash64(F.array_remove(h, w))))
+    half = lambda n, side: F.when(n >= LEAST_HALF, F.xxhash64(F.lit(side), F.substring(t, 1, n) if side else F.right(t, n)))
+    at = (F.floor(F.length(t) / 2).cast("int"), F.floor((F.length(t) - 1) / 2).cast("int"))
+    halves = F.when(F.size(h) < FEW, F.array(*(half(n, side) for n in at for side in (0, 1)))).otherwise(F.array().cast("array<long>"))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.xxhash64(h)), but_one, halves)))
 
-    A row's words are counted where the row is, three lanes to a long, so only the counts go through the shuffle.
-    """
-    lane = BITS // 3
-    most = (1 << (lane - 1)) // LONG_WEIGHT  # words that a lane can count; what has more takes its text along
-    words = F.split(text, " ")
-    fits = F.size(words) < most
-    word = lines.select(*keys, F.when(~fits, F.col(text)).alias("long"), F.explode(F.when(fits, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, "long", F.xxhash64("w").alias("h"), _weight(F.col("w")).alias("w"))
-    sums = word.groupBy(*keys, "long").agg(*(F.sum(c).alias(f"c{k}") for k, c in enumerate(_counts(F.col("h"), F.col("w"), lane))), F.sum("w").alias("w"))
-    return sums.select(*keys, F.when(F.col("long").isNull(), _majority([F.col(f"c{k}") for k in range(lane)], F.col("w"))).otherwise(simhash(F.split("long", " "))).alias("bits"))
-
-
-def _keys(bits: Column) -> Column:
-    """A key for each pair of blocks."""
-    at, blocks = 0, []
-    for w in _WIDTHS:
-        blocks.append(F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << w) - 1).cast("long")))
-        at += w
-    return F.array(*(F.lit(p << 26).cast("long") + F.shiftleft(blocks[i], 13) + blocks[j] for p, (i, j) in enumerate(combinations(range(len(_WIDTHS)), 2))))
-
-
-def _first_key(a: str, b: str) -> Column:
-    """The number of the first key that two SimHashes share."""
-    at, same, out = 0, [], None
-    for w in _WIDTHS:
-        same.append(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), at).bitwiseAND(F.lit((1 << w) - 1).cast("long")) == 0)
-        at += w
-    for p, (i, j) in enumerate(combinations(range(len(_WIDTHS)), 2)):
-        out = F.when(same[i] & same[j], p) if out is None else out.when(same[i] & same[j], p)
-    return out
 
+def _parts(docs: DataFrame) -> DataFrame:
+    """Rows of the lines with a letter or digit, for each the line itself (code 0) and its parts.
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+    doc_id, fp, line; k1 and k2, its hashes; length and words (distinct ones); short, its text, with code 0 and if it is
+    short; and block, with other codes.
+    """
+    line = docs.select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(_LETTER))
+    line = line.select("doc_id", "fp", "line", normalised(F.col("t")).alias("t"))
+    line = line.select("doc_id", "fp", "line", "t", F.array_distinct(F.split("t", " ")).alias("own"))
+    line = line.select("doc_id", "fp", "line", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), F.length("t").alias("length"), F.size("own").alias("words"), "own")
+    what = ["doc_id", "fp", "line", "k1", "k2", "length", "words"]
+    level = line.select(*what, "t", "own", F.explode(_levels(F.col("words"))).alias("level"))
+    short = F.when((F.col("level") == 0) & (F.col("words") < SHORT), F.col("t")).alias("short")
+    word = level.select(*what, "level", short, F.explode(F.when(F.col("level") > 0, F.col("own")).otherwise(F.array(F.lit("")))).alias("w"))
+    word = word.select(*what, "level", "short", F.xxhash64("w").alias("h"), F.length("w").alias("chars"))
+    part = F.when(F.col("level") > 0, F.col("h").bitwiseAND(F.col("level") - 1)).otherwise(F.lit(0).cast("long"))
+    word = word.select(*what, "level", "short", part.alias("part"), "h", "chars").where(F.col("part") < MOST_PARTS)
+    word = word.withColumn("code", F.col("level") * MOST_PARTS + F.col("part"))
+    # docs are dealt by doc_id and fp, so this moves no rows; all rows of a line agree in the maxima
+    same = [F.max(c).alias(c) for c in ("k1", "k2", "length", "words")]
+    part = word.groupBy("doc_id", "fp", "line", "code", "short").agg(*same, *(F.sum(c).alias(f"c{k}") for k, c in enumerate(_counts("h"))), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    bits = _majority([F.col(f"c{k}") for k in range(LANE)], F.col("n"))
+    part = part.where((F.col("code") == 0) | ((F.col("n") >= PART_WORDS) & (F.col("chars") >= PART_CHARS)))
+    return part.select(*what, "short", "code", F.when(F.col("code") > 0, F.xxhash64("code", bits)).alias("block"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few longs a row, sent to every task if it has at most BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _cut(a: Column, b: Column) -> Column:
+    """An upper bound of the edit distance: both are cut before passages that they share, and the pieces' distances added up."""
+    step = F.greatest(F.lit(PIECE), F.floor(F.length(a) / MOST_PIECES).cast("int"))
+
+    def add(cuts: Column, i: Column) -> Column:
+        x, last = i * step + 1, F.element_at(cuts, -1)
+        anchor, even = F.substring(a, x, F.lit(ANCHOR)), last["y"] + (x - last["x"])
+        found = lambda at: F.position(anchor, b, F.greatest(at, last["y"] + 1))
+        put = lambda y: F.array_append(cuts, F.struct(x.alias("x"), y.alias("y")))
+        near = lambda y: (y > 0) & (y <= even + DRIFT)
+        # where it should be, or a little later, or a little earlier
+        return let(found(even), lambda y: F.when(near(y), put(y)).otherwise(let(found(even - DRIFT), lambda z: F.when(near(z), put(z)).otherwise(cuts))))
+
+    def piece(cuts: Column, i: Column, text: Column, at: str) -> Column:
+        end = F.when(i < F.size(cuts), F.element_at(cuts, i + 1)[at]).otherwise(F.length(text) + 1)
+        return F.substring(text, F.element_at(cuts, i)[at], end - F.element_at(cuts, i)[at])
+
+    start = F.array(F.struct(F.lit(1).alias("x"), F.lit(1).alias("y")))
+    cuts = F.aggregate(F.sequence(F.lit(1), F.floor((F.length(a) - 1) / step).cast("int")), start, add)
+    distance = lambda c, i: F.levenshtein(piece(c, i, a, "x"), piece(c, i, b, "y"))
+    return let(cuts, lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), F.lit(0), lambda n, i: n + distance(c, i)))
+
+
+def _script(a: Column, b: Column) -> Column:
+    """An upper bound of the edit distance: words are replaced, put in or left out, as the next few words suggest."""
+
+    def edit(own: Column, other: Column) -> Column:
+        cost = lambda w: F.length(w) + 1
+
+        def step(at: Column, i: Column) -> Column:
+            x, y = F.get(own, i), F.get(other, at["j"])
+            then = lambda j, more: F.struct((at["j"] + j).alias("j"), (at["cost"] + more).alias("cost"))
+            out = F.when(x == y, then(F.lit(1), F.lit(0))).when(F.get(own, i + 1) == F.get(other, at["j"] + 1), then(F.lit(1), F.greatest(F.length(x), F.length(y))))
+            passed = F.lit(0)
+            for k in range(1, AHEAD + 1):
+                passed = passed + cost(F.get(other, at["j"] + (k - 1)))
+                out = out.when(x == F.get(other, at["j"] + k), then(F.lit(k + 1), passed)).when(F.get(own, i + k) == y, then(F.lit(0), cost(x)))
+            return out.when(y.isNull(), then(F.lit(0), cost(x))).otherwise(then(F.lit(1), F.greatest(F.length(x), F.length(y))))
+
+        end = F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), F.struct(F.lit(0).alias("j"), F.lit(0).alias("cost")), step)
+        left = lambda at: F.aggregate(F.slice(other, at["j"] + 1, F.greatest(F.lit(0), F.size(other) - at["j"])), F.lit(0), lambda n, w: n + cost(w))
+        return let(end, lambda at: at["cost"] + left(at))
+
+    return let(F.split(a, " "), lambda own: let(F.split(b, " "), lambda other: edit(own, other)))
+
+
+def _letters(a: Column, b: Column) -> Column:
+    """A lower bound of the edit distance: how many letters one has more than the other."""
+    number = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    more = F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), ""), lambda c: number(a, c) - number(b, c))
+    total = lambda m, sign: F.aggregate(m, F.lit(0), lambda n, x: n + F.greatest(F.lit(0), sign * x))
+    return let(more, lambda m: F.greatest(total(m, F.lit(1)), total(m, F.lit(-1))))
 
 
 def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Those pairs (a, b) whose normalised lines, in the columns a and b name, have an edit similarity of at least 0.8."""
-    within = lambda x, y: F.expr(f"levenshtein({x}, {y}, cast(greatest(length({x}), length({y})) div {FIFTH} as int)) >= 0")
-    return pairs.where(within(a, b)).select("a", "b")
-
-
-def _with_bundles(lines: DataFrame, text: str) -> DataFrame:
-    """lines with bundles, an array of keys. A line also has the keys that one with a twentieth of its words less would have."""
-    none, h = F.array().cast("array<long>"), F.col("_hashes")
-    n, fewer = F.col("_n"), F.col("_n") - F.ceil(F.col("_n") / 20).cast("int")
-    within = lambda lo, hi: ((n >= lo) & (n < hi)) | ((fewer >= lo) & (fewer < hi))
-    key = lambda words: F.when(F.size(words) >= LEAST_BUNDLE, F.xxhash64(words))
-    class_ = lambda i, classes: F.filter(h, lambda x: F.pmod(x, classes.cast("long")) == i)
-    without_one = F.transform(F.sequence(F.lit(1), n), lambda i: key(F.concat(F.slice(h, 1, i - 1), F.slice(h, i + 1, n - i))))
-    some_of_six = lambda k: F.array(*(key(F.concat(*(F.get("_six", F.lit(i)) for i in c))) for c in combinations(range(6), k)))
-    classes = lambda size: F.least(F.lit(MOST_CLASSES), F.pow(2.0, F.floor(F.log2(size / CLASS_WORDS))).cast("int"))
-    each = lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda i: key(class_(i, m)))
-    parts = [
-        F.when(within(LEAST_BUNDLE, MIDDLE), F.concat(F.array(key(h)), without_one)).otherwise(none),
-        F.when(within(MIDDLE, LONGER), some_of_six(3)).otherwise(none),
-        F.when(within(LONGER, LONGEST), some_of_six(2)).otherwise(none),
-        F.when(n >= LONGEST, each(classes(n))).otherwise(none),
-        F.when((fewer >= LONGEST) & (classes(n) != classes(fewer)), each(classes(fewer))).otherwise(none),
-    ]
-    hashed = lines.withColumn("_hashes", F.array_sort(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))).withColumn("_n", F.size("_hashes"))
-    six = F.when(within(MIDDLE, LONGEST), F.array(*(class_(F.lit(i), F.lit(6)) for i in range(6))))
-    return hashed.withColumn("_six", six).withColumn("bundles", F.array_distinct(F.array_compact(F.concat(*parts)))).drop("_hashes", "_n", "_six")
-
-
-def _bundled(line: DataFrame) -> DataFrame:
-    """key, k1, length, leader and near, for lines (k1, t) that share a key with others; near: lengths may be similar."""
-    # a plain explode would have its filter pushed down, and with it every array worked out anew at each use
-    keyed = _with_bundles(line.select("k1", "t"), "t").select("k1", F.length("t").alias("length"), F.explode_outer("bundles").alias("key")).where("key is not null")
-    under = Window.partitionBy("key")
-    led = keyed.withColumn("leader", F.min(F.struct("k1", "length")).over(under)).where("k1 <> leader.k1")
-    return led.select("key", "k1", "length", F.col("leader.k1").alias("leader"), _alike("length", "leader.length").alias("near")).distinct()
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longest / FIFTH).cast("int")
+    within = F.expr(f"levenshtein({a}, {b}, cast(greatest(length({a}), length({b})) div {FIFTH} as int)) >= 0")
+    # most similar lines are near enough to show it without finding the distance
+    long = (_letters(F.col(a), F.col(b)) <= most) & ((_cut(F.col(a), F.col(b)) <= most) | within)
+    near = (_script(F.col(a), F.col(b)) <= most) | F.when(longest > LONG, long).otherwise(within)
+    return pairs.where((F.abs(F.length(a) - F.length(b)) <= most) & near).select("a", "b")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -163,71 +196,98 @@ def _alike(a: str, b: str) -> Column:
     return F.abs(F.col(a) - F.col(b)) * FIFTH <= F.greatest(a, b)
 
 
-def _links(distinct: DataFrame, docs: DataFrame, bundled: DataFrame | None) -> DataFrame:
-    """Links (a, b), by k1, that connect all lines that the full set of links connects."""
-    keyed = distinct.select(F.explode(_keys(F.col("bits"))).alias("key"), "k1", "bits", "n")
-    order = Window.partitionBy("key").orderBy(F.desc("n"), "k1")
-    led = keyed.withColumns({"leader": F.first("k1").over(order), "leader_bits": F.first("bits").over(order), "size": F.count("*").over(Window.partitionBy("key"))}).where("k1 <> leader")
-    # a line that is far from its leader matters only if there is a third
-    others = led.withColumn("near", _near("bits", "leader_bits")).where("near or size > 2").select("key", "k1", "bits", "leader", "near").checkpoint()
-    first = others.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b"))
-    if bundled is not None:
-        bundled = bundled.checkpoint()
-        first = first.unionAll(bundled.where("near").select(F.col("k1").alias("a"), F.col("leader").alias("b")))
-    first = _verified(first.distinct(), distinct, docs).checkpoint()
-    # lines that don't link with their leader: against every other line under the key, each pair under its first key only
-    linked = first.select(F.col("a").alias("k1"), F.col("b").alias("leader"))
-    unlinked = others.join(linked, ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("bits").alias("a_bits"))
-    rest = unlinked.join(others.select("key", F.col("k1").alias("b"), F.col("bits").alias("b_bits")), "key").where((F.col("a") != F.col("b")) & _near("a_bits", "b_bits") & (F.shiftright("key", 26) == _first_key("a_bits", "b_bits"))).select("a", "b")
-    if bundled is not None:
-        unlinked = bundled.join(linked, ["k1", "leader"], "left_anti").select("key", F.col("k1").alias("a"), F.col("length").alias("a_length"))
-        rest = rest.unionAll(unlinked.join(bundled.select("key", F.col("k1").alias("b"), F.col("length").alias("b_length")), "key").where((F.col("a") != F.col("b")) & _alike("a_length", "b_length")).select("a", "b"))
-    second = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), distinct, docs)
-    return first.unionAll(second)
-
-
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def _needed(words: str) -> Column:
+    """So many blocks must be shared by a line of so many distinct words."""
+    return F.when(F.col(words) < MANY_WORDS, 1).when(F.col(words) < 2 * MANY_WORDS, 2).otherwise(4)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose normalised lines are similar."""
-    pairs = pairs.checkpoint()
-    wanted = pairs.select(F.col("a").alias("k1")).unionAll(pairs.select("b")).distinct()
-    at = distinct.join(wanted, "k1").select("k1", "first.doc_id", "first.fp", "first.line").checkpoint()
-    at = at.select("k1", F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "line")
-    if at.count() <= BROADCAST_LINES:
-        at = F.broadcast(at)
-    text = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).select("k1", normalised(F.get(F.split("text", "\n"), F.col("line"))).alias("t")).checkpoint()
+    wanted = pairs.select(F.col("a").alias("k1")).unionAll(pairs.select("b")).distinct().checkpoint()
+    at = lines.join(_small(wanted), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "fp", "line")).alias("at"))
+    at = at.select("k1", F.col("at.doc_id").alias("_id"), F.col("at.fp").alias("_fp"), F.col("at.line").alias("_line")).checkpoint()
+    line = docs.select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    place = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")) & (F.col("line") == F.col("_line"))
+    text = line.join(_small(at), place).select("k1", normalised(F.col("t")).alias("t")).checkpoint()
     both = pairs.join(text.select(F.col("k1").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("k1").alias("b"), F.col("t").alias("tb")), "b")
+    # few bytes, but much work: not to be gathered in few tasks
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 
 
-def dedup_lines(documents: DataFrame, bundles: bool = False) -> DataFrame:
+def _links(parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), by k1, that connect all lines that share enough blocks and are similar."""
+    lines = parts.where("code = 0")
+    small = lines.where("short is not null").select("k1", "length", "words", F.explode(_small_blocks(F.col("short"))).alias("block"))
+    keyed = parts.where("code > 0").select("k1", "length", "words", "block").unionAll(small)
+    # the most frequent line leads: it's the one that variants were made from
+    often = lines.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+    rank = F.shiftleft(F.least(F.coalesce("n", F.lit(1)), F.lit(1 << 14)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("k1", 16))
+    ranked = keyed.select("k1", "block").join(_small(often), "k1", "left").select("k1", "block", rank.alias("rank"))
+    shared = ranked.groupBy("block").agg(F.max_by("k1", "rank").alias("leader"), F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("block", "leader").checkpoint()
+    under = keyed.join(_small(shared), "block").select("block", "k1", "length", "words", "leader").distinct().checkpoint()
+    led = under.where("k1 <> leader").groupBy(F.col("k1").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("blocks"), F.max("words").alias("words"))
+    led = led.where(F.col("blocks") >= _needed("words")).select("a", "b").checkpoint()
+    links, tested = _verified(led, lines, docs).checkpoint(), led
+    under = under.select("block", "k1", "length", "words")
+    for everyone in (False, True):  # a leader of what isn't connected yet, then all that still isn't
+        group = connected(links).select(F.col("node").alias("k1"), "root").checkpoint()
+        apart = under.join(_small(group), "k1", "left").select("block", "k1", "length", "words", F.coalesce("root", "k1").alias("root"))
+        mixed = apart.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("lines")).where("least <> most").select("block", "lines").checkpoint()
+        # lines that share as many blocks as they must share one besides their most frequent ones
+        order = Window.partitionBy("k1").orderBy(F.desc("lines"), "block")
+        apart = apart.join(_small(mixed), "block").withColumn("place", F.row_number().over(order)).where(F.col("place") >= _needed("words")).checkpoint()
+        name = lambda df, x: df.select("block", *(F.col(c).alias(f"{x}_{c}") for c in ("k1", "length", "root")))
+        others = name(apart, "b")
+        if not everyone:
+            others = others.groupBy("block").agg(F.min_by(F.struct("b_k1", "b_length", "b_root"), F.xxhash64("b_k1")).alias("b")).select("block", "b.*")
+        pairs = name(apart, "a").join(others, "block").where((F.col("a_root") != F.col("b_root")) & _alike("a_length", "b_length"))
+        if everyone:
+            pairs = pairs.where("a_k1 > b_k1")
+        pairs = pairs.select(F.greatest("a_k1", "b_k1").alias("a"), F.least("a_k1", "b_k1").alias("b")).distinct()
+        pairs = pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
+        links, tested = links.unionAll(_verified(pairs, lines, docs)).checkpoint(), tested.unionAll(pairs)
+    return links
+
+
+def _dropped(documents: DataFrame) -> DataFrame:
+    """doc_id, fp and the numbers of the lines that go, of all documents that lose a line."""
+    docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["text"]).alias("fp"), documents["text"].cast("string").alias("text")).where("text is not null")
+    parts = written(_parts(docs.groupBy("doc_id", "fp").agg(F.first("text").alias("text"))))
+    lines = parts.where("code = 0").select("doc_id", "fp", "line", "k1", "k2")
+    groups = connected(_links(parts, docs)).select(F.col("node").alias("k1"), "root").checkpoint()
+    # lines that normalise alike are one group, and so are all that links connect
+    lines = lines.join(_small(groups), "k1", "left").select("doc_id", "fp", "line", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0).cast("long")).alias("g2"))
+    again = lines.groupBy("g1", "g2").count().where("count > 1").select("g1", "g2").checkpoint()
+    lines = lines.join(_small(again), ["g1", "g2"]).checkpoint()
+    kept = lines.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "fp", "line")).alias("kept")).checkpoint()
+    lines = lines.join(_small(kept), ["g1", "g2"]).where(~F.struct("doc_id", "fp", "line").eqNullSafe(F.col("kept")))
+    return lines.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+
+
+def dedup_lines(documents: DataFrame) -> DataFrame:
     """documents with the text that stays, and n_lines and dropped (line numbers from 0, ascending).
 
-    bundles: whether lines that share a bundle of words are candidates, too.
-
     Lines end at "\\n". Lines without a letter or digit always stay. A null text has no lines and stays null. Rows that
-    agree in doc_id and text are treated alike: they keep and lose the same lines. A null doc_id comes before all others. An
-    empty table gives an empty table. Other columns are carried along; n_lines and dropped replace columns of these names.
+    agree in doc_id and text are treated alike: they keep and lose the same lines, and a line isn't dropped for standing in
+    such a row again. A null doc_id comes before all others. Lines and texts of any length are judged whole, by the edit
+    distance of their characters. Of lines that tie (the same doc_id in several rows) the one in the text with the smaller
+    hash stays. An empty table gives an empty table. Other columns are carried along, whatever their names; n_lines and
+    dropped replace columns of these names. Links go by 64-bit, exact repeats by 128-bit hashes of the lines.
     """
-    spark = documents.sparkSession
-    folder(spark)
-    docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["text"]).alias("fp"), documents["text"].cast("string").alias("text"))
-    line = docs.where("text is not null").select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "fp", "line", normalised(F.col("t")).alias("t")).where("t <> ''")
-    line = line.select("doc_id", "fp", "line", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), "t", F.monotonically_increasing_id().alias("row"))
-    lines = simhashes(line, ["row", "doc_id", "fp", "line", "k1", "k2"], "t").drop("row").checkpoint()
-    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "fp", "line")).alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits")).checkpoint()
-    groups = connected(_links(distinct, docs, _bundled(line) if bundles else None))
-    # the occurrence that stays, of every line that occurs again or is linked
-    linked = distinct.join(groups.select(F.col("node").alias("k1"), "root"), "k1").select("k1", "k2", "first", "root")
-    kept = linked.join(linked.groupBy("root").agg(F.min("first").alias("kept")), "root").select("k1", "k2", "kept")
-    again = distinct.where("n > 1").join(groups.select(F.col("node").alias("k1")), "k1", "left_anti").select("k1", "k2", F.col("first").alias("kept"))
-    repeated = lines.join(kept.unionAll(again), ["k1", "k2"]).where(~F.struct("doc_id", "fp", "line").eqNullSafe(F.col("kept")))
-    dropped = repeated.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("line")).alias("dropped")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("dropped").alias("_dropped"))
-    rest = documents.withColumn("_hash", F.xxhash64("text")).join(dropped.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_fp")), "left").withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
-    split = F.split("text", "\n")
-    stay = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_dropped")), lambda i: F.get(split, i)), "\n")
-    names = [c for c in documents.columns if c not in ("n_lines", "dropped")]
-    new = {"text": F.when(F.size("_dropped") == 0, F.col("text")).otherwise(stay).alias("text")}
-    return rest.select(*(new.get(c, F.col(f"`{c}`")) for c in names), F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.col("_dropped").alias("dropped"))
+    folder(documents.sparkSession)
+    dropped = _dropped(documents).checkpoint()
+    fresh = lambda name: next(x for x in (f"{name}{i or ''}" for i in count()) if x.lower() not in map(str.lower, documents.columns))
+    id_, fp, gone = map(fresh, ("_id", "_fp", "_gone"))
+    dropped = dropped.select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("dropped").alias(gone))
+    lines = dropped.agg(F.sum(F.size(gone) + 2)).first()[0] or 0
+    rest = documents.join(F.broadcast(dropped) if lines <= 2 * BROADCAST_ROWS else dropped, documents["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(documents["text"]) == F.col(fp)), "left")
+    # the text is split once, not for each line that stays
+    stay = F.transform(F.array(F.split(documents["text"], "\n")), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone)), lambda i: F.get(own, i)), "\n"))[0]
+    new = {"text": F.when(F.col(gone).isNull(), documents["text"]).otherwise(stay).alias("text")}
+    text = documents["text"].cast("string")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    return rest.select(*(new.get(c, documents[f"`{c}`"]) for c in documents.columns if c not in ("n_lines", "dropped")), n_lines.alias("n_lines"), F.coalesce(F.col(gone), F.array().cast("array<int>")).alias("dropped"))
 
 
 def report(deduped: DataFrame) -> DataFrame:
