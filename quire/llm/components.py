@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of two longs in one partition.
+PART_ROWS = 1 << 18
+
+
 def folder(spark: SparkSession) -> None:
-    """The shared checkpoint folder that the cluster names; one of our own only where none is set."""
+    """Sees to the shared checkpoint folder that the cluster names in spark.checkpoint.dir; only on one machine a folder of our own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not path and not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -30,19 +39,25 @@ def connected(links: DataFrame) -> DataFrame:
     only. Nodes that link to themselves alone, and nulls, are left out.
     """
     folder(links.sparkSession)
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
+    e = _compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while not _stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = _compact(small.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _compact(links: DataFrame) -> DataFrame:
+    """links, checkpointed; a table of few rows in few partitions, as each of them costs files in every later shuffle."""
+    links = links.checkpoint()
+    parts = 1 + links.count() // PART_ROWS
+    return links.coalesce(parts) if parts < links.rdd.getNumPartitions() else links
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u."""
-    if not e.groupBy("u").count().where("count > 1").isEmpty():
-        return False
-    return e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+    rows, us = e.agg(F.count("*"), F.count_distinct("u")).first()
+    return rows == us and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()

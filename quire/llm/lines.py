@@ -13,9 +13,11 @@ parts has the blocks of that number, too. In lines under SHORT words a part is a
 lines of under FEW words also either half of the characters. This finds links with high, not full, probability; a test
 measures recall against all pairs of lines.
 
-Of the lines under one block the one with the smallest hash leads, and the others are compared with it. Blocks whose lines
-then lie in several connected groups are compared across these groups. So every link is found or implied, and a block
-with many variants of one line gives one row for each and not all pairs.
+Of the lines under one block the most frequent one leads, and the others are compared with it. Where a block's lines then
+lie in several connected groups, they are compared with another leader, and what is still apart is compared across these
+groups. So every link is found or implied, and a block with many variants of one line gives one row for each and not all
+pairs. An edit distance is bounded before it is worked out: from above by an edit script in words, or by the distances of
+pieces cut at passages that both lines have, from below by counts of letters.
 """
 
 from __future__ import annotations
@@ -210,8 +212,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     place = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")) & (F.col("line") == F.col("_line"))
     text = line.join(_small(at), place).select("k1", normalised(F.col("t")).alias("t")).checkpoint()
     both = pairs.join(text.select(F.col("k1").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("k1").alias("b"), F.col("t").alias("tb")), "b")
-    # few bytes, but much work: not to be gathered in few tasks
-    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    # few bytes, but much work: not in few tasks. A filter would move before the repartition, but not before a checkpoint
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").checkpoint()
     return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 
 
