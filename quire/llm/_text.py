@@ -1,7 +1,7 @@
 """Words of whole texts, found and hashed on the UTF-8 bytes of Arrow columns.
 
 Every operator of this package that runs in Python reads its texts through :func:`slices`, which cuts an Arrow batch into
-pieces of about a megabyte (a longer document is a piece of its own), so a worker's memory follows the longest document
+pieces of about half a megabyte (a longer document is a piece of its own), so a worker's memory follows the longest document
 and not the batch. Both word classes treat every non-ASCII character as a word character, so bytes can stand for code
 points.
 """
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_ROWS = 4000
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 5)

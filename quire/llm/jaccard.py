@@ -14,6 +14,9 @@ components of "Jaccard similarity of at least percent / 100":
 4. The forests' components are candidates. One task gets the sets of a component and verifies links exactly until nothing
    outside the largest verified component is unexamined.
 
+No task holds many more than MOST_HELD nodes of a group or component: larger ones are dealt to blocks, and each pair of
+blocks is a task's; the links that they find are connected afterwards.
+
 A plain R-tree over all documents can't prune: count vectors of hashed shingles of equally long texts lie close together
 in every coordinate. Dealing out by prefix keeps its groups small without losing a link.
 """
@@ -28,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _text as tx
-from quire.llm.components import connected, folder
+from quire.llm.components import connected, folder, small
 
 _U = np.uint64
 _TOKEN = _U((1 << 52) - 1)
 MOST_GROUPS = 256
 LEAF = 32
 #: Shingles counted together in a task, and the share of their documents from which on a shingle is broad.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 BROAD = 1000
 #: The order's exceptions; what isn't among them is ordered by its hash alone.
 MOST_BROAD = 1 << 16
 #: Up to so many candidates are sent to every task (8 bytes each) to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
+#: Nodes of one group, or of one candidate component, that a task holds; more are dealt to cells of two blocks each.
+MOST_HELD = 1024
 #: Stands for a null doc_id inside, behind all others.
 NO_ID = (1 << 63) - 1
 
@@ -299,7 +304,7 @@ def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve() -> pa.RecordBatch:
             root = verified(sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64())], ["node", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64())], ["a", "b"])
 
         current, nodes, sets = None, [], []
         for b in batches:  # sorted by candidate, so one component is held at a time
@@ -316,11 +321,25 @@ def _verify(percent: int):
     return verify
 
 
+def _celled(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows with key replaced by one for each cell, so that no key has many more than MOST_HELD rows and any two rows of one key meet.
+
+    sizes has key and n, the number of its rows. Keys of more rows are dealt to blocks; a cell is a pair of blocks.
+    """
+    large = sizes.where(F.col("n") > MOST_HELD).select(F.col(key).alias("_key"), F.ceil(F.col("n") * 2 / MOST_HELD).cast("long").alias("_blocks")).checkpoint()
+    if large.isEmpty():
+        return rows
+    own, blocks = F.pmod(F.xxhash64("node"), F.col("_blocks")), F.col("_blocks")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64(F.col(key), F.least(own, j), F.greatest(own, j)))
+    dealt = rows.join(small(large, BROADCAST_IDS), F.col(key) == F.col("_key"), "left")
+    return dealt.withColumn(key, F.explode(F.when(blocks.isNull(), F.array(F.col(key))).otherwise(cells))).drop("_key", "_blocks")
+
+
 def link_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, node (equal for equal sets), component_id (the smallest doc_id that links reach).
 
     Texts of fewer than k words are one shingle. Null, empty and wordless texts have no shingle, node 0, and their own doc_id
-    as component_id. Rows that repeat link like any equal texts. A null doc_id names no component: one that has no other gets
+    as component_id. Rows that repeat link like any equal texts. Texts of any length are taken whole; of an empty table nothing is returned. A null doc_id names no component: one that has no other gets
     null. Columns other than doc_id and text are ignored, whatever their names.
     """
     spark = documents.sparkSession
@@ -336,13 +355,16 @@ def link_components(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     nodes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).checkpoint()
     own = described.where("n > 0").join(nodes, "node").where("doc_id = first_doc")
     dealt = own.select(F.explode("prefix").alias("token"), "node").repartition("token").mapInArrow(_shared_prefixes, "group long, node long")
-    points = dealt.distinct().join(own.select("node", "n", "vector").dropDuplicates(["node", "n"]), "node").select("group", "node", "n", "vector")
+    dealt = dealt.distinct().checkpoint()
+    dealt = _celled(dealt, "group", dealt.groupBy("group").agg(F.count("*").alias("n")))
+    points = dealt.join(own.select("node", "n", "vector").dropDuplicates(["node", "n"]), "node").select("group", "node", "n", "vector")
     candidates = connected(points.repartition("group").mapInArrow(_forests(percent), "a long, b long"))
     picked = candidates.join(nodes, "node").select(F.col("root").alias("candidate"), "node", F.col("first_doc").alias("doc_id")).checkpoint()
-    small = picked.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(picked) if small else picked, "doc_id").select("candidate", "node", "text")
+    texts = docs.join(small(picked, BROADCAST_IDS), "doc_id").select("candidate", "node", "text")
     sets = texts.mapInArrow(_sets(k), "candidate long, node long, tokens binary")
-    links = sets.repartition("candidate").sortWithinPartitions("candidate").mapInArrow(_verify(percent), "node long, root long").distinct().checkpoint()
+    sets = _celled(sets, "candidate", picked.groupBy("candidate").agg(F.count("*").alias("n")))
+    links = sets.repartition("candidate").sortWithinPartitions("candidate").mapInArrow(_verify(percent), "a long, b long")
+    links = connected(links)
     rooted = nodes.join(links, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     component = rooted.join(lowest, "root").select("node", "component_id")
