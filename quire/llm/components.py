@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def folder(spark: SparkSession) -> None:
     context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with a number: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (f"{name}{i or ''}" for i in count()) if x.lower() not in taken)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A checkpointed table, sent to every task if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read back: smaller than a checkpoint where values repeat."""
     folder(df.sparkSession)

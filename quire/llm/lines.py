@@ -22,13 +22,11 @@ pieces cut at passages that both lines have, from below by counts of letters.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
-from quire.llm.components import connected, folder, written
+from quire.llm.components import connected, folder, fresh, small, written
 
 #: Edit similarity is 1 - distance / length of the longer one, in fifths: at most one fifth may differ.
 FIFTH = 5
@@ -124,8 +122,7 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of a few longs a row, sent to every task if it has at most BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return small(df, BROADCAST_ROWS)
 
 
 def _cut(a: Column, b: Column) -> Column:
@@ -267,8 +264,8 @@ def _dropped(documents: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """documents with the text that stays, and n_lines and dropped (line numbers from 0, ascending).
+def dedup_lines(documents: DataFrame, names: tuple[str, str] = ("n_lines", "dropped")) -> DataFrame:
+    """documents with the text that stays, and n_lines and dropped (line numbers from 0, ascending), or what names calls them.
 
     Lines end at "\\n". Lines without a letter or digit always stay. A null text has no lines and stays null. Rows that
     agree in doc_id and text are treated alike: they keep and lose the same lines, and a line isn't dropped for standing in
@@ -279,8 +276,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """
     folder(documents.sparkSession)
     dropped = _dropped(documents).checkpoint()
-    fresh = lambda name: next(x for x in (f"{name}{i or ''}" for i in count()) if x.lower() not in map(str.lower, documents.columns))
-    id_, fp, gone = map(fresh, ("_id", "_fp", "_gone"))
+    id_, fp, gone = (fresh(documents, name) for name in ("_first_id", "_first_fp", "_lines_gone"))
     dropped = dropped.select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("dropped").alias(gone))
     lines = dropped.agg(F.sum(F.size(gone) + 2)).first()[0] or 0
     rest = documents.join(F.broadcast(dropped) if lines <= 2 * BROADCAST_ROWS else dropped, documents["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(documents["text"]) == F.col(fp)), "left")
@@ -289,7 +285,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     new = {"text": F.when(F.col(gone).isNull(), documents["text"]).otherwise(stay).alias("text")}
     text = documents["text"].cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    return rest.select(*(new.get(c, documents[f"`{c}`"]) for c in documents.columns if c not in ("n_lines", "dropped")), n_lines.alias("n_lines"), F.coalesce(F.col(gone), F.array().cast("array<int>")).alias("dropped"))
+    return rest.select(*(new.get(c, documents[f"`{c}`"]) for c in documents.columns if c not in names), n_lines.alias(names[0]), F.coalesce(F.col(gone), F.array().cast("array<int>")).alias(names[1]))
 
 
 def report(deduped: DataFrame) -> DataFrame:

@@ -125,8 +125,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Regression, Regression
     return out[0], out[1]
 
 
-def evidence(documents: DataFrame, models: tuple[Regression, Regression], host: Column, path: Column) -> DataFrame:
-    """doc_id, host, path, toxic and low (probabilities) of every row."""
+def evidence(documents: DataFrame, models: tuple[Regression, Regression], host: Column, path: Column, row: Column) -> DataFrame:
+    """doc_id (row), host, path, toxic and low (probabilities) of every row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +136,7 @@ def evidence(documents: DataFrame, models: tuple[Regression, Regression], host:
                 shares = _shares(raw, off, w, h[: len(w.start)])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in range(3)), *(pa.array(m.probability(h, doc, shares)) for m in models)], ["doc_id", "host", "path", "toxic", "low"])
 
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), tx.text_or_empty(documents).alias("text"))
+    rows = documents.select(row.cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), tx.text_or_empty(documents).alias("text"))
     return rows.mapInArrow(score, "doc_id long, host string, path string, toxic double, low double")
 
 
@@ -155,17 +155,18 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", reject: float = REJECT) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", reject: float = REJECT, row: str = "doc_id") -> DataFrame:
     """One row per row of documents: doc_id, host, path, toxic, low, evidence, host_rate, path_rate, posterior, keep.
 
-    host and path name columns; a path is one of its host. Nulls in them, in doc_id and in texts count as empty; a text
+    host and path name columns; a path is one of its host. row names the column of longs that doc_id of the result takes
+    its values from; labels always go by doc_id. Nulls in them, in doc_id and in texts count as empty; a text
     without words is judged by its shares alone. Rows that repeat are judged alike. Without labels, or with labels of one
     kind, every document has the same evidence; an empty table gives none. Other columns are ignored.
     """
     spark = documents.sparkSession
     tx.importable(spark)
     folder(spark)
-    rows = evidence(documents, fit(documents, labels), documents[host], documents[path]).withColumn("evidence", 1 - (1 - F.col("toxic")) * (1 - F.col("low"))).checkpoint()
+    rows = evidence(documents, fit(documents, labels), documents[host], documents[path], documents[row]).withColumn("evidence", 1 - (1 - F.col("toxic")) * (1 - F.col("low"))).checkpoint()
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")).checkpoint()
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = paths.agg(F.sum("n"), F.sum("s")).first()
