@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: the stages, and run() over the documents table."""
+"""From raw documents to packed training sequences: the stages, and run() over the documents table.
+
+Stages tell rows apart by a hash of doc_id and text, not by doc_id: rows that share a doc_id, or have none, are judged each
+by their own text, and rows that agree in both are treated alike. Columns besides doc_id, text, n_chars, source and lang are
+carried along, whatever their names. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -8,47 +13,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, jaccard, lines, packing, quality
-from quire.llm.components import folder
+from quire.llm.components import folder, fresh, small
+
+#: Keys of up to so many rows that go are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
+
 
+def _keyed(docs: DataFrame, *more: str) -> tuple[DataFrame, str]:
+    """docs with a column of row keys, and its name."""
+    key = fresh(docs, "_row")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text", *more)), key
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; a null among them stands for null."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in gone's column doc_id, and without the key."""
+    gone = gone.select(F.col("doc_id").alias(key)).distinct().checkpoint()
+    return docs.join(small(gone, BROADCAST_KEYS), key, "left_anti").drop(key)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. Rows with one doc_id go together."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("not keep"))
+    """Documents that the classifier doesn't reject. A null or empty text is judged by its site and its shares of characters."""
+    folder(spark)
+    keyed, key = _keyed(docs, "source", "lang")
+    judged = quality.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=key)
+    return _without(keyed, key, judged.where("not keep")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that stay; one that loses all its lines with a letter or digit goes. n_chars follows the text."""
-    deduped = lines.dedup_lines(docs).where((F.size("dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    chars = {"n_chars": F.when(F.size("dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")} if "n_chars" in docs.columns else {}
+    """Documents with the lines that stay; one that loses all its lines with a letter or digit goes. n_chars follows the text.
+
+    Null texts and texts without letters or digits stay as they are. Long texts are judged whole.
+    """
+    n_lines, dropped = fresh(docs, "_n_lines"), fresh(docs, "_dropped")
+    deduped = lines.dedup_lines(docs, names=(n_lines, dropped)).where((F.size(dropped) == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    chars = {"n_chars": F.when(F.size(dropped) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")} if "n_chars" in docs.columns else {}
     return deduped.select(*(chars.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of linked ones; of rows that repeat one."""
-    linked = jaccard.link_components(docs, k=5, percent=80).checkpoint()
-    left = _without(docs, linked.where("n_shingles > 0 and not doc_id <=> component_id"))
-    again = linked.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id", "node").count().where("count > 1").select("doc_id").checkpoint()
+    """One row of each group of linked ones, that with the smallest doc_id (no doc_id comes last); rows without words stay.
+
+    Of rows that tie, the one with the smaller key stays, and of equal rows one.
+    """
+    folder(spark)
+    keyed, key = _keyed(docs)
+    linked = jaccard.link_components(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, percent=80).where("n_shingles > 0").select("doc_id", "component_id").checkpoint()
+    # groups of several rows; equal rows are one key
+    groups = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    several = linked.distinct().join(groups, "component_id")
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id")).distinct()
+    placed = several.join(ids, several["doc_id"] == ids["row"]).select("component_id", "row", "id").checkpoint()
+    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
+    gone = placed.join(kept, "row", "left_anti")
+    left = _without(keyed, key, gone.select(F.col("row").alias("doc_id"))).select(docs.columns)
+    # equal rows whose key stays
+    again = linked.groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
     if again.isEmpty():
         return left
-    repeated = left.join(again.withColumnRenamed("doc_id", "_again").distinct(), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(left, again).unionByName(repeated)
+    left, key = _keyed(left)
+    again = again.withColumnRenamed("doc_id", key)
+    repeated = left.join(small(again, BROADCAST_KEYS), key, "left_semi").dropDuplicates([key])
+    return left.join(small(again, BROADCAST_KEYS), key, "left_anti").unionByName(repeated).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("n_hit > 0"))
+    """Documents that hold no window of a benchmark item. Texts without words hold none."""
+    folder(spark)
+    keyed, key = _keyed(docs)
+    found = decontamination.find_contamination(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, key, found.where("n_hit > 0")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes. A null or empty text is its end alone; equal rows are packed each."""
     return packing.pack(docs)
 
 
