@@ -29,6 +29,7 @@ SAMPLE = 12_000
 SIGNS = 256
 BEGINNINGS = (4, 5, 6)
 RIDGE = 0.1
+FITTED = 1_000
 #: Documents are rejected from this probability of being bad.
 REJECT = 0.5
 BROADCAST_SITES = 1 << 18
@@ -75,17 +76,22 @@ class Regression:
     def __init__(self, keys: np.ndarray, present: np.ndarray, shares: np.ndarray, y: np.ndarray):
         self.keys = keys
         self.mean, self.scale = (shares.mean(0), np.maximum(shares.std(0), 1e-3)) if len(y) else (np.zeros(shares.shape[1]), np.ones(shares.shape[1]))
-        x = np.column_stack([np.ones(len(y)), (shares - self.mean) / self.scale, present])
-        self.weights = np.zeros(x.shape[1])
+        m = shares.shape[1]
+        self.weights = np.zeros(1 + m + len(keys))
         if not len(y) or y.min() == y.max():  # one kind of label only: nothing to tell apart
             rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
             self.weights[0] = np.log(rate / (1 - rate))
             return
-        ridge = np.full(x.shape[1], RIDGE)
+        ridge = np.full(len(self.weights), RIDGE)
         ridge[0] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(ridge), x.T @ (y - p) - ridge * self.weights)
+            slope, bend = -ridge * self.weights, np.diag(ridge)
+            for a in range(0, len(y), FITTED):  # the driver holds the design of so many rows at once
+                x = np.column_stack([np.ones(len(y[a : a + FITTED])), (shares[a : a + FITTED] - self.mean) / self.scale, present[a : a + FITTED]])
+                p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+                slope += x.T @ (y[a : a + FITTED] - p)
+                bend += (x.T * (p * (1 - p) + 1e-6)) @ x
+            step = np.linalg.solve(bend, slope)
             self.weights += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -116,12 +122,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Regression, Regression
         if 0 < rate < 1:
             off = (F.col(f"bad_{c}") - F.col(f"n_{c}") * rate) ** 2 / F.col(f"n_{c}")
             keys = np.sort(np.array([r["sign"] for r in counted.where(f"n_{c} >= 5").orderBy(F.desc(off), "sign").limit(SIGNS).collect()], np.int64).view(np.uint64))
-        own = rows.where(F.col(c).isNotNull()).select(c, "shares", F.array_intersect("signs", F.array(*(F.lit(int(k)) for k in keys.view(np.int64))).cast("array<long>")).alias("signs")).collect()  # SAMPLE rows of SIGNS signs at most
-        present = np.zeros((len(own), len(keys)))
-        for i, r in enumerate(own):
-            present[i, np.searchsorted(keys, np.array(r["signs"], np.int64).view(np.uint64))] = 1
-        shares = np.array([r["shares"] for r in own]).reshape(len(own), _N_SHARES)
-        out.append(Regression(keys, present, shares, np.array([float(r[c] > 0) for r in own])))
+        own = rows.where(F.col(c).isNotNull()).select(c, "shares", F.array_intersect("signs", F.array(*(F.lit(int(k)) for k in keys.view(np.int64))).cast("array<long>")).alias("signs")).toArrow()  # SAMPLE rows of SIGNS signs at most
+        signs = own.column("signs").combine_chunks()
+        present = np.zeros((len(own), len(keys)), bool)
+        present[np.repeat(np.arange(len(own)), np.diff(signs.offsets.to_numpy())), np.searchsorted(keys, signs.flatten().to_numpy().view(np.uint64))] = True
+        shares = own.column("shares").combine_chunks().flatten().to_numpy().reshape(len(own), _N_SHARES)
+        out.append(Regression(keys, present, shares, (own.column(c).to_numpy() > 0).astype(float)))
     return out[0], out[1]
 
 
