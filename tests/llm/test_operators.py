@@ -183,7 +183,8 @@ def test_quality_on_held_out_labels(spark, data):
     train, rest = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0").collect()
     judged = {r["doc_id"]: r for r in quality.classify(documents, train).collect()}
     right = [judged[r["doc_id"]]["keep"] == (r["quality"] == 1 and r["toxic"] == 0) for r in rest]
-    assert sum(right) / len(right) > 0.8
+    everything = sum(r["quality"] == 1 and r["toxic"] == 0 for r in rest) / len(rest)
+    assert sum(right) / len(right) > max(0.93, everything + 0.05)  # keeping everything isn't enough
 
 
 def test_quality_odd_input(docs, spark, empty):
@@ -193,6 +194,46 @@ def test_quality_odd_input(docs, spark, empty):
     assert quality.classify(empty.withColumns({"source": F.lit("s"), "lang": F.lit("en")}), labels.limit(0)).count() == 0
 
 
+def test_posteriors(spark, monkeypatch):
+    """host_rate, path_rate and posterior from the evidence alone; sparse sites lean on their prior; both joins agree."""
+    rng = random.Random(6)
+    sites = [("big", "a", 200, 0.1), ("big", "b", 40, 0.5), ("big", "c", 3, 0.9), ("bad", "a", 120, 0.9), ("one", "a", 1, 0.0), (None, None, 5, 0.3)]
+    data_, labels_ = [], []
+    for host, path, n, bad in sites:
+        for _ in range(n):
+            i, low = len(data_), rng.random() < bad
+            data_.append((i, " ".join(rng.choice(["junk", "spam"] if low else ["fine", "good"]) for _ in range(rng.randrange(1, 6))), host, path))
+            labels_.append((i, int(not low), 0))
+    df, labels = spark.createDataFrame(data_, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels_, "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels.where("doc_id % 2 = 0")).collect()
+    groups = lambda key: {k: [r["evidence"] for r in got if key(r) == k] for k in {key(r) for r in got}}
+    hosts, paths = groups(lambda r: r["host"]), groups(lambda r: (r["host"], r["path"]))
+    overall = sum(r["evidence"] for r in got) / len(got)
+
+    def strength(own, prior):
+        n, rate = {k: len(v) for k, v in own.items()}, {k: sum(v) / len(v) for k, v in own.items()}
+        spread = sum(n[k] * (rate[k] - prior(k)) ** 2 for k in own) - sum(prior(k) * (1 - prior(k)) for k in own)
+        between = max(spread / sum(n.values()), 1e-9)
+        within = sum(n[k] * prior(k) * (1 - prior(k)) for k in own) / sum(n.values())
+        return min(max(within / between - 1, 2.0), 1e5)
+
+    a = strength(hosts, lambda k: overall)
+    host_rate = {k: (sum(v) + a * overall) / (len(v) + a) for k, v in hosts.items()}
+    b = strength(paths, lambda k: host_rate[k[0]])
+    odds = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    for r in got:
+        own, site, e = hosts[r["host"]], paths[(r["host"], r["path"])], r["evidence"]
+        h = (sum(own) - e + a * overall) / (len(own) - 1 + a)
+        p = (sum(site) - e + b * h) / (len(site) - 1 + b)
+        posterior = 1 / (1 + math.exp(-(odds(e) + odds(p) - odds(overall))))
+        assert np.allclose([r["host_rate"], r["path_rate"], r["posterior"]], [h, p, posterior], atol=1e-6) and r["keep"] == (r["posterior"] < quality.REJECT)
+    lone = next(r for r in got if r["host"] == "one")
+    assert abs(lone["path_rate"] - overall) < 1e-6  # nothing but its prior
+    monkeypatch.setattr(quality, "BROADCAST_SITES", 0)
+    again = {r["doc_id"]: r["posterior"] for r in quality.classify(df, labels.where("doc_id % 2 = 0")).collect()}
+    assert all(abs(again[r["doc_id"]] - r["posterior"]) < 1e-9 for r in got)
+
+
 def test_site_rates_shrink(spark):
     rows_ = [(i, "word", "big", "a") for i in range(200)] + [(999, "word", "small", "b")]
     judged = quality.classify(spark.createDataFrame(rows_, "doc_id long, text string, source string, lang string"), spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")).collect()
@@ -227,12 +268,33 @@ def test_topk(spark, data, monkeypatch):
         if i % 50 == 0:
             best = sorted((-int(q @ w), j) for b, (j, w) in enumerate(fine) if b != a and len(w) == len(q))[:5]
             expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    for cell in (topk.CELL, 400):
+    for cell, block in ((topk.CELL, topk.BLOCK), (400, 7)):
         monkeypatch.setattr(topk, "CELL", cell)
+        monkeypatch.setattr(topk, "BLOCK", block)
         assert sorted(map(tuple, topk.nearest(every).collect())) == sorted(expected)
     assert topk.nearest(every.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "scale"), [(40, 1), (900, 1), (900, 1 << 24), (300, 1 << 33)])
+def test_lists_are_read_until_bounds_close(n, scale):
+    """For each query: what was read leaves no outsider that could qualify, and skewed lists are not read to their ends."""
+    rng = np.random.default_rng(n)
+    v = (rng.standard_normal((n, 8)) * np.array([500, 300, 20, 5, 5, 5, 5, 5])).astype(np.int64) * scale
+    cell, queries = topk.Lists(np.arange(n) * 10, np.zeros(n, np.int64), v), v[::10]
+    found = list(cell.best(queries, [(i * 100, 0) for i in range(len(queries))], 5))
+    for x, (q, got) in enumerate(zip(queries, found, strict=True)):
+        exact = [sum(int(a) * int(b) for a, b in zip(w, q, strict=True)) for w in v]
+        assert got == [(i * 10, min(max(exact[i], 1 - (1 << 63)), (1 << 63) - 1)) for i in sorted((i for i in range(n) if i != x * 10), key=lambda i: (-exact[i], i))[:5]]
+        depth = cell.depths[x]
+        if depth < n:
+            seen = {i for c in range(8) for i in (cell.order[n - depth :, c] if q[c] > 0 else cell.order[:depth, c])}
+            edge = sum(int(q[c]) * int(v[cell.order[n - depth if q[c] > 0 else depth - 1, c], c]) for c in range(8))
+            fifth = sorted(e for i, e in enumerate(exact) if i != x * 10)[-5]
+            assert all(exact[i] <= edge for i in set(range(n)) - seen) and edge <= fifth
+    if n == 900:
+        assert min(cell.depths) < n and np.mean(cell.depths) < 0.8 * n
+
+
 def test_language_model(spark, docs, rows, empty):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     tokens = lambda t: [*blank_words(t), "<end>"]
