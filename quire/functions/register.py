@@ -1,4 +1,4 @@
-"""SQL names for the engine's functions: clean_page_text, rag_text, snippet, dot, and the table function split_text."""
+"""SQL names for the engine's functions: snippet, dot, and the table function split_text. The others are Column functions."""
 
 from __future__ import annotations
 

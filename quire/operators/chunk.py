@@ -39,10 +39,17 @@ def split_at_marks(text: str, size: int, overlap: int) -> list[str]:
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """split_at_marks() of a text without marks, as an expression."""
-    t, step = tx.strip(text), size - overlap
-    count = F.greatest(F.lit(0), F.ceil((F.length(t) - size) / F.lit(step)).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), count), lambda i: tx.strip(F.substring(t, i * step + 1, F.lit(size))))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
+    step = size - overlap
+
+    def pieces(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(t) - size) / F.lit(step)).cast("int"))
+        if overlap > step:
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(size)))
+        # one pass cuts the text into steps; a piece is a step and the beginning of the next
+        join = lambda steps: F.transform(F.slice(steps, F.lit(1), last + 1), lambda s, i: F.concat(s, F.substring(F.coalesce(F.get(steps, i + 1), F.lit("")), 1, overlap)))
+        return tx.let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), join)
+
+    return tx.let(tx.strip(text), lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(pieces(t), tx.strip), lambda p: p != "")))
 
 
 def split(df: DataFrame, column: str, size: int = SIZE, overlap: int = OVERLAP, name: str = "pieces") -> DataFrame:

@@ -47,10 +47,13 @@ def literal(v) -> str:
 
 
 class Fixture:
-    """A small table of literal rows, the same on both sides."""
+    """A small table of literal rows, the same on both sides.
 
-    def __init__(self, schema: str, rows: list[tuple]):
-        self.schema, self.rows = schema, rows
+    over: columns of the same names over a whole table, as (a function of the tables, SQL); its queries run there, too.
+    """
+
+    def __init__(self, schema: str, rows: list[tuple], over: tuple[Callable[[Tables], DataFrame], str] | None = None):
+        self.schema, self.rows, self.over = schema, rows, over
         self.names = [c.strip().split(" ")[0] for c in _columns(schema)]
         kinds = [_kind(c.strip().split(" ", 1)[1]) for c in _columns(schema)]
         values = ", ".join("(" + ", ".join(f"{literal(v)}::{k}" for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
@@ -82,5 +85,10 @@ def scalar(name: str, fixture: Fixture, sql: str, /, **columns: Callable[..., Co
     """A query of expressions over a fixture; sql selects the same from {t}."""
     if name in QUERIES:
         raise ValueError(f"two queries are called {name}")
-    QUERIES[name] = lambda spark, folder: fixture.df(Tables(spark, folder)).select(*fixture.names[:1], *(f(*(F.col(c) for c in fixture.names)).alias(c) for c, f in columns.items()))
+    picked = lambda df: df.select(*fixture.names[:1], *(f(*(F.col(c) for c in fixture.names)).alias(c) for c, f in columns.items()))
+    QUERIES[name] = lambda spark, folder: picked(fixture.df(Tables(spark, folder)))
     ORACLES[name] = sql.replace("{t}", fixture.sql)
+    if fixture.over:
+        table, table_sql = fixture.over
+        QUERIES[f"{name}_documents"] = lambda spark, folder: picked(table(Tables(spark, folder)))
+        ORACLES[f"{name}_documents"] = sql.replace("{t}", f"({table_sql})")

@@ -24,8 +24,18 @@ TEXTS = [
     (7, "copyright 2020\n计算机时代\n正常的一行\n第 3 卷 第 4 期\nMar., 2020\nJournal of Things\n1. 中文标题\n上文\n2、小标题\n", "paper"),
     (8, "https://a.example/very/long/path/that/goes/beyond/thirty\nshort\n通知正文\n", "notice"),
 ]
-T = Fixture("id int, t string, mode string", TEXTS)
-ONE = Fixture("id int, t string", [(i, t) for i, t in enumerate(["", " ", "口", "a", "7", "ab", ",", "—", "□", "-", "- 12 -", "·3·", "12a", "中", "  x  ", "!!", "12", "Computer Era", "doi: 1", "中图分类号：TP", "某某编辑部", "https://example.org", "https://example.org/" + "x" * 40, "关键词：doi 处理", "****", "--------------"])])
+# whole texts in all three modes, and their lines
+_MODE = "case doc_id % 3 when 0 then 'paper' when 1 then 'notice' else 'general' end as mode"
+WHOLE = (
+    lambda t: t.documents.selectExpr("doc_id as id", "text as t", _MODE),
+    f"select doc_id as id, text as t, {_MODE} from documents",
+)
+BY_LINE = (
+    lambda t: t.documents.select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("t")),
+    "select doc_id as id, unnest(string_split(text, chr(10))) as t from documents",
+)
+T = Fixture("id int, t string, mode string", TEXTS, WHOLE)
+ONE = Fixture("id int, t string", [(i, t) for i, t in enumerate(["", " ", "口", "a", "7", "ab", ",", "—", "□", "-", "- 12 -", "·3·", "12a", "中", "  x  ", "!!", "12", "Computer Era", "doi: 1", "中图分类号：TP", "某某编辑部", "https://example.org", "https://example.org/" + "x" * 40, "关键词：doi 处理", "****", "--------------"])], BY_LINE)
 
 scalar("x01_safe_text", ONE, f"select id, {strip_sql('t')} as v from {{t}}", v=lambda id, t: tx.safe_text(t))
 scalar("f09_meaningful_token", ONE, f"""select id, s <> '' and (s in ({", ".join(f"'{g}'" for g in tx.KEPT_GLYPHS)}) or regexp_full_match(s, '[一-鿿]|[A-Za-z0-9]') or length(s) > 1) as v from (select id, {strip_sql('t')} s from {{t}})""", v=lambda id, t: tx.is_meaningful(t))
@@ -119,7 +129,7 @@ scalar("x36_url_templates", URLS, "select id, '/api/docs/' || id || '/tables/' |
 scalar("x37_json_string", PAIRS, "select id, to_json(a)::varchar as v from {t}", v=lambda id, a, b: F.regexp_extract(F.to_json(F.array(a)), r"(?s)^\[(.*)\]$", 1))
 LISTS = Fixture("id int, l array<string>", [(1, ["标题", "第一行", "接着", "结束。", "新段", "继续：", "最后"]), (2, []), (3, ["only"]), (4, [" ", "a", " ", "b！", "c"])])
 query("x13_paragraphs")(lambda t: LISTS.df(t).select("id", tx.paragraphs(F.col("l")).alias("v")))
-query("x30_doc_ids")(lambda t: t.documents.select("doc_id", F.length(F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("n")))
+query("x30_doc_ids", "select doc_id, 32 as n from documents")(lambda t: t.documents.select("doc_id", F.length(F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("n")))
 
 # metadata
 LINES_SQL = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')"
