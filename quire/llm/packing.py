@@ -27,8 +27,9 @@ from quire.llm.components import folder
 
 SIZE = 1024
 SALTS = 64
+SLICE = 1 << 21
 #: Distinct parts whose ids a worker remembers, at least; twice as many at most.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 #: White space that splits every text: a run before a word gives its last blank to the word.
 _IN_WORD = np.ones(256, bool)
@@ -155,7 +156,7 @@ def cut(documents: DataFrame, paths: tuple[str, str] | None = None, size: int =
             _encoders[paths] = Encoder(paths)
         encoder = _encoders[paths]
         for b in batches:
-            for lo, hi, raw, off in tx.slices(b.column(1)):
+            for lo, hi, raw, off in tx.slices(b.column(1), SLICE):  # the more text, the fewer parts that are looked up again
                 ids, at = encoder.ids(raw, off)
                 n = np.diff(at)
                 count = -(-n // size)
