@@ -15,6 +15,7 @@ to `tokenizers` whole.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,14 @@ class Encoder:
         self.json, self.whole = paths[0], None
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.fast._core_bpe.encode_single_piece
-        self.young: dict[int, list[int]] = {}
-        self.old: dict[int, list[int]] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
-    def part(self, b: bytes) -> list[int]:
+    def part(self, b: bytes) -> bytes:
+        """The part's ids, four bytes each."""
         s = b.decode()
-        if s[s[0] == " " :].isalpha():  # one pre-token
-            return self.piece(b)
-        return self.fast.encode_ordinary(s)
+        one = s[s[0] == " " :].isalpha()  # one pre-token
+        return array("I", self.piece(b) if one else self.fast.encode_ordinary(s)).tobytes()
 
     def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets) with id 0 behind each document."""
@@ -77,8 +78,8 @@ class Encoder:
             known.append(ids)
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.fromiter((i for ids in known for i in ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), np.uint32)
         take, _ = tx.ranges((np.cumsum(size) - size)[inverse], size[inverse])
         n = np.bincount(doc, size[inverse], len(off) - 1).astype(np.int64)
         whole = self._whole(raw, off, np.flatnonzero(slow))
