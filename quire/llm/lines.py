@@ -43,6 +43,8 @@ BROADCAST_ROWS = 1 << 20
 
 #: A SimHash has BITS bits; they are counted in parallel, LANE bits for each count, in LANE sums of longs.
 LANE, BITS = 4, 52
+#: In blocks of short lines a word's hash takes up the AT lowest bits of a long, and its length, MARK at most, the others.
+AT, MARK = 56, 255
 
 #: Words that are looked ahead for where two lines agree again.
 AHEAD = 2
@@ -84,15 +86,29 @@ def _levels(n: Column) -> Column:
     return F.when(n >= LEAST_WORDS, F.array_distinct(F.array(F.lit(0), power(n), power(n * 1.1)))).otherwise(F.array(F.lit(0)))
 
 
+def _marked(t: Column) -> Column:
+    """The distinct words of a normalised line as longs: a hash, and in the upper bits the length (MARK at most)."""
+    mark = lambda w: F.xxhash64(w).bitwiseAND((1 << AT) - 1).bitwiseOR(F.shiftleft(F.least(F.length(w), F.lit(MARK)).cast("long"), AT))
+    return F.array_distinct(F.transform(F.split(t, " "), mark))
+
+
+def _length(mark: Column) -> Column:
+    return F.shiftrightunsigned(mark, AT)
+
+
 def _small_blocks(t: Column) -> Column:
     """Blocks of a short line: all words, all words but one, and either half of the characters."""
-    h = F.array_sort(F.array_distinct(F.split(t, " ")))
-    rest = F.length(F.replace(t, F.lit(" "), F.lit("")))
-    but_one = F.transform(h, lambda w: F.when(rest - F.length(w) >= LEAST_REST, F.xxhash64(F.array_remove(h, w))))
-    half = lambda n, side: F.when(n >= LEAST_HALF, F.xxhash64(F.lit(side), F.substring(t, 1, n) if side else F.right(t, n)))
-    at = (F.floor(F.length(t) / 2).cast("int"), F.floor((F.length(t) - 1) / 2).cast("int"))
-    halves = F.when(F.size(h) < FEW, F.array(*(half(n, side) for n in at for side in (0, 1)))).otherwise(F.array().cast("array<long>"))
-    return F.array_distinct(F.array_compact(F.concat(F.array(F.xxhash64(h)), but_one, halves)))
+
+    def blocks(own: Column) -> Column:
+        total = F.aggregate(own, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(w))
+        sides = F.struct(total.alias("total"), F.length(F.replace(t, F.lit(" "), F.lit(""))).alias("rest"))
+        but_one = let(sides, lambda s: F.transform(own, lambda w: F.when(s["rest"] - _length(w) >= LEAST_REST, F.xxhash64(s["total"].bitwiseXOR(w)))))
+        half = lambda n, side: F.when(n >= LEAST_HALF, F.xxhash64(F.lit(side), F.substring(t, 1, n) if side else F.right(t, n)))
+        at = (F.floor(F.length(t) / 2).cast("int"), F.floor((F.length(t) - 1) / 2).cast("int"))
+        halves = F.when(F.size(own) < FEW, F.array(*(half(n, side) for n in at for side in (0, 1)))).otherwise(F.array().cast("array<long>"))
+        return F.concat(F.array(F.xxhash64(total)), but_one, halves)
+
+    return F.array_distinct(F.array_compact(let(_marked(t), blocks)))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
