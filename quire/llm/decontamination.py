@@ -135,10 +135,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     for k, (ids, words) in enumerate(blocks):
         vocabulary, rarity = np.unique(np.concatenate([np.zeros(0, _U), *words])), {}
         if len(vocabulary):
-            counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+            counted = docs.select("text").mapInArrow(tx.released(_frequencies(vocabulary)), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
             rarity = {r["word"] % (1 << 64): r["df"] for r in counted.collect()}  # no more rows than the block has words
         last = k == len(blocks) - 1
-        found = found.mapInArrow(_scan(_Block(ids, words, width, rarity), last), "doc_id long, spans array<long>, items array<string>, n_words long, n_hit long" if last else "doc_id long, text string, spans array<long>, items array<string>")
+        found = found.mapInArrow(tx.released(_scan(_Block(ids, words, width, rarity), last)), "doc_id long, spans array<long>, items array<string>, n_words long, n_hit long" if last else "doc_id long, text string, spans array<long>, items array<string>")
     return found.select("doc_id", "n_words", "n_hit", "spans", "items")
 
 

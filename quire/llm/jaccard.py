@@ -346,24 +346,24 @@ def link_components(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     tx.importable(spark)
     folder(spark)
     docs = documents.select(F.coalesce(documents["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), tx.text_or_empty(documents).alias("text"))
-    counted = docs.select("text").mapInArrow(_count_broad(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).checkpoint()
+    counted = docs.select("text").mapInArrow(tx.released(_count_broad(k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).checkpoint()
     total = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
     broad = counted.where(f"token is not null and n >= {max(8, total // BROAD)}").orderBy(F.desc("n"), "token").limit(MOST_BROAD)
     broad = np.array([r["token"] for r in broad.collect()], np.int64).view(_U) << _U(12)  # at most MOST_BROAD
 
-    described = docs.mapInArrow(_describe(k, percent, broad), "doc_id long, n long, node long, vector binary, prefix array<long>").checkpoint()
+    described = docs.mapInArrow(tx.released(_describe(k, percent, broad)), "doc_id long, n long, node long, vector binary, prefix array<long>").checkpoint()
     nodes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).checkpoint()
     own = described.where("n > 0").join(nodes, "node").where("doc_id = first_doc")
-    dealt = own.select(F.explode("prefix").alias("token"), "node").repartition("token").mapInArrow(_shared_prefixes, "group long, node long")
+    dealt = own.select(F.explode("prefix").alias("token"), "node").repartition("token").mapInArrow(tx.released(_shared_prefixes), "group long, node long")
     dealt = dealt.distinct().checkpoint()
     dealt = _celled(dealt, "group", dealt.groupBy("group").agg(F.count("*").alias("n")))
     points = dealt.join(own.select("node", "n", "vector").dropDuplicates(["node", "n"]), "node").select("group", "node", "n", "vector")
-    candidates = connected(points.repartition("group").mapInArrow(_forests(percent), "a long, b long"))
+    candidates = connected(points.repartition("group").mapInArrow(tx.released(_forests(percent)), "a long, b long"))
     picked = candidates.join(nodes, "node").select(F.col("root").alias("candidate"), "node", F.col("first_doc").alias("doc_id")).checkpoint()
     texts = docs.join(small(picked, BROADCAST_IDS), "doc_id").select("candidate", "node", "text")
-    sets = texts.mapInArrow(_sets(k), "candidate long, node long, tokens binary")
+    sets = texts.mapInArrow(tx.released(_sets(k)), "candidate long, node long, tokens binary")
     sets = _celled(sets, "candidate", picked.groupBy("candidate").agg(F.count("*").alias("n")))
-    links = sets.repartition("candidate").sortWithinPartitions("candidate").mapInArrow(_verify(percent), "a long, b long")
+    links = sets.repartition("candidate").sortWithinPartitions("candidate").mapInArrow(tx.released(_verify(percent)), "a long, b long")
     links = connected(links)
     rooted = nodes.join(links, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))

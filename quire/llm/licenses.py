@@ -156,11 +156,11 @@ def find_licenses(documents: DataFrame, templates: list[tuple[str, str]] | None
         raise ValueError(f"the templates have {len(vocabulary)} distinct words; the most is {MAX_TEMPLATE_WORDS}")
     frequency = {}
     if len(vocabulary):
-        counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+        counted = docs.select("text").mapInArrow(tx.released(_frequencies(vocabulary)), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
         frequency = {r["word"] % (1 << 64): r["df"] for r in counted.collect()}  # a row for each word of the templates
     vocabulary, compiled = _compile(templates, threshold, frequency)
     hashed = [x for x in zip(tx.hash_words(list(phrases), tx.ALPHANUMERIC), phrases.values(), strict=True) if len(x[0])]
-    return docs.mapInArrow(_scan(vocabulary, compiled, hashed), "doc_id long, n_words long, phrases array<struct<label string, word long>>, blocks array<struct<label string, word long, words long, containment double>>")
+    return docs.mapInArrow(tx.released(_scan(vocabulary, compiled, hashed)), "doc_id long, n_words long, phrases array<struct<label string, word long>>, blocks array<struct<label string, word long, words long, containment double>>")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -314,7 +314,7 @@ def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOL
     folder(spark)
     key = documents["doc_id"].cast("long")
     docs = documents.select(key.alias("doc_id"), (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds == held_out).alias("held_out"), tx.text_or_empty(documents).alias("text"))
-    counts = docs.where("not held_out").select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).checkpoint()
+    counts = docs.where("not held_out").select("text").mapInArrow(tx.released(_count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).checkpoint()
     known = counts.where(f"kind = {_WORD}")
     n_train, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     gram = counts.where(f"kind = {_GRAM}").select("key", "n")
@@ -322,7 +322,7 @@ def score_texts(documents: DataFrame, held_out: int = HELD_OUT, folds: int = FOL
     model = spark.sparkContext.broadcast(Trie(*map(_all, (gram, _shorter(gram, 4), _shorter(gram, 3))))) if sent else None  # no level has more grams than the longest
     known = known.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("n"))
     if not sent:
-        of_others = docs.where("held_out").select("text").mapInArrow(_count, "kind int, key long, n long").where(f"kind = {_GRAM}").select("key")
+        of_others = docs.where("held_out").select("text").mapInArrow(tx.released(_count), "kind int, key long, n long").where(f"kind = {_GRAM}").select("key")
         known = known.unionAll(_probabilities(gram, gram.select("key").unionAll(of_others).distinct().checkpoint()).select(F.lit(_GRAM), "key", "p"))
 
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

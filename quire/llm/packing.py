@@ -169,7 +169,7 @@ def cut(documents: DataFrame, paths: tuple[str, str] | None = None, size: int =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(n[owner]), binary], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), tx.text_or_empty(documents).alias("text"))
-    return docs.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.mapInArrow(tx.released(pieces), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:

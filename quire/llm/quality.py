@@ -112,7 +112,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Regression, Regression
     labels = labels.where("doc_id is not null and (toxic is not null or low is not null)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("low").alias("low"))
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), tx.text_or_empty(documents).alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "low", "text")  # SAMPLE labels
-    rows = rows.mapInArrow(_features, "toxic double, low double, signs array<long>, shares array<double>").checkpoint()
+    rows = rows.mapInArrow(tx.released(_features), "toxic double, low double, signs array<long>, shares array<double>").checkpoint()
     # how far a sign's share of bad documents is from all documents' (chi-square), for signs of five documents at least
     counted = rows.select("toxic", "low", F.explode("signs").alias("sign")).groupBy("sign").agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("toxic", "low") for n, f in (("n", F.count), ("bad", F.sum)))).where("n_toxic >= 5 or n_low >= 5").checkpoint()
     out = []
@@ -143,7 +143,7 @@ def evidence(documents: DataFrame, models: tuple[Regression, Regression], host:
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in range(3)), *(pa.array(m.probability(h, doc, shares)) for m in models)], ["doc_id", "host", "path", "toxic", "low"])
 
     rows = documents.select(row.cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), tx.text_or_empty(documents).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, host string, path string, toxic double, low double")
+    return rows.mapInArrow(tx.released(score), "doc_id long, host string, path string, toxic double, low double")
 
 
 def _strength(groups: DataFrame, prior: Column) -> float:
