@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontamination, jaccard, licenses, lines, lm, oracles, packing, quality, topk, warc
+from quire.llm import alignment, chat, decontamination, jaccard, licenses, lines, lm, oracles, packing, quality, token_counts, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.dedup_lines(_table(spark, sf_dir, "documents")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(alignment.align(_table(spark, sf_dir, "documents"), digest=True))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_ngram_jaccard_join,
     op2_warc_revisits,
@@ -67,6 +75,8 @@ _ALL = (
     op8_benchmark_decontamination,
     op9_packing,
     op10_fuzzy_line_dedup,
+    op11_tokenizer_alignment,
+    op13_token_counts,
 )
 
 
