@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import alignment, chat, decontamination, jaccard, licenses, lines, lm, oracles, packing, quality, token_counts, topk, warc
+from quire.llm import alignment, chat, decontamination, jaccard, licenses, lines, lm, oracles, packing, prefixes, quality, token_counts, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(alignment.align(_table(spark, sf_dir, "documents"), digest=True))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(*prefixes.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ _ALL = (
     op9_packing,
     op10_fuzzy_line_dedup,
     op11_tokenizer_alignment,
+    op12_prefix_trie,
     op13_token_counts,
 )
 
@@ -93,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": oracles.CHAT,
         "op6_exact_topk": oracles.TOPK,
         "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op12_prefix_trie": prefixes.ORACLE_SQL,
     }
