@@ -1,4 +1,4 @@
-"""Files in and out: uploads, page images, the vector index, the registry, CSV exports. Paths may be any that Spark can open."""
+"""Files in and out: uploads, page images, the registry, CSV exports. Paths may be any that Spark can open."""
 
 from __future__ import annotations
 
@@ -41,17 +41,6 @@ def valid_lines(raw: DataFrame) -> DataFrame:
     return rows.where(F.col("score").isNotNull() & F.col("text").isNotNull() & F.forall("bbox", lambda p: F.forall(p, lambda v: v.isNotNull())))
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """index(doc_id, ord, embedding, ...): the documents in it replace their own part of the index, others stay."""
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """The index, or one document's part of it (only its folder is read)."""
-    index = spark.read.parquet(path)
-    return index if doc_id is None else index.where(F.col("doc_id") == doc_id)
-
-
 def register(registry: DataFrame, new: DataFrame) -> DataFrame:
     """The registry (pos, doc_id) with new doc_ids behind; blank ones are ignored, known ones keep their place."""
     both = registry.select(F.lit(0).alias("g"), F.col("pos").cast("long").alias("pos"), "doc_id").unionAll(new.select(F.lit(1), F.monotonically_increasing_id(), F.col("doc_id").cast("string")))
@@ -68,17 +57,3 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def write_csv_exports(exports: DataFrame, path: str) -> None:
     """body of each export as text by name; Spark's CSV writer quotes differently and isn't used."""
     exports.select("name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
-
-
-def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a relational database."""
-    return spark.read.jdbc(url, table, properties=options)
-
-
-def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
-def replace_rows(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The rows of the documents in it replace their stored ones, all at once per document."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

@@ -121,24 +121,15 @@ def test_text_fixtures(spark):
     assert paragraphs == "标题\n第一行接着结束。\n新段"
 
 
-def test_index_is_replaced_by_document(spark, tmp_path):
-    from quire.sources import files
-
-    path = str(tmp_path / "index")
-    a = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "y")], "doc_id string, ord int, v string")
-    files.write_index(a, path)
-    files.write_index(spark.createDataFrame([("d1", 0, "z")], "doc_id string, ord int, v string"), path)
-    assert {(r["doc_id"], r["v"]) for r in files.read_index(spark, path).collect()} == {("d1", "z"), ("d2", "y")}
-
-
 def test_streamed_pages_are_indexed_once(spark, tmp_path):
+    from quire.sources.versioned import Store
     from quire.streaming.incremental import index_stream
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"doc_id":"d","ord":0,"page":1,"clean_text_for_rag":"hello"}\n')
     for _ in range(2):
         index_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert Store(spark, str(tmp_path / "out")).read("chunks").count() == 1
 
 
 def test_sql_functions(spark):
