@@ -1,20 +1,28 @@
 """Exact retrieval over an index of chunk vectors, context assembly and prompts.
 
-The index is index(doc_id, ord, embedding, ...); questions are (qid, embedding, ...), sent to every task if they are
-few and asked in blocks if not. Scores accumulate in double and are rounded to six places, so equal vectors tie; ties go to the
-document's order, then the chunk's.
+The index is index(doc_id, ord, embedding, ...); questions are (qid, q), q being the vector. Both are packed into blocks of
+vectors, and a task multiplies its blocks as matrices. Of the scores it keeps what can still be among a question's best, so
+k rows for each question and partition go on to be merged. Scores are in double and rounded to six places, so equal vectors
+tie; ties go to the document's order, then the chunk's. Vectors that are null, empty or hold no number take no part, nor do
+chunks without doc_id or ord and questions without qid; vectors of different lengths have no score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import dot
 from quire.functions.text import excerpt, strip
 
-MOST_QUESTIONS = 10_000
 PER_DOCUMENT = 3
+#: Vectors in a block of questions, and of chunks.
+QUESTION_BLOCK, CHUNK_BLOCK = 512, 1024
+#: Blocks of questions that are sent to every task at most; more are dealt to as many partitions as it takes.
+SENT_BLOCKS = 32
 
 # Texts of answers and prompts.
 NOTHING_INDEXED = "当前没有已完成向量入库的文档，跨文档问答暂时无法检索。请重新上传或重新解析文档后再试。"
@@ -22,31 +30,152 @@ DEGRADED_SYSTEM = "你是友好的中文助手，请简洁、准确地回答用
 PROMPT = ("问题：", "\n\n检索上下文：\n")
 
 
-def score(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every question with every row of the index, with score. questions: qid and q (its vector), any number of them.
-
-    Up to MOST_QUESTIONS are sent to every task. More are dealt into even blocks of at most about so many, and each block
-    meets each partition of the index in a task of its own.
-    """
-    n = questions.count()
-    asked = F.broadcast(questions) if n <= MOST_QUESTIONS else questions.repartition(-(-n // MOST_QUESTIONS)).hint("shuffle_replicate_nl")
-    return index.crossJoin(asked).withColumn("score", F.round(dot(F.col("embedding"), F.col("q")), 6))
+def blocks(rows: DataFrame, names: list[str], vector: str, size: int) -> DataFrame:
+    """A row for up to so many vectors of one length: names as arrays, dim, matrix (the vectors, as bytes of doubles)."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    own = rows.select(*names, F.col(vector).cast("array<double>").alias("_v"))
+    own = own.where((F.size("_v") > 0) & F.forall("_v", number)).dropna(subset=names)
+    kinds = [(n, f.dataType.simpleString()) for n, f in zip(names, own.schema, strict=False)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(len(names))
+            off = vectors.offsets.to_numpy()
+            values, lengths = vectors.values.to_numpy(), np.diff(off)
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                for i in range(0, len(at), size):
+                    take = at[i : i + size]
+                    ends = pa.array([0, len(take)], pa.int32())
+                    columns = [pa.ListArray.from_arrays(ends, b.column(j).take(pa.array(take))) for j in range(len(names))]
+                    matrix = values[off[take][:, None] + np.arange(dim)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([int(dim)], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=[*names, "dim", "matrix"])
+
+    return own.mapInArrow(pack, ", ".join(f"{n} array<{k}>" for n, k in kinds) + ", dim int, matrix binary")
+
+
+def _meeting(index: DataFrame, questions: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """qid, doc_id, ord, score that work gives for the pairs of blocks of a partition: (the questions' hash, qids, doc_ids, ords, scores as a matrix)."""
+    asked = blocks(questions.select("qid", "q"), ["qid"], "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
+    held = blocks(index.select("doc_id", "ord", "embedding"), ["doc_id", "ord"], "embedding", CHUNK_BLOCK)
+    n = -(-questions.count() // QUESTION_BLOCK)
+    # the same questions in as few blocks as they fill
+    asked = asked if n <= 1 else blocks(questions.repartition(n).select("qid", "q"), ["qid"], "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
+    asked = F.broadcast(asked) if n <= SENT_BLOCKS else asked.repartition(-(-n // SENT_BLOCKS)).hint("shuffle_replicate_nl")
+    both = held.crossJoin(asked.withColumnRenamed("dim", "_dim")).where("dim = _dim")
+    kinds = {**dict(questions.select("qid").dtypes), **dict(index.select("doc_id", "ord").dtypes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    cell = lambda c: b.column(c)[i].values  # noqa: B023, E731
+                    dim = b.column("dim")[i].as_py()
+                    q, v = (np.frombuffer(b.column(c)[i].as_buffer()).reshape(-1, dim) for c in ("asked", "matrix"))
+                    scaled = (q @ v.T) * 1e6
+                    same = hash(b.column("asked")[i].as_buffer().to_pybytes())
+                    yield same, cell("qid"), cell("doc_id"), cell("ord"), np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6 + 0.0
+
+        for found in work(pairs()):
+            yield pa.RecordBatch.from_arrays(list(found), names=["qid", "doc_id", "ord", "score"])
+
+    return both.mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, score double")
 
 
-def top_in_document(scored: DataFrame, k: int = 5) -> DataFrame:
+def score(index: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question with every chunk: qid, doc_id, ord, score."""
+
+    def every(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        for _, qids, docs, ords, scores in pairs:
+            n, m = scores.shape
+            q, c = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
+            yield qids.take(q), docs.take(c), ords.take(c), pa.array(scores.ravel())
+
+    return _meeting(index, questions, every)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Each value's place in the order of the distinct values."""
+    return np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+
+
+def _ranks(order: np.ndarray, *groups: np.ndarray) -> np.ndarray:
+    """Of rows in this order, where rows of a group follow one another: each row's place in its group."""
+    new = np.r_[True, np.any([g[order][1:] != g[order][:-1] for g in groups], axis=0)] if len(order) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    return np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+
+
+def _best(q: np.ndarray, doc: np.ndarray, ord_: np.ndarray, value: np.ndarray, k: int, most: int | None) -> np.ndarray:
+    """The rows among the k best of their question, of which most at most are of one document."""
+    at = np.arange(len(q))
+    if most is not None:
+        order = np.lexsort((ord_, -value, doc, q))
+        at = np.sort(order[_ranks(order, q, doc) < most])
+    order = np.lexsort((ord_[at], doc[at], -value[at], q[at]))
+    return at[order[_ranks(order, q[at]) < k]]
+
+
+def candidates(index: DataFrame, questions: DataFrame, k: int, per_document: int | None = None) -> DataFrame:
+    """qid, doc_id, ord, score of the chunks that are a question's k best in their partition: all that can be of the k best."""
+
+    def kept(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        state: dict[tuple, list] = {}
+        for same, qids, docs, ords, scores in pairs:
+            key = same, tuple(qids.to_pylist())
+            own = state.setdefault(key, [qids, np.zeros(0, np.int64), docs[:0], ords[:0], np.zeros(0), np.full(len(qids), -np.inf)])
+            _, q, known, known_ords, values, least = own
+            m = scores.shape[1]
+            good = scores >= least[:, None]
+            if per_document is None:
+                if m > k:
+                    good &= scores >= np.partition(scores, m - k, axis=1)[:, m - k, None]
+            else:
+                for d in np.flatnonzero(np.bincount(_codes(docs)) > per_document):
+                    own_chunks = np.flatnonzero(_codes(docs) == d)
+                    part = scores[:, own_chunks]
+                    good[:, own_chunks] &= part >= np.partition(part, part.shape[1] - per_document, axis=1)[:, part.shape[1] - per_document, None]
+            new_q, c = np.nonzero(good)
+            q, values = np.r_[q, new_q], np.r_[values, scores[new_q, c]]
+            known, known_ords = (pa.concat_arrays([old, new.take(pa.array(c))]) for old, new in ((known, docs), (known_ords, ords)))
+            at = _best(q, _codes(known), _codes(known_ords), values, k, per_document)
+            q, values = q[at], values[at]
+            n = np.bincount(q, minlength=len(qids))
+            last = np.full(len(qids), np.inf)
+            np.minimum.at(last, q, values)
+            state[key] = [qids, q, known.take(pa.array(at)), known_ords.take(pa.array(at)), values, np.where(n >= k, last, -np.inf)]
+        for qids, q, docs, ords, values, _ in state.values():
+            yield qids.take(pa.array(q)), docs, ords, pa.array(values)
+
+    return _meeting(index, questions, kept)
+
+
+def _ranked(rows: DataFrame, k: int, *group: str) -> DataFrame:
+    order = [F.desc("score"), "ord"] if "doc_id" in group else [F.desc("score"), "doc_id", "ord"]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def top(index: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """The k best chunks of each question over all documents, with rank from 1."""
+    return _ranked(candidates(index, questions, k), k, "qid")
+
+
+def top_in_document(index: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """The k best chunks of each question and document, with rank from 1."""
-    best = Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+    def own(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        for _, qids, docs, ords, scores in pairs:
+            n, m = scores.shape
+            q, c = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+            at = _best(q, _codes(docs)[c], _codes(ords)[c], scores.ravel(), n * m, k)
+            yield qids.take(pa.array(q[at])), docs.take(pa.array(c[at])), ords.take(pa.array(c[at])), pa.array(scores.ravel()[at])
 
-def top(scored: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks of each question over all documents."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "ord"))).where(F.col("rank") <= k)
+    return _ranked(_meeting(index, questions, own), k, "qid", "doc_id")
 
 
-def top_across(scored: DataFrame, k: int = 5, per_document: int = PER_DOCUMENT) -> DataFrame:
+def top_across(index: DataFrame, questions: DataFrame, k: int = 5, per_document: int = PER_DOCUMENT) -> DataFrame:
     """At most three chunks of each document, and of those the k best: not the same as the k best of all."""
-    own = top_in_document(scored, per_document).withColumnRenamed("rank", "rank_in_doc")
+    own = _ranked(candidates(index, questions, k, per_document), per_document, "qid", "doc_id").withColumnRenamed("rank", "rank_in_doc")
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "rank_in_doc"))).where(F.col("rank") <= k)
 
 

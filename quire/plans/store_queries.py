@@ -141,19 +141,19 @@ query("a08_prefix_dedup", "select doc_id from (select doc_id, row_number() over
 query("k09_fallback_documents", f"with {REG} select doc_id from documents where doc_id not in (select doc_id from reg)")(lambda t: t.documents.join(reg(t), "doc_id", "left_anti").select("doc_id"))
 
 # retrieval
-V = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings), q as (select vec_id qid, e q from v where vec_id < 5), s as (select qid, label doc_id, vec_id ord, round(list_dot_product(e, q), 6) score from v, q)"
+V = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings), q as (select vec_id qid, e q from v where vec_id % 50 = 0), s as (select qid, label doc_id, vec_id ord, round(list_dot_product(e, q), 6) score from v, q)"
 index = lambda t: t.embeddings.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), "embedding")
-questions = lambda t: t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+questions = lambda t: t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 scored = lambda t: retrieve.score(index(t), questions(t))
 query("j07_scores", f"with {V} select qid, ord, score from s")(lambda t: scored(t).select("qid", "ord", "score"))
 query("g05_inner_products", f"with {V} select qid, round(sum(score), 3) as total from s group by 1")(lambda t: scored(t).groupBy("qid").agg(F.round(F.sum("score"), 3).alias("total")))
 query("g06_normalised", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 5) as n from embeddings")(lambda t: t.embeddings.select("vec_id", F.round(geo.dot(geo.normalised(F.col("embedding")), geo.normalised(F.col("embedding"))), 5).alias("n")))
-query("o04_topk", f"with {V} select qid, rank, ord, score from (select *, row_number() over (partition by qid order by score desc, doc_id, ord)::integer rank from s) where rank <= 5")(lambda t: retrieve.top(scored(t)).select("qid", "rank", "ord", "score"))
-query("w07_top_per_document", f"with {V} select qid, doc_id, rank, ord from (select *, row_number() over (partition by qid, doc_id order by score desc, ord)::integer rank from s) where rank <= 3")(lambda t: retrieve.top_in_document(scored(t), 3).select("qid", "doc_id", "rank", "ord"))
+query("o04_topk", f"with {V} select qid, rank, ord, score from (select *, row_number() over (partition by qid order by score desc, doc_id, ord)::integer rank from s) where rank <= 5")(lambda t: retrieve.top(index(t), questions(t)).select("qid", "rank", "ord", "score"))
+query("w07_top_per_document", f"with {V} select qid, doc_id, rank, ord from (select *, row_number() over (partition by qid, doc_id order by score desc, ord)::integer rank from s) where rank <= 3")(lambda t: retrieve.top_in_document(index(t), questions(t), 3).select("qid", "doc_id", "rank", "ord"))
 TWO_STAGE = f"{V}, r as (select *, row_number() over (partition by qid, doc_id order by score desc, ord) k from s), f as (select *, row_number() over (partition by qid order by score desc, doc_id, k)::integer rank from r where k <= 3)"
-query("o05_two_stage_topk", f"with {TWO_STAGE} select qid, rank, doc_id, ord, score from f where rank <= 5")(lambda t: retrieve.top_across(scored(t)).select("qid", "rank", "doc_id", "ord", "score"))
-query("f30_short_results", f"with {V} select qid, least(count(*), 100000) as n from s group by 1")(lambda t: retrieve.top(scored(t), 100000).groupBy("qid").agg(F.count("*").alias("n")))
-hits = lambda t: retrieve.top_across(scored(t)).withColumns({"content": F.concat(F.lit(" chunk "), F.col("ord").cast("string")), "doc_name": retrieve.document_label(F.col("doc_id"), F.create_map(F.lit("0"), F.lit("zero.pdf"), F.lit("1"), F.lit(" ")))})
+query("o05_two_stage_topk", f"with {TWO_STAGE} select qid, rank, doc_id, ord, score from f where rank <= 5")(lambda t: retrieve.top_across(index(t), questions(t)).select("qid", "rank", "doc_id", "ord", "score"))
+query("f30_short_results", f"with {V} select qid, least(count(*), 100000) as n from s group by 1")(lambda t: retrieve.top(index(t), questions(t), 100000).groupBy("qid").agg(F.count("*").alias("n")))
+hits = lambda t: retrieve.top_across(index(t), questions(t)).withColumns({"content": F.concat(F.lit(" chunk "), F.col("ord").cast("string")), "doc_name": retrieve.document_label(F.col("doc_id"), F.create_map(F.lit("0"), F.lit("zero.pdf"), F.lit("1"), F.lit(" ")))})
 LABEL = "case when doc_id = 0 then 'zero.pdf' else doc_id::varchar end"
 query("j05_document_labels", f"with {TWO_STAGE} select qid, rank, {LABEL} as doc_name from f where rank <= 5")(lambda t: hits(t).select("qid", "rank", "doc_name"))
 query("a15_numbered_context", f"with {TWO_STAGE} select qid, string_agg('[片段' || rank || ']' || chr(10) || 'chunk ' || ord, chr(10) || chr(10) order by rank) as context from f where rank <= 5 group by 1")(lambda t: retrieve.context_block(hits(t), across=False))

@@ -139,13 +139,3 @@ def test_sql_functions(spark):
     assert spark.sql("select dot(array(1d, 2d), array(3d, 4d)) v").first()["v"] == 11.0
     assert [r["piece"] for r in spark.sql("select piece from split_text('abcdef', 4, 1)").collect()] == ["abcd", "def"]
     assert store.json_string(F.lit("a")) is not None
-
-
-def test_scores_of_more_questions_than_are_sent(spark, monkeypatch):
-    index = spark.createDataFrame([(d, o, [float(d), float(o)]) for d in range(3) for o in range(4)], "doc_id int, ord int, embedding array<float>")
-    asked = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(11)], "qid int, q array<float>")
-    rows = lambda: sorted(map(tuple, retrieve.score(index, asked).select("qid", "doc_id", "ord", "score").collect()))
-    few = rows()
-    monkeypatch.setattr(retrieve, "MOST_QUESTIONS", 3)
-    assert rows() == few and len(few) == 11 * 12
-    assert "CartesianProduct" in retrieve.score(index, asked)._jdf.queryExecution().toString()
