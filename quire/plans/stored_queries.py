@@ -1,4 +1,4 @@
-"""Queries that store what they read: the vector index, pages that are put in and replaced, a relational database.
+"""Queries that store what they read: the vector index, pages that are put in and replaced, a relational database, a keyword index.
 
 Each keeps its tables in a new shared folder, made from the whole table of the driver's folder.
 """
@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.keyword_index import KeywordIndex
 from quire.plans.registry import query
+from quire.plans.store_queries import D, G, docs
+from quire.plans.store_queries import pages as conversation_pages
 from quire.sources import relational
 from quire.sources.index import VectorIndex
 from quire.sources.shared import shared_folder
@@ -129,3 +132,32 @@ def s10(t):
     relational.write_table(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), path, "documents", "doc_id")
     found = relational.read_table(t.spark, path, "documents", "doc_id")
     return found.where("lang = 'en' and doc_id >= 10").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))
+
+
+# keyword search by trigrams: the rows that a scan of documents and their pages gives, for several keywords
+
+KEYWORDS = ("tion", "THE ", "nd, th", "e", "of", "the quality of", "is not there", " ")
+
+
+def _snippet(t: str, k: str) -> str:
+    at, n = f"(instr(lower({t}), lower({k})) - 1)", f"length({k})"
+    start, end = f"greatest(0, {at} - 30)", f"least(length({t}), {at} + {n} + 30)"
+    return f"case when {start} > 0 then '...' else '' end || substring({t}, {start} + 1, {end} - {start}) || case when {end} < length({t}) then '...' else '' end"
+
+
+def _hits() -> str:
+    has = lambda x: f"contains(lower({x}), lower(k.keyword))"
+    first = lambda *xs: "case " + " ".join(f"when {has(x)} then {x}" for x in xs) + " end"
+    return (
+        f"{D}, {G}, k as (select unnest({list(KEYWORDS)}) keyword), "
+        f"a as (select keyword, 0 \"level\", id doc_id, filename file_name, null::integer page, {first('display_text', 'clean_text_for_rag')} t from docs, k), "
+        f"b as (select keyword, 1 \"level\", p.doc_id, d.filename file_name, page_no page, {first('p.display_text', 'p.clean_text_for_rag', 'ocr_text')} t from pages p join docs d on d.id = p.doc_id, k), "
+        f"h as (select * from a union all select * from b) select keyword, \"level\", doc_id, file_name, page, {_snippet('t', 'keyword')} snippet from h where t is not null and trim(keyword) <> ''"
+    )
+
+
+@query("j08_indexed_search", f"with {_hits()}")
+def j08(t):
+    index = KeywordIndex(Store(t.spark, shared_folder(t.spark, "keywords")))
+    index.build(docs(t), conversation_pages(t))
+    return index.search(t.spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string"))

@@ -106,6 +106,13 @@ class Store:
         bucket = self.spark.range(1).select(_bucket(F.lit(value).cast(kind), table["buckets"])).first()[0]
         return self._rows(name, table, [str(bucket)]).where(F.col(table["key"]).eqNullSafe(F.lit(value).cast(kind))).drop(BATCH)
 
+    def read_keys(self, name: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """The buckets of these keys (one column): all rows of the keys, and others that share their buckets."""
+        table = self._table(name, version)
+        key = F.col(keys.columns[0]).cast(_schema(table)[table["key"]].dataType)
+        buckets = [str(r[0]) for r in keys.select(_bucket(key, table["buckets"])).distinct().collect()]  # as many as buckets at most
+        return self._rows(name, table, buckets).drop(BATCH)
+
     def _table(self, name: str, version: int | None = None) -> dict:
         tables = self.manifest(version)
         if name not in tables:
