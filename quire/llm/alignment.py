@@ -18,6 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ BUCKETS = 8
 #: A cell's share of postings and of documents, on average at most.
 CELL_POSTINGS, CELL_DOCS = 1 << 22, 1 << 20
 #: Distinct parts a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "▁"
@@ -71,6 +72,8 @@ class Aligner:
         self.bytes_a = [decoded(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
+        self.said_a, self.said_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
         whole = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.part = part_pattern(whole)
         self.forget()
@@ -85,31 +88,36 @@ class Aligner:
     def learn(self, parts: list[str]) -> None:
         """Works out parts that have the next numbers."""
         pairs = self.pair_number
+        bytes_a, bytes_b, size_a, size_b, said_a, said_b = (x.__getitem__ for x in (self.bytes_a, self.bytes_b, self.size_a, self.size_b, self.said_a, self.said_b))
         # behind a line break no space is put before the part; the mark at the start and the break are two tokens
         of_b = self.b.encode([f"\n{p}" for p in parts])
-        for p, a, b in zip(parts, self.a.encode_batch(parts, add_special_tokens=False), of_b, strict=True):
+        for p, a, b in zip(parts, self.a.encode_batch_fast(parts, add_special_tokens=False), of_b, strict=True):
             a, b = a.ids, b[2:]
             raw = p.encode()
-            text_a, text_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self.bad.append(b"".join(text_a) != raw or b"".join(text_b) != raw)
-            groups, n = [], 0
-            if not self.bad[-1]:
-                i = j = at_a = at_b = first_a = first_b = 0
-                while i < len(a):
-                    at_a += len(text_a[i])
-                    i += 1
-                    while at_b < at_a:
-                        at_b += len(text_b[j])
-                        j += 1
-                    if at_b == at_a:
-                        groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            bad = b"".join(map(bytes_a, a)) != raw or b"".join(map(bytes_b, b)) != raw
+            n, group = 0, ""
+            if not bad:
+                ends_a, ends_b = list(accumulate(map(size_a, a))), list(accumulate(map(size_b, b)))
+                common = {*ends_a}.intersection(ends_b)
+                n = len(common)
+                text_a, text_b = list(map(said_a, a)), list(map(said_b, b))
+                if n == 1:
+                    group = f"{','.join(text_a)}|{','.join(text_b)}"
+                    self.links.append(pairs.setdefault(b[-1] << 32 | a[-1], len(pairs)))
+                else:
+                    groups, first_a, first_b = [], 0, 0
+                    for end in sorted(common):
+                        i, j = ends_a.index(end, first_a) + 1, ends_b.index(end, first_b) + 1
+                        groups.append(f"{','.join(text_a[first_a:i])}|{','.join(text_b[first_b:j])}")
                         self.links.append(pairs.setdefault(b[j - 1] << 32 | a[i - 1], len(pairs)))
-                        first_a, first_b, n = i, j, n + 1
+                        first_a, first_b = i, j
+                    group = ";".join(groups)
+            self.bad.append(bad)
             self.n_a.append(len(a))
             self.n_b.append(len(b))
             self.n_links.append(n)
             self.first.append(len(self.links))
-            self.groups.append(";".join(groups))
+            self.groups.append(group)
 
 
 def part_pattern(pieces: list[str]) -> re.Pattern:
@@ -144,30 +152,34 @@ def _sliced(batches: Iterator[pa.RecordBatch], aligner: Aligner, digest: bool) -
             if len(aligner.number) > REMEMBERED:
                 aligner.forget()
             number = aligner.number
-            new = [p for p in dict.fromkeys(p for parts in found for p in parts) if p not in number]
+            new = list({*chain.from_iterable(found)}.difference(number))
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
             for i in range(0, len(new), 4096):
                 aligner.learn(new[i : i + 4096])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            parts = np.fromiter((number[p] for own_parts in found for p in own_parts), np.int64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(found)), sizes)
+            flat = list(map(number.__getitem__, chain.from_iterable(found)))
+            parts = np.array(flat, np.int64)
+            del found
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             column = lambda c, kind=np.int64: np.frombuffer(c, kind).copy()
             # a document with a part whose tokens don't give its bytes has no tokens
-            bad = np.zeros(len(found), bool)
+            n = end - first
+            bad = np.zeros(n, bool)
             bad[doc[column(aligner.bad, np.int8)[parts] != 0]] = True
-            said = [";".join([aligner.groups[number[p]] for p in own_parts]) if not b else "" for own_parts, b in zip(found, bad.tolist(), strict=True)]
+            texts, group = iter(flat), aligner.groups.__getitem__
+            said = [";".join(map(group, list(islice(texts, k)))) for k in sizes.tolist()]
+            said = ["" if b else s for s, b in zip(said, bad.tolist(), strict=True)]
             if digest:
                 said = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
             good = ~bad[doc]
             parts, doc = parts[good], doc[good]
-            sums = [np.bincount(doc, column(c)[parts], len(found)).astype(np.int64) for c in (aligner.n_a, aligner.n_b, aligner.n_links)]
-            n = end - first
+            sums = [np.bincount(doc, column(c)[parts], n).astype(np.int64) for c in (aligner.n_a, aligner.n_b, aligner.n_links)]
             at = own + n_slices
             n_slices += 1
             yield _batch(n, slice=pa.array(np.full(n, at)), place=pa.array(np.arange(n, dtype=np.int32)), doc_id=batch.column("doc_id").slice(first, n), n_a=pa.array(sums[0]), n_b=pa.array(sums[1]), n_links=pa.array(sums[2]), groups=pa.array(said))
             counts = column(aligner.n_links)[parts]
             take, owner = tx.ranges(column(aligner.first)[parts], counts)
-            postings = _postings(column(aligner.links)[take], doc[owner], np.fromiter(aligner.pair_number, np.int64, len(aligner.pair_number)), len(found))
+            postings = _postings(column(aligner.links)[take], doc[owner], np.fromiter(aligner.pair_number, np.int64, len(aligner.pair_number)), n)
             if postings:
                 m = len(postings["side"])
                 yield _batch(m, slice=pa.array(np.full(m, at)), **postings)
