@@ -48,7 +48,7 @@ def rstrip(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | (strip(c) == "")
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def safe_text(c: Column) -> Column:

@@ -64,6 +64,16 @@ def split(df: DataFrame, column: str, size: int = SIZE, overlap: int = OVERLAP,
     return df.where(plain).withColumn(name, windows(F.col(column), size, overlap)).unionByName(df.where(~plain).withColumn(name, by_marks(column)))
 
 
+# Fixed value: chunks that agree in so many characters are one.
+PREFIX = 200
+
+
+def first_by_prefix(chunks: DataFrame, order: str, *group: str) -> DataFrame:
+    """Of the chunks of a group that begin with the same characters, the first in order."""
+    same = Window.partitionBy(*group, F.substring("content", 1, PREFIX)).orderBy(order)
+    return chunks.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+
+
 def build_chunks(pages: DataFrame, tables: DataFrame | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of pages(doc_id, ord, page, page_no, clean_text_for_rag, raw_ocr_text, display_text, text) and tables(doc_id, ord, id,
     page, markdown, rows, title): doc_id, ord, content, source_type, page_no, chunk_index, table_id.
@@ -83,5 +93,5 @@ def build_chunks(pages: DataFrame, tables: DataFrame | None = None, size: int =
         t = tables.select("doc_id", "ord", F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page_no"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("tid"), tb.body_text(F.col("markdown"), F.col("rows")).alias("body"), tx.safe_text(F.col("title")).alias("title")).where("body is not null")
         head = F.concat(F.lit("【表格 "), F.when(F.col("tid") != "", F.col("tid")).otherwise("未命名"), F.lit(" · 第"), F.col("page_no").cast("string"), F.lit("页】"), F.when(F.col("title") != "", F.concat(F.lit(" "), "title")).otherwise(""))
         out = out.unionByName(t.select("doc_id", F.struct(F.lit(1).alias("part"), F.col("ord").cast("long").alias("o"), F.lit(0).alias("family"), F.lit(0).alias("chunk_index")).alias("place"), F.concat(head, F.lit("\n"), "body").alias("content"), F.lit("table").alias("source_type"), "page_no", F.lit(None).cast("int").alias("chunk_index"), F.when(F.col("tid") != "", F.col("tid")).alias("table_id")))
-    kept = out.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", F.substring("content", 1, 200)).orderBy("place"))).where("n = 1")
+    kept = first_by_prefix(out, "place", "doc_id")
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).select("doc_id", "ord", "content", "source_type", "page_no", "chunk_index", "table_id")

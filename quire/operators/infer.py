@@ -17,6 +17,14 @@ from quire.functions import tables as tb
 from quire.functions.text import safe_text
 
 
+# Fixed values, in points: row tolerance from, to, by line height; column tolerance from, to, by width; the largest step within
+# a block from, to, by the usual step, which is USUAL_STEP where there is none; how many anchors a block keeps at most.
+ROW_LEAST, ROW_MOST, ROW_BY_HEIGHT = 8.0, 24.0, 0.75
+COLUMN_LEAST, COLUMN_MOST, COLUMN_BY_WIDTH = 28.0, 60.0, 0.05
+STEP_LEAST, STEP_MOST, STEP_BY_USUAL, USUAL_STEP = 45.0, 100.0, 2.6, 30.0
+MOST_ANCHORS = 8
+
+
 class Centres:
     """Moving means: a value joins the nearest one within the tolerance (the earliest of equals) or opens its own."""
 
@@ -36,7 +44,7 @@ class Centres:
 
 def cluster_rows(lines: list[dict]) -> list[list[dict]]:
     rows: dict[int, list[dict]] = {}
-    centres = Centres(max(8.0, min(24.0, 0.75 * median(x["y1"] - x["y0"] for x in lines)))) if lines else None
+    centres = Centres(max(ROW_LEAST, min(ROW_MOST, ROW_BY_HEIGHT * median(x["y1"] - x["y0"] for x in lines)))) if lines else None
     for x in sorted(lines, key=lambda x: ((x["y0"] + x["y1"]) / 2, x["x0"])):
         rows.setdefault(centres.place((x["y0"] + x["y1"]) / 2), []).append(x)
     return [sorted(rows[i], key=lambda x: x["x0"]) for i in sorted(rows)]
@@ -48,17 +56,17 @@ def blocks(rows: list[list[dict]]) -> list[list[list[dict]]]:
     centre = [sum((c["y0"] + c["y1"]) / 2 for c in r) / len(r) for r in rows]
     steps = [b - a for a, b in zip(centre, centre[1:], strict=False)]
     down = [s for s in steps if s > 0]
-    most = max(45.0, min(100.0, 2.6 * (median(down) if down else 30.0)))
+    most = max(STEP_LEAST, min(STEP_MOST, STEP_BY_USUAL * (median(down) if down else USUAL_STEP)))
     cuts = [0, *(i + 1 for i, s in enumerate(steps) if s > most), len(rows)]
     return [rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def anchors(rows: list[list[dict]], most: int = 8) -> list[float]:
+def anchors(rows: list[list[dict]], most: int = MOST_ANCHORS) -> list[float]:
     """The left edges that most cells share, from left to right."""
     xs = sorted(c["x0"] for r in rows if len(r) > 1 for c in r)
     if not xs:
         return []
-    centres = Centres(max(28.0, min(60.0, 0.05 * (xs[-1] - xs[0]))))
+    centres = Centres(max(COLUMN_LEAST, min(COLUMN_MOST, COLUMN_BY_WIDTH * (xs[-1] - xs[0]))))
     for x in xs:
         centres.place(x)
     return sorted(x for _, x in sorted(zip(centres.size, centres.at, strict=True), reverse=True)[:most])
@@ -87,6 +95,23 @@ def boxes(lines: DataFrame) -> DataFrame:
     return out.where("text <> '' and x1 > x0 and y1 > y0")
 
 
+def _pages(lines: DataFrame) -> DataFrame:
+    """doc_id, page_no and lines: a page's lines together."""
+    return boxes(lines).groupBy("doc_id", F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "x0", "x1", "y0", "y1"))).alias("lines"))
+
+
+def block_anchors(lines: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
+    """doc_id, page_no, block and anchors: the left edges that the cells of each block of three rows or more go by, from left to right."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, k, anchors(rows, most)) for i, page in enumerate(b.column("lines").to_pylist()) for k, rows in enumerate(x for x in blocks(cluster_rows(page)) if len(x) > 2)]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page_no").take(at), pa.array([k for _, k, _ in found], pa.int32()), pa.array([x for _, _, x in found], pa.list_(pa.float64()))], ["doc_id", "page_no", "block", "anchors"])
+
+    return _pages(lines).mapInArrow(work, f"doc_id {dict(lines.dtypes)['doc_id']}, page_no int, block int, anchors array<double>")
+
+
 def infer_tables(lines: DataFrame) -> DataFrame:
     """doc_id and the tables of each page: id, page, title, markdown, html, rows, source 'ocr'; numbered within the page."""
 
@@ -96,9 +121,7 @@ def infer_tables(lines: DataFrame) -> DataFrame:
             at = pa.array([i for i, _, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page_no").take(at), pa.array([k for _, k, _ in found], pa.int32()), pa.array([r for _, _, r in found], pa.list_(pa.list_(pa.string())))], ["doc_id", "page_no", "block", "rows"])
 
-    doc_type = dict(lines.dtypes)["doc_id"]
-    pages = boxes(lines).groupBy("doc_id", F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "x0", "x1", "y0", "y1"))).alias("lines"))
-    raw = pages.mapInArrow(infer, f"doc_id {doc_type}, page_no int, block int, rows array<array<string>>")
+    raw = _pages(lines).mapInArrow(infer, f"doc_id {dict(lines.dtypes)['doc_id']}, page_no int, block int, rows array<array<string>>")
     good = raw.withColumn("rows", tb.normalise_rows(F.col("rows"))).where(tb.judge(tb.shape(F.col("rows"))))
     seq = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("block"))
     return good.withColumn("seq", seq).select("doc_id", F.inline(F.array(tb.table_struct(F.col("page_no"), F.col("seq"), F.col("rows"), F.lit("ocr")))))

@@ -197,10 +197,20 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(PROMPT[0]), question, F.lit(PROMPT[1]), context)
 
 
+# Fixed value: characters of a hit's text that an answer shows.
+SHOWN = 8000
+
+
+def shown_content(content: Column, text: Column) -> Column:
+    """A hit's text, or else its second one, cut."""
+    some = lambda c: F.when(c != "", c)
+    return F.substring(F.coalesce(some(content), some(text), F.lit("")), 1, SHOWN)
+
+
 def response_context(content: Column, text: Column, score_: Column, source_type: Column, page_no: Column, table_id: Column, doc_id: Column, doc_name: Column) -> Column:
     """JSON of a hit; content cut at 8,000 characters, keys without a value left out."""
     some = lambda c: F.when(c != "", c)
-    return F.to_json(F.struct(F.substring(F.coalesce(some(content), some(text), F.lit("")), 1, 8000).alias("content"), score_.alias("score"), source_type.alias("source_type"), page_no.alias("page_no"), table_id.alias("table_id"), some(doc_id).alias("doc_id"), some(doc_name).alias("doc_name")))
+    return F.to_json(F.struct(shown_content(content, text).alias("content"), score_.alias("score"), source_type.alias("source_type"), page_no.alias("page_no"), table_id.alias("table_id"), some(doc_id).alias("doc_id"), some(doc_name).alias("doc_name")))
 
 
 def route(questions: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import tables as tb
 from quire.functions import text as tx
+from quire.operators.ordering import numbered
 
 
 def registry(listed: DataFrame, files: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def registry(listed: DataFrame, files: DataFrame) -> DataFrame:
     own = listed.select(tx.strip(F.col("doc_id").cast("string")).alias("doc_id"), F.struct(F.lit(0).alias("kind"), F.col("pos").cast("long").alias("pos"), F.lit("").alias("name")).alias("at")).where("doc_id <> ''")
     both = files.where(F.col("file").isin("index.faiss", "meta.json")).groupBy("doc_id").agg(F.count_distinct("file").alias("n")).where("n = 2").select("doc_id", F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("pos"), F.col("doc_id").alias("name")).alias("at"))
     first = own.unionAll(both).groupBy("doc_id").agg(F.min("at").alias("at"))
-    return first.select("doc_id", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("pos"))
+    return numbered(first, "at").select("doc_id", "pos")
 
 
 def indexed(vector_doc_id: Column, in_registry: Column, available: Column) -> Column:
@@ -38,10 +39,16 @@ def searchable(documents: DataFrame, registered: DataFrame) -> DataFrame:
     return documents.where("status = 1").join(ids, documents["id"].cast("string") == ids["_reg"], "left_semi")
 
 
-def name_map(documents: DataFrame) -> DataFrame:
-    """One row with names, a map of id to file name for named documents."""
+def names(documents: DataFrame) -> DataFrame:
+    """doc_id (as a string) and doc_name of documents that have an id and a name; of several of one id, the smallest name."""
     named = documents.where(F.col("id").isNotNull() & ~tx.is_blank(F.col("filename")))
-    return named.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("key"), F.col("filename").alias("value"))))).alias("names"))
+    return named.groupBy(F.col("id").cast("string").alias("doc_id")).agg(F.min(tx.strip(F.col("filename"))).alias("doc_name"))
+
+
+def with_names(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """hits (doc_id, ...) with doc_name: the document's name, else its id."""
+    own = names(documents).withColumnRenamed("doc_id", "_id")
+    return hits.join(own, hits["doc_id"].cast("string") == own["_id"], "left").withColumn("doc_name", F.coalesce("doc_name", F.col("doc_id").cast("string"))).drop("_id")
 
 
 def with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -100,6 +107,30 @@ def json_string(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
 
 
+def document_row(parsed: DataFrame) -> DataFrame:
+    """The document's row of a parse result: doc_id, raw_ocr_text, display_text, clean_text_for_rag, ocr_text, table_extract_status,
+    pages_json, tables_json and table_json (the tables under one key).
+
+    parsed: doc_id, raw_ocr_text, ocr_text, display_text, text, clean_text_for_rag, table_extract_status, and pages and tables
+    (arrays of structs; null ones give no JSON). Texts that are blank count as missing and give way to the next name.
+    """
+    c = {n: F.col(n) for n in parsed.columns}
+    display = tx.first_non_blank(c["display_text"], c["text"])
+    # nulls stand in the JSON as they do in the result
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    return parsed.select(
+        "doc_id",
+        tx.first_non_blank(c["raw_ocr_text"], c["ocr_text"]).alias("raw_ocr_text"),
+        display.alias("display_text"),
+        tx.first_non_blank(c["clean_text_for_rag"]).alias("clean_text_for_rag"),
+        F.coalesce(display, legacy_text(F.lit(None).cast("string"), c["text"], c["ocr_text"], c["pages"])).alias("ocr_text"),
+        tx.first_non_blank(c["table_extract_status"]).alias("table_extract_status"),
+        as_json(c["pages"]).alias("pages_json"),
+        as_json(c["tables"]).alias("tables_json"),
+        F.when(c["tables"].isNotNull(), as_json(F.struct(c["tables"].alias("tables")))).alias("table_json"),
+    )
+
+
 def index_state(chunks: Column, fallback: Column, error: Column) -> Column:
     """struct<status, indexed>: 1 with chunks of the engine, or of the second attempt, and no error; else 2."""
     own = F.when(chunks > 0, chunks).otherwise(fallback)

@@ -8,8 +8,13 @@ from quire.functions import geometry as geo
 from quire.functions import text as tx
 from quire.operators import layout
 from quire.plans.registry import Fixture, query, scalar
+from quire.plans.text_queries import CLEAN, DROP_SQL, RAG, RAG_GENERAL, RAG_NOTICE
 
-BOXES = Fixture("id int, b array<array<double>>", [(1, [[1.0, 2.0], [5.0, 2.0], [5.0, 8.0], [1.0, 8.0]]), (2, [[0.5, 1.5], [2.5, 1.5], [2.5, 1.5], [0.5, 1.5]]), (3, [[-1.0, 0.0], [3.0, 4.0], [0.0, 9.5], [2.0, 2.0]])])
+BOXES_OF_ITEMS = (
+    lambda t: t.lineitem.select(F.col("l_orderkey").alias("id"), F.array(*(F.array(x, y) for x, y in ((F.col("l_quantity") / 4, F.col("l_linenumber") * 1.5), (F.col("l_quantity") / 4 + F.col("l_linenumber") % 3, F.col("l_linenumber") * 1.5 + 7), (-F.col("l_quantity") / 2, F.lit(2.5))))).alias("b")),
+    "select l_orderkey as id, [[l_quantity / 4, l_linenumber * 1.5::double], [l_quantity / 4 + l_linenumber % 3, l_linenumber * 1.5::double + 7], [-l_quantity / 2, 2.5::double]] as b from lineitem",
+)
+BOXES = Fixture("id int, b array<array<double>>", [(1, [[1.0, 2.0], [5.0, 2.0], [5.0, 8.0], [1.0, 8.0]]), (2, [[0.5, 1.5], [2.5, 1.5], [2.5, 1.5], [0.5, 1.5]]), (3, [[-1.0, 0.0], [3.0, 4.0], [0.0, 9.5], [2.0, 2.0]])], BOXES_OF_ITEMS)
 XS, YS = "list_transform(b, lambda p: p[1])", "list_transform(b, lambda p: p[2])"
 scalar("g01_rect", BOXES, f"select id, list_min({XS}) as l, list_min({YS}) as t, list_max({XS}) as r, list_max({YS}) as bt from {{t}}", l=lambda id, b: geo.rect(b)["left"], t=lambda id, b: geo.rect(b)["top"], r=lambda id, b: geo.rect(b)["right"], bt=lambda id, b: geo.rect(b)["bottom"])
 _line = lambda b: layout.with_geometry(F.struct(F.lit(1).alias("line_no"), F.lit("t").alias("text"), F.lit(1.0).alias("score"), b.alias("bbox")))
@@ -84,9 +89,19 @@ query("w02_stitch", f"with {P} select doc_id, md5(regexp_replace(string_agg(case
 modes = lambda t: t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "general").otherwise("notice").alias("clean_mode"))
 parsed = lambda t: layout.parse_pages(page_lines(t), modes(t))
 query("p09_page_results", f"with {P} select doc_id, 1 as page, case when doc_id % 2 = 0 then 'general' else 'notice' end as clean_mode, count(*) as ocr_line_count from lines group by 1")(lambda t: parsed(t).select("doc_id", "page", "clean_mode", "ocr_line_count"))
-query("p08_parse_payload")(lambda t: parsed(t).select("doc_id", F.md5("display_text").alias("display"), F.md5("clean_text_for_rag").alias("rag"), "is_two_column", "filtered_line_count"))
-query("x05_display_of_lines")(lambda t: parsed(t).select("doc_id", F.length("display_text").alias("n")))
-query("x06_rag_of_lines")(lambda t: parsed(t).select("doc_id", F.length("clean_text_for_rag").alias("n")))
+# the whole way of a page: order, filter, stitching, then the texts of text_queries
+PARSED = rf"""{COLUMNS}, d as (select f.*, case when f.doc_id % 2 = 0 then 'general' else 'notice' end mode from f),
+  o as (select d.*, case when mode = 'notice' then 0 else coalesce(r.region, 0) end region from d left join r on r.doc_id = d.doc_id and r.i = d.i),
+  kept as (select *, row_number() over (partition by doc_id order by region, y, x, i) k, lag(y) over (partition by doc_id order by region, y, x, i) prev from (
+    select o.*, text s, mode m from o) q where score >= case when mode = 'general' then 0.15 else 0.35 end and not regexp_full_match(text, '[-·\s]*\d+[-·\s]*') and not (text in ({NOISE})) and not ({DROP_SQL})),
+  t as (select doc_id id, case when doc_id % 2 = 0 then 'general' else 'notice' end as mode, n,
+    regexp_replace(replace(coalesce(s, ''), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') as t
+    from (select distinct doc_id from lines) left join (select doc_id, count(*) n, string_agg(case when k = 1 then '' when y = prev then ' ' when y - (prev + 16) > 19.2 then chr(10) || chr(10) else chr(10) end || text, '' order by k) s from kept group by 1) using (doc_id)),
+  shown as (select id, {CLEAN} v from t),
+  rag as (select id, {RAG} v from (select id, case when mode = 'general' then {RAG_GENERAL} else {RAG_NOTICE} end r from (select id, mode, {CLEAN} c from t)))"""
+query("p08_parse_payload", f"with {PARSED} select t.id doc_id, md5(shown.v) display, md5(rag.v) rag, t.mode <> 'notice' and coalesce(two.v, false) is_two_column, coalesce(n, 0) filtered_line_count from t join shown on shown.id = t.id join rag on rag.id = t.id left join two on two.doc_id = t.id")(lambda t: parsed(t).select("doc_id", F.md5("display_text").alias("display"), F.md5("clean_text_for_rag").alias("rag"), "is_two_column", "filtered_line_count"))
+query("x05_display_of_lines", f"with {PARSED} select id doc_id, length(v)::integer n, md5(v) h from shown")(lambda t: parsed(t).select("doc_id", F.length("display_text").alias("n"), F.md5("display_text").alias("h")))
+query("x06_rag_of_lines", f"with {PARSED} select id doc_id, length(v)::integer n, md5(v) h from rag")(lambda t: parsed(t).select("doc_id", F.length("clean_text_for_rag").alias("n"), F.md5("clean_text_for_rag").alias("h")))
 query("a01_merge_pages", "select conv_id, md5(regexp_replace(coalesce(string_agg(s, chr(10) || chr(10) order by turn, s) filter (s <> ''), ''), '^\\s+|\\s+$', '', 'g')) as h from (select conv_id, turn, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') s from conversations) group by 1")(
     lambda t: layout.merge_pages(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("display_text"))).select(F.col("doc_id").alias("conv_id"), F.md5("text").alias("h"))
 )

@@ -46,6 +46,11 @@ def literal(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
+def same_over(table: str, *columns: str) -> tuple[Callable[[Tables], DataFrame], str]:
+    """For a fixture's over: columns of a whole table, by expressions that both sides read."""
+    return lambda t: getattr(t, table).selectExpr(*columns), f"select {', '.join(columns)} from {table}"
+
+
 class Fixture:
     """A small table of literal rows, the same on both sides.
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as geo
 from quire.functions import text as tx
 from quire.operators import chunk, retrieve, search, store
-from quire.plans.registry import Fixture, query, scalar
+from quire.operators.ordering import numbered
+from quire.plans.registry import Fixture, query, same_over, scalar
 from quire.sources import files
 from quire.sources.settings import Settings
 
@@ -48,7 +49,7 @@ LEVEL0 = f"select 0 as level, id as doc_id, filename as file_name, null::integer
 LEVEL1 = f"select 1 as level, g.doc_id, d.filename as file_name, page_no as page, {_snippet('t')} as snippet from (select *, case when {HAS('display_text')} then display_text when {HAS('clean_text_for_rag')} then clean_text_for_rag when {HAS('ocr_text')} then ocr_text end t from pages) g join docs d on d.id = g.doc_id where t is not null"
 query("j08_keyword_search", f"select doc_id, source, {_snippet('text')} as snippet from documents where {HAS('text')}")(lambda t: t.documents.where(tx.contains_keyword(F.col("text"), F.lit(KEYWORD))).select("doc_id", "source", tx.snippet(F.col("text"), F.lit(KEYWORD)).alias("snippet")))
 query("u04_search_union", f"with {D}, {G} {LEVEL0} union all {LEVEL1}")(lambda t: search.search(docs(t), pages(t), KEYWORD))
-query("o16_search_order", f"with {D}, {G}, h as ({LEVEL0} union all {LEVEL1}) select row_number() over (order by level, doc_id desc, page) as n, level, doc_id, page from h")(lambda t: search.search(docs(t), pages(t), KEYWORD).select(F.row_number().over(Window.orderBy("level", F.desc("doc_id"), "page")).cast("long").alias("n"), "level", "doc_id", "page"))
+query("o16_search_order", f"with {D}, {G}, h as ({LEVEL0} union all {LEVEL1}) select row_number() over (order by level, doc_id desc, page) as n, level, doc_id, page from h")(lambda t: numbered(search.search(docs(t), pages(t), KEYWORD), "level", F.desc("doc_id"), "page").select((F.col("pos") + 1).alias("n"), "level", "doc_id", "page"))
 query("f29_search_scope", f"with {D}, {G} select * from ({LEVEL0} union all {LEVEL1}) where doc_id = 4")(lambda t: search.search(docs(t), pages(t), KEYWORD, doc_id=4))
 query("f24_name_filter", f"with {D} select id, filename from docs where contains(lower(filename), 'src1-')")(lambda t: search.filter_by_name(docs(t), " SRC1- ").select("id", "filename"))
 query("a18_hit_counts", f"select doc_id, (length(text) - length(replace(text, '{KEYWORD}', ''))) // {len(KEYWORD)} as n from documents")(lambda t: t.documents.select("doc_id", F.regexp_count("text", F.lit(KEYWORD)).cast("long").alias("n")))
@@ -87,7 +88,8 @@ query("o03_tables_in_order", "select l_orderkey, row_number() over (partition by
 query("p14_table_list", "select l_orderkey as doc_id, l_linenumber as id, l_partkey as page_no from lineitem")(lambda t: tables(t).select("doc_id", "id", "page_no"))
 query("p15_page_text", "select d.doc_id, coalesce(text_, '') as text from documents d left join (select conv_id, max(text) text_ from conversations where turn = 0 group by 1) c on c.conv_id = d.doc_id")(lambda t: t.documents.select("doc_id").join(t.conversations.where("turn = 0").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("text").alias("x")), "doc_id", "left").select("doc_id", F.coalesce("x", F.lit("")).alias("text")))
 query("p22_first_document", "select max(doc_id) as doc_id from documents")(lambda t: t.documents.orderBy(F.desc("doc_id")).limit(1).select("doc_id"))
-query("a17_name_map", f"with {D} select count(*) as n, md5(string_agg(filename, ',' order by id::varchar)) as h from docs")(lambda t: store.name_map(docs(t)).select(F.size("names").cast("long").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.map_entries("names")), lambda e: e["value"]), ",")).alias("h")))
+query("a17_name_map", f"with {D} select id::varchar doc_id, filename doc_name from docs where trim(filename) <> ''")(lambda t: store.names(docs(t)))
+query("a17_named_hits", f"with {D} select conv_id doc_id, turn, coalesce(d.filename, conv_id::varchar) doc_name from conversations c left join docs d on d.id = c.conv_id and d.id % 3 <> 0")(lambda t: store.with_names(t.conversations.select(F.col("conv_id").alias("doc_id"), "turn"), docs(t).where("id % 3 <> 0")))
 query("w10_page_numbers", "select conv_id, turn, row_number() over (partition by conv_id order by turn) as page from conversations")(lambda t: files.number_pages(t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list("turn")).alias("images"))).select(F.col("doc_id").alias("conv_id"), F.col("image").alias("turn"), F.col("page").cast("long").alias("page")))
 query("w09_table_numbers", "select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey, l_suppkey, l_quantity) as seq from lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long").alias("seq")))
 query("w04_gap_blocks", "with g as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 1 hour then 1 else 0 end b from events) select event_id, sum(b) over (partition by user_id order by ts, event_id)::bigint as block from g")(
@@ -95,9 +97,9 @@ query("w04_gap_blocks", "with g as (select user_id, ts, event_id, case when ts -
 )
 STATES = Fixture("id int, chunks int, fallback int, err string", [(1, 3, None, None), (2, 0, 5, None), (3, None, None, None), (4, 3, None, "boom"), (5, 0, 0, "boom"), (6, None, 2, "boom"), (7, 3, None, " ")])
 scalar("k08_index_state", STATES, "select id, case when id in (1, 2, 6, 7) then 1 else 2 end as status, id in (1, 2, 6, 7) as indexed from {t}", status=lambda id, c, f, e: store.index_state(c, f, e)["status"], indexed=lambda id, c, f, e: store.index_state(c, f, e)["indexed"])
-STATUS = Fixture("id int, n int, source string, pdf boolean, lib boolean", [(1, 2, "pdf", True, True), (2, 0, "image", False, True), (3, 0, "pdf", True, False), (4, 0, "pdf", True, True), (5, 0, "pdf", False, False)])
+STATUS = Fixture("id int, n int, source string, pdf boolean, lib boolean", [(1, 2, "pdf", True, True), (2, 0, "image", False, True), (3, 0, "pdf", True, False), (4, 0, "pdf", True, True), (5, 0, "pdf", False, False)], same_over("documents", "doc_id as id", "cast(doc_id % 3 as int) as n", "case when doc_id % 2 = 0 then 'image' else 'pdf' end as source", "lang = 'en' as pdf", "doc_id % 5 <> 0 as lib"))
 scalar("a20_extract_status", STATUS, "select id, case when n > 0 then 'extracted' when source = 'image' or not pdf then 'no_table_found' when not lib then 'library_unavailable' else 'no_table_found' end as v from {t}", v=lambda id, n, s, p, l: store.extract_status(n, s, p, l))
-LABELS = Fixture("id int, s string, v int, st int", [(1, "not_applicable", None, 1), (2, "library_unavailable", 3, 0), (3, "no_table_found", 3, 2), (4, "no_table_found", None, 1), (5, None, None, None)])
+LABELS = Fixture("id int, s string, v int, st int", [(1, "not_applicable", None, 1), (2, "library_unavailable", 3, 0), (3, "no_table_found", 3, 2), (4, "no_table_found", None, 1), (5, None, None, None)], same_over("documents", "doc_id as id", "case doc_id % 5 when 0 then 'not_applicable' when 1 then 'library_unavailable' when 2 then 'no_table_found' when 3 then lang end as s", "case when doc_id % 7 < 3 then cast(doc_id + 1 as int) end as v", "case when doc_id % 4 < 3 then cast(doc_id % 4 as int) end as st"))
 scalar("p18_empty_tables", LABELS, "select id, case s when 'not_applicable' then '当前文档类型不适用表格提取' when 'library_unavailable' then '表格提取依赖未安装' when 'no_table_found' then case when v is not null then '向量已入库；当前文档未识别到可提取表格，因此没有 CSV 可下载' else '未识别到可提取表格' end else '暂无结构化表格结果' end as t from {t}", t=lambda id, s, v, st: store.empty_table_text(s, v))
 scalar("p21_status_label", LABELS, "select id, case when st = 1 then case when v is not null then '已入库' else '已解析' end when st = 0 then '处理中' else '失败' end as t from {t}", t=lambda id, s, v, st: store.status_label(st, v.isNotNull()))
 scalar("p19_current_document", LABELS, "select id, coalesce(st, 1) as status from {t}", status=lambda id, s, v, st: F.coalesce(st, F.lit(1)))
@@ -107,12 +109,52 @@ PARSED = Fixture("doc_id int, pages_json string, tables_json string", [(1, '[{"p
 query("p01_parse_pages", "select * from (values (1, 0, 1, 'a', null, '[{\"t\":1}]'), (1, 1, 2, 'b', 'd', null), (1, 2, 7, null, null, null)) x(doc_id, pos, page_no, ocr_text, display_text, ocr_lines_json)")(lambda t: store.parse_pages(PARSED.df(t)).select("doc_id", "pos", "page_no", "ocr_text", "display_text", "ocr_lines_json"))
 query("p02_parse_tables", """select 1 as doc_id, 0 as pos, 1 as page_no, 'm' as table_markdown, '{"id":"t1","title":null,"html":"<p>\\"q\\"</p>","rows":[["a",null]]}' as table_json""")(lambda t: store.parse_tables(PARSED.df(t)))
 query("x26_json_encode", "select doc_id, to_json({'source': source, 'lang': lang})::varchar as j from documents")(lambda t: t.documents.select("doc_id", F.to_json(F.struct("source", "lang")).alias("j")))
-query("k06_document_row", "select conv_id, to_json({'tables': list(turn order by turn)})::varchar as j from conversations group by 1")(lambda t: t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("l")).select("conv_id", F.to_json(F.struct(F.col("l").alias("tables"))).alias("j")))
+
+
+def parse_results(t):
+    """A parse result for each document: its first two lines are its pages; some have a display text, an OCR text, or a table."""
+    d, text = t.documents, F.col("text")
+    none = F.lit(None).cast("string")
+    pages = F.transform(F.slice(F.split("text", "\n"), 1, 2), lambda l, i: F.struct((i + 1).alias("page"), F.when(l != "", l).alias("text")))
+    some = F.col("doc_id") % 5 == 0
+    tables = F.when(some, F.array(F.struct(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("id"), F.array(F.array(F.col("doc_id").cast("string"), none)).alias("rows"))))
+    pages = F.transform(pages, lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"), none.alias("ocr_text")))
+    return d.select("doc_id", F.lit(" ").alias("raw_ocr_text"), F.when(F.col("doc_id") % 4 == 1, text).alias("ocr_text"), F.when(F.col("doc_id") % 4 == 0, text).otherwise("").alias("display_text"), none.alias("text"), none.alias("clean_text_for_rag"), F.when(some, "extracted").alias("table_extract_status"), pages.alias("pages"), tables.alias("tables"))
+
+
+query(
+    "k06_document_row",
+    r"""with p as (select doc_id, text, doc_id % 4 = 0 shown, string_split(text, chr(10))[1:2] ls from documents),
+    r as (select doc_id, case when shown then text end display, case when doc_id % 4 = 1 then text end raw, list_transform(ls, lambda l, i: {'page': i::integer, 'text': nullif(l, ''), 'ocr_text': null}) pages, case when doc_id % 5 = 0 then [{'id': 't' || doc_id, 'rows': [[doc_id::varchar, null]]}] end tables from p)
+    select doc_id, md5(raw) raw, md5(display) display, md5(coalesce(display, raw, trim(array_to_string(list_transform(list_filter(pages, lambda g: trim(coalesce(g.text, '')) <> ''), lambda g: g.text), chr(10))))) ocr, case when doc_id % 5 = 0 then 'extracted' end status, md5(to_json(pages)::varchar) pages, to_json(tables)::varchar tables, case when tables is not null then '{"tables":' || to_json(tables)::varchar || '}' end wrapped from r""",
+)(lambda t: store.document_row(parse_results(t)).select("doc_id", F.md5("raw_ocr_text").alias("raw"), F.md5("display_text").alias("display"), F.md5("ocr_text").alias("ocr"), F.col("table_extract_status").alias("status"), F.md5("pages_json").alias("pages"), F.col("tables_json").alias("tables"), F.col("table_json").alias("wrapped")))
 query("a14_legacy_text", "select conv_id, md5(trim(string_agg(text, chr(10) order by turn))) as h from conversations where trim(coalesce(text, '')) <> '' group by 1")(lambda t: t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text"), F.lit(None).cast("string").alias("ocr_text"))).alias("p")).select("conv_id", F.md5(store.legacy_text(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("p"))).alias("h")))
 LISTED = Fixture("pos int, doc_id string", [(0, "1"), (1, " 2 "), (2, "1"), (3, "")])
 FOLDERS = Fixture("doc_id string, file string", [("3", "index.faiss"), ("3", "meta.json"), ("4", "meta.json"), ("2", "index.faiss"), ("2", "meta.json")])
 for _n in ("s08_registry", "a10_registry_distinct", "u03_registry_union", "o15_folders_in_order"):
     query(_n, "select * from (values ('1', 0::bigint), ('2', 1::bigint), ('3', 2::bigint)) x(doc_id, pos)")(lambda t: store.registry(LISTED.df(t), FOLDERS.df(t)))
+# the registry over tables: labelled documents are listed, some twice and with blanks; folders hold one index file, or both
+LISTED_SQL = "listed as (select toxic * 1000000 + doc_id pos, ' ' || doc_id || case when quality = 1 then chr(10) else '' end doc_id from labels union all select 5000000 - doc_id, case when doc_id % 10 = 0 then ' ' else doc_id::varchar end from documents where doc_id % 5 = 0)"
+FILES_SQL = "own_files as (select doc_id::varchar doc_id from documents where doc_id % 2 = 0 and doc_id % 3 = 0)"
+REGISTRY = LISTED_SQL + ", " + FILES_SQL + r""", every as (select regexp_replace(doc_id, '^\s+|\s+$', '', 'g') doc_id, 0 kind, pos, '' "name" from listed union all select doc_id, 1, 0, doc_id from own_files),
+  first_place as (select doc_id, min({'kind': kind, 'pos': pos, 'name': "name"}) place from every where doc_id <> '' group by 1)"""
+
+
+def listed(t):
+    own = t.labels.select((F.col("toxic") * 1000000 + F.col("doc_id")).alias("pos"), F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.when(F.col("quality") == 1, "\n").otherwise("")).alias("doc_id"))
+    return own.unionAll(t.documents.where("doc_id % 5 = 0").select(5000000 - F.col("doc_id"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("doc_id").cast("string"))))
+
+
+def index_files(t):
+    d = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"))
+    return d.where("n % 2 = 0").select("doc_id", F.lit("index.faiss").alias("file")).unionAll(d.where("n % 3 = 0").select("doc_id", F.lit("meta.json")))
+
+
+PLACES = "select doc_id, row_number() over (order by place) - 1 pos from first_place"
+query("s08_registry_of_documents", f"with {REGISTRY} {PLACES}")(lambda t: store.registry(listed(t), index_files(t)))
+query("u03_registry_with_folders", f"with {REGISTRY} select doc_id, place.kind = 1 from_folder from first_place")(lambda t: store.registry(listed(t), index_files(t)).join(listed(t).select(tx.strip(F.col("doc_id")).alias("doc_id")).distinct().withColumn("in_list", F.lit(True)), "doc_id", "left").select("doc_id", F.col("in_list").isNull().alias("from_folder")))
+query("a10_listed_once", f"with {REGISTRY} {PLACES} where place.kind = 0")(lambda t: store.registry(listed(t), index_files(t).limit(0)))
+query("o15_folders_by_name", "select doc_id::varchar doc_id, row_number() over (order by doc_id::varchar) - 1 pos from documents where doc_id % 6 = 0")(lambda t: store.registry(listed(t).limit(0), index_files(t)))
 query("s09_index_files", "select * from (values ('3'), ('2')) x(doc_id)")(lambda t: FOLDERS.df(t).where("file = 'index.faiss'").join(FOLDERS.df(t).where("file = 'meta.json'"), "doc_id", "left_semi").select("doc_id"))
 query("k02_register", "select * from (values ('1'), ('2'), ('9')) x(doc_id)")(lambda t: files.register(LISTED.df(t), t.spark.createDataFrame([("9",), ("1",), (" ",)], "doc_id string")).select("doc_id"))
 UP = Fixture("filename string, length long", [("a.PNG", 3), ("b", 0), ("c.tar.GZ", 1)])
@@ -121,7 +163,7 @@ query("s03_valid_lines", "select * from (values (1), (4)) x(n)")(lambda t: files
 query("s11_stored_files", f"with {D} select id from docs where id % 4 <> 0")(lambda t: files.stored_files(docs(t), docs(t).where("id % 4 = 0").select(F.col("id").alias("doc_id"), "filename", F.lit("p").alias("path")))[1].select("id"))
 query("s13_page_images", "select conv_id, turn, '/d/pages/' || conv_id || '/page_' || turn || '.png' as path from conversations")(lambda t: t.conversations.select("conv_id", "turn", files.page_image_path("/d", F.col("conv_id"), F.col("turn")).alias("path")))
 query("s19_settings", "select 900 as chunk_size, 120 as chunk_overlap, 5 as top_k, 3 as per_document")(lambda t: t.spark.createDataFrame([(Settings.load({}).chunk_size, Settings.load({}).chunk_overlap, Settings.load({}).top_k, Settings.load({}).per_document)], "chunk_size int, chunk_overlap int, top_k int, per_document int"))
-ASKS = Fixture("id int, isolated boolean, doc_id string, n int", [(1, True, "3", 0), (2, True, None, 0), (3, False, None, 2), (4, None, "3", 0), (5, False, "3", 1)])
+ASKS = Fixture("id int, isolated boolean, doc_id string, n int", [(1, True, "3", 0), (2, True, None, 0), (3, False, None, 2), (4, None, "3", 0), (5, False, "3", 1)], same_over("orders", "o_orderkey as id", "case o_orderkey % 3 when 0 then true when 1 then false end as isolated", "case when o_custkey % 2 = 0 then cast(o_custkey as string) end as doc_id", "cast(o_custkey % 3 as int) as n"))
 scalar("f26_valid_requests", ASKS, "select id, case when isolated then doc_id is not null else n > 0 end as ok from {t}", ok=lambda id, i, d, n: F.when(i, d.isNotNull()).otherwise(n > 0))
 
 # chunks
@@ -137,7 +179,7 @@ o as (select *, row_number() over (partition by doc_id, substring(content, 1, 20
 query("u02_build_chunks", f"with {CHUNKS} select doc_id, k as source_type, i::integer as chunk_index, md5(content) as h from o where n = 1")(lambda t: chunk.build_chunks(as_pages(t)).select("doc_id", "source_type", "chunk_index", F.md5("content").alias("h")))
 query("x17_chunk_headers", f"with {CHUNKS} select k as source_type, count(*) as n, min(substring(content, 1, 10)) as head from o where n = 1 group by 1")(lambda t: chunk.build_chunks(as_pages(t)).groupBy("source_type").agg(F.count("*").alias("n"), F.min(F.substring("content", 1, 10)).alias("head")))
 query("k03_indexed_chunks", f"with {CHUNKS} select doc_id, count(*) as n from o where n = 1 group by 1")(lambda t: chunk.build_chunks(as_pages(t)).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("a08_prefix_dedup", "select doc_id from (select doc_id, row_number() over (partition by md5(substring(text, 1, 200)) order by doc_id) n from documents) where n = 1")(lambda t: t.documents.withColumn("n", F.row_number().over(Window.partitionBy(F.md5(F.substring("text", 1, 200))).orderBy("doc_id"))).where("n = 1").select("doc_id"))
+query("a08_prefix_dedup", "select doc_id from (select doc_id, row_number() over (partition by md5(substring(text, 1, 200)) order by doc_id) n from documents) where n = 1")(lambda t: chunk.first_by_prefix(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id"))
 query("k09_fallback_documents", f"with {REG} select doc_id from documents where doc_id not in (select doc_id from reg)")(lambda t: t.documents.join(reg(t), "doc_id", "left_anti").select("doc_id"))
 
 # retrieval
@@ -159,7 +201,7 @@ query("j05_document_labels", f"with {TWO_STAGE} select qid, rank, {LABEL} as doc
 query("a15_numbered_context", f"with {TWO_STAGE} select qid, string_agg('[片段' || rank || ']' || chr(10) || 'chunk ' || ord, chr(10) || chr(10) order by rank) as context from f where rank <= 5 group by 1")(lambda t: retrieve.context_block(hits(t), across=False))
 query("a16_named_context", f"with {TWO_STAGE} select qid, string_agg('[文件 ' || {LABEL} || ' · 片段]' || chr(10) || 'chunk ' || ord, chr(10) || chr(10) order by rank) as context from f where rank <= 5 group by 1")(lambda t: retrieve.context_block(hits(t), across=True))
 query("x22_prompts", f"with {TWO_STAGE} select qid, '问题：q' || qid || chr(10) || chr(10) || '检索上下文：' || chr(10) || string_agg('[片段' || rank || ']' || chr(10) || 'chunk ' || ord, chr(10) || chr(10) order by rank) as prompt from f where rank <= 5 group by 1")(lambda t: retrieve.context_block(hits(t), across=False).select("qid", retrieve.prompt(F.concat(F.lit("q"), F.col("qid").cast("string")), F.col("context")).alias("prompt")))
-query("o17_length_caps", "select doc_id, length(substring(text, 1, 8000)) as n from documents")(lambda t: t.documents.select("doc_id", F.length(F.substring("text", 1, 8000)).cast("long").alias("n")))
+query("o17_length_caps", "select doc_id, length(substring(text, 1, 8000)) as n from documents")(lambda t: t.documents.select("doc_id", F.length(retrieve.shown_content(F.lit(""), F.col("text"))).cast("long").alias("n")))
 query("p07_response_contexts", f"""with {TWO_STAGE} select qid, rank, '{{"content":" chunk ' || ord || '","page_no":' || rank || ',"doc_id":"' || doc_id || '","doc_name":"' || {LABEL} || '"}}' as j from f where rank <= 5""")(lambda t: hits(t).select("qid", "rank", retrieve.response_context(F.col("content"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("rank"), F.lit(None).cast("string"), F.col("doc_id").cast("string"), F.col("doc_name")).alias("j")))
 ROUTE = Fixture("qid int, isolated boolean, doc_id string", [(1, True, "3"), (2, True, None), (3, False, None), (4, True, "none"), (5, None, "3")])
 INDEXED = Fixture("doc_id string", [("3",), ("4",)])

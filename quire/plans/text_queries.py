@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import meta as mt
 from quire.functions import text as tx
-from quire.plans.registry import Fixture, query, scalar
+from quire.plans.registry import Fixture, query, same_over, scalar
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 strip_sql = lambda x: STRIP.replace("{x}", x)
@@ -99,36 +99,43 @@ def _diagram(x: str, paper: bool) -> str:
 RAG_PAPER = sub(sub("c", r"(?im)^.*(中图分类号|文献标志码|文章编号|图表索引).*$", ""), r"(?im)^\s*(图|表|Fig\.|FIG\.)\s*\d+[^。]*$", "")
 scalar("f14_diagram_lines", T, f"select id, case when mode = 'paper' then {_diagram('t', True)} else {_diagram('t', False)} end as v from {{t}}", v=lambda id, t, m: tx.strip_diagram_lines(t, m))
 scalar("f15_diagram_labels", ONE, f"""select id, {strip_sql('t')} in ({", ".join(f"'{g}'" for g in tx.DIAGRAM_LABELS)}) as v from {{t}}""", v=lambda id, t: tx.strip(t).isin(tx.DIAGRAM_LABELS))
-scalar("x12_rag_text", T, f"select id, {tidy('r')} as v from (select id, case when mode = 'general' then {_diagram(sub('c', JOURNAL, ''), False)} when mode = 'paper' then {_diagram(RAG_PAPER, True)} else {_diagram('c', False)} end r from (select id, mode, {CLEAN} c from {{t}}))", v=lambda id, t, m: tx.rag_text(t, m))
-MODES = Fixture("id int, v string, w string", [(1, " Paper ", None), (2, None, "notice"), (3, "", " "), (4, "other", "paper"), (5, "GENERAL", ""), (6, "yes", "x"), (7, "On", None), (8, "0", None), (9, " 1 ", None)])
+RAG, RAG_GENERAL, RAG_NOTICE = tidy("r"), _diagram(sub("c", JOURNAL, ""), False), _diagram("c", False)
+scalar("x12_rag_text", T, f"select id, {RAG} as v from (select id, case when mode = 'general' then {RAG_GENERAL} when mode = 'paper' then {_diagram(RAG_PAPER, True)} else {RAG_NOTICE} end r from (select id, mode, {CLEAN} c from {{t}}))", v=lambda id, t, m: tx.rag_text(t, m))
+MODES = Fixture("id int, v string, w string", [(1, " Paper ", None), (2, None, "notice"), (3, "", " "), (4, "other", "paper"), (5, "GENERAL", ""), (6, "yes", "x"), (7, "On", None), (8, "0", None), (9, " 1 ", None)], same_over("documents", "doc_id as id", "case doc_id % 6 when 0 then ' Paper ' when 1 then 'NOTICE' when 2 then lang when 3 then '' when 4 then 'yes' end as v", "case doc_id % 4 when 0 then ' ' when 1 then source when 2 then 'notice' end as w"))
 scalar("x14_clean_mode", MODES, f"select id, case when lower({strip_sql('v')}) in ('paper', 'notice', 'general') then lower({strip_sql('v')}) else 'general' end as m from {{t}}", m=lambda id, v, w: tx.clean_mode(v))
 scalar("x15_truthy", MODES, f"select id, coalesce(lower({strip_sql('v')}) in ('1', 'true', 'yes', 'on'), false) as m from {{t}}", m=lambda id, v, w: tx.truthy(v))
 scalar("x24_first_non_blank", MODES, f"select id, case when {strip_sql('v')} <> '' then v when {strip_sql('w')} <> '' then w end as m from {{t}}", m=lambda id, v, w: tx.first_non_blank(v, w))
 scalar("x32_effective_mode", MODES, f"select id, case when {strip_sql('v')} <> '' then trim(v) when {strip_sql('w')} <> '' then w else 'general' end as m from {{t}}", m=lambda id, v, w: tx.effective_mode(v, w))
-PAIRS = Fixture("id int, a string, b string", [(1, "a b\nc", "abc"), (2, "ab", "a c"), (3, "", " "), (4, "中 文", "中文")])
+PAIRS = Fixture("id int, a string, b string", [(1, "a b\nc", "abc"), (2, "ab", "a c"), (3, "", " "), (4, "中 文", "中文")], same_over("documents", "doc_id as id", "case when doc_id % 5 = 0 then '' else substring(text, 1, 60) end as a", "case when doc_id % 2 = 0 then replace(substring(text, 1, 60), ' ', '') else substring(text, 2, 60) end as b"))
 scalar("x16_same_but_space", PAIRS, r"select id, regexp_replace(a, '\s+', '', 'g') = regexp_replace(b, '\s+', '', 'g') as v from {t}", v=lambda id, a, b: tx.same_but_space(a, b))
-NUMBERED = Fixture("id int, page string, page_no string", [(1, "3", None), (2, None, "4"), (3, "x", "5"), (4, None, None), (5, " 7 ", None), (6, "3.9", None), (7, "-2", "1")])
+NUMBERED = Fixture("id int, page string, page_no string", [(1, "3", None), (2, None, "4"), (3, "x", "5"), (4, None, None), (5, " 7 ", None), (6, "3.9", None), (7, "-2", "1")], same_over("orders", "o_orderkey as id", "case o_orderkey % 5 when 0 then cast(o_orderkey as string) when 1 then ' 7 ' when 2 then 'x' when 3 then concat('-', cast(o_custkey as string), '.5') end as page", "case when o_orderkey % 3 = 0 then cast(o_custkey as string) end as page_no"))
 scalar("x18_page_number", NUMBERED, f"select id, coalesce(case when regexp_full_match({strip_sql('coalesce(page, page_no)')}, '[+-]?[0-9]+') then {strip_sql('coalesce(page, page_no)')}::integer end, 0) as v from {{t}}", v=lambda id, p, n: tx.page_number(p, n))
 scalar("x25_to_integer", NUMBERED, r"select id, case when regexp_full_match(page, '[+-]?[0-9]+') then page::integer when regexp_full_match(page, '[+-]?[0-9]+\.[0-9]*') then regexp_extract(page, '^([+-]?[0-9]+)', 1)::integer end as v from {t}", v=lambda id, p, n: tx.to_integer(p))
-SNIPPETS = Fixture("id int, t string, k string", [(1, "x" * 40 + "KEY" + "y" * 40, "key"), (2, "short key", "key"), (3, "z" * 130, "key"), (4, None, "key"), (5, "  ", "key"), (6, "<a> & key <b>", "a"), (7, "no", ""), (8, "中文关键词中文", "关键词"), (9, "aXbXc", "X")])
+KEYED = same_over("documents", "doc_id as id", "text as t", "case doc_id % 4 when 0 then 'THE' when 1 then 'tion' when 2 then lang else 'nowhere' end as k")
+SNIPPETS = Fixture("id int, t string, k string", [(1, "x" * 40 + "KEY" + "y" * 40, "key"), (2, "short key", "key"), (3, "z" * 130, "key"), (4, None, "key"), (5, "  ", "key"), (6, "<a> & key <b>", "a"), (7, "no", ""), (8, "中文关键词中文", "关键词"), (9, "aXbXc", "X")], KEYED)
 SNIPPET = "case when t is null or trim(t) = '' then '' when instr(lower(t), lower(k)) = 0 then substring(t, 1, 100) || case when length(t) > 100 then '...' else '' end else case when p > 30 then '...' else '' end || substring(t, greatest(0, p - 30) + 1, least(length(t), p + length(k) + 30) - greatest(0, p - 30)) || case when p + length(k) + 30 < length(t) then '...' else '' end end"
-scalar("x19_snippet", Fixture("id int, t string, k string", [r for r in SNIPPETS.rows if r[2]]), f"select id, {SNIPPET} as v from (select *, instr(lower(t), lower(k)) - 1 p from {{t}})", v=lambda id, t, k: tx.snippet(t, k))
+scalar("x19_snippet", Fixture("id int, t string, k string", [r for r in SNIPPETS.rows if r[2]], KEYED), f"select id, {SNIPPET} as v from (select *, instr(lower(t), lower(k)) - 1 p from {{t}})", v=lambda id, t, k: tx.snippet(t, k))
 scalar("f04_contains_keyword", SNIPPETS, "select id, coalesce(trim(t) <> '' and trim(k) <> '' and contains(lower(t), lower(k)), false) as v from {t}", v=lambda id, t, k: tx.contains_keyword(t, k))
 scalar("x20_highlight", SNIPPETS, "select id, '<pre>' || case when trim(k) = '' then e else replace(e, trim(k), '<mark>' || trim(k) || '</mark>') end || '</pre>' as v from (select *, replace(replace(replace(coalesce(t, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') e from {t})", v=lambda id, t, k: tx.highlight(t, k))
 scalar("x21_excerpt", PAIRS, f"select id, {strip_sql('case when length(a) > 0 then a else coalesce(b, chr(32)) end')} as v from {{t}}", v=lambda id, a, b: tx.excerpt(a, b))
-NAMES = Fixture("id int, name string, kind string", [(1, "a.PNG", "image"), (2, "b.jpeg", None), (3, "c.gif", "x"), (4, "d.webp", ""), (5, "e.pdf", "image"), (6, 'x/y:z*"q"<>|?.csv', "PDF"), (7, None, "pdf"), (8, " ", None), (9, "f.bmp", "image")])
+NAMES = Fixture("id int, name string, kind string", [(1, "a.PNG", "image"), (2, "b.jpeg", None), (3, "c.gif", "x"), (4, "d.webp", ""), (5, "e.pdf", "image"), (6, 'x/y:z*"q"<>|?.csv', "PDF"), (7, None, "pdf"), (8, " ", None), (9, "f.bmp", "image")], same_over("documents", "doc_id as id", "case doc_id % 7 when 0 then null when 1 then ' ' else concat(source, '/', cast(doc_id as string), case doc_id % 5 when 0 then '.PDF' when 1 then '.jpeg' when 2 then '.png' when 3 then '?.gif' else ':x.webp' end) end as name", "case doc_id % 3 when 0 then 'pdf' when 1 then 'image' end as kind"))
 scalar("x27_content_type", NAMES, r"select id, case when lower(name) like '%.png' then 'image/png' when regexp_matches(lower(name), '\.jpe?g$') then 'image/jpeg' when lower(name) like '%.gif' then 'image/gif' when lower(name) like '%.webp' then 'image/webp' else 'application/octet-stream' end as v from {t}", v=lambda id, n, k: tx.content_type(n))
 scalar("x28_safe_filename", NAMES, r"""select id, regexp_replace(name, '[\\/:*?"<>|\r\n]', '_', 'g') as v from {t}""", v=lambda id, n, k: tx.safe_filename(n))
 scalar("x33_is_pdf", NAMES, "select id, coalesce(lower(kind) = 'pdf', false) or coalesce(lower(name) like '%.pdf', false) as v from {t}", v=lambda id, n, k: tx.is_pdf(k, n))
 scalar("f25_file_gates", NAMES, r"select id, coalesce(regexp_matches(name, '(?i)\.(png|jpg|jpeg|bmp)$'), false) as image, coalesce(lower(name) like '%.pdf', false) as pdf from {t}", image=lambda id, n, k: tx.is_image(n), pdf=lambda id, n, k: tx.is_pdf(F.lit(None).cast("string"), n))
 scalar("x34_upload_name", NAMES, "select id, case when trim(coalesce(name, '')) <> '' then name when kind = 'pdf' then 'upload.pdf' else 'upload.bin' end as v from {t}", v=lambda id, n, k: tx.upload_name(n, k == "pdf"))
-URLS = Fixture("id int, u string", [(1, None), (2, ""), (3, "http://a/b"), (4, "/static/x"), (5, "y z"), (6, "https://q"), (7, "/data/uploads/f.png"), (8, "/data/pages/d/page_1.png"), (9, "/else/where"), (10, "a b&c/d(e)'!~é")])
+URLS = Fixture("id int, u string", [(1, None), (2, ""), (3, "http://a/b"), (4, "/static/x"), (5, "y z"), (6, "https://q"), (7, "/data/uploads/f.png"), (8, "/data/pages/d/page_1.png"), (9, "/else/where"), (10, "a b&c/d(e)'!~é")], same_over("pages", "page_id as id", "case page_id % 5 when 0 then url when 1 then concat('/data/uploads/', cast(page_id as string), '.png') when 2 then concat('/data/pages/', cast(page_id as string), '/page 1.png') when 3 then substring(url, 9, 100) end as u"))
 scalar("p16_absolute_url", URLS, "select id, case when coalesce(u, '') = '' then '' when u like 'http://%' or u like 'https://%' then u else 'http://127.0.0.1:8001' || case when u like '/%' then '' else '/' end || u end as v from {t}", v=lambda id, u: tx.absolute_url(u, "http://127.0.0.1:8001"))
 scalar("p17_image_url", URLS, "select id, case when u like '/data/uploads/%' then '/static/uploads/' || substring(u, 15) when u like '/data/pages/%' then '/static/pages/' || substring(u, 13) end as v from {t}", v=lambda id, u: tx.image_url(u, "/data/uploads", "/data/pages"))
 scalar("x36_url_templates", URLS, "select id, '/api/docs/' || id || '/tables/' || replace(replace(replace(replace(replace(url_encode(u), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%7E', '~') || '/csv' as v from {t}", v=lambda id, u: F.concat(F.lit("/api/docs/"), id.cast("string"), F.lit("/tables/"), tx.url_component(u), F.lit("/csv")))
 scalar("x37_json_string", PAIRS, "select id, to_json(a)::varchar as v from {t}", v=lambda id, a, b: F.regexp_extract(F.to_json(F.array(a)), r"(?s)^\[(.*)\]$", 1))
 LISTS = Fixture("id int, l array<string>", [(1, ["标题", "第一行", "接着", "结束。", "新段", "继续：", "最后"]), (2, []), (3, ["only"]), (4, [" ", "a", " ", "b！", "c"])])
 query("x13_paragraphs")(lambda t: LISTS.df(t).select("id", tx.paragraphs(F.col("l")).alias("v")))
+# a mark at a line's end closes its paragraph, so what stands between two lines is known from the first of them
+REST = f"list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: {strip_sql('x')}), lambda x: x <> '')"
+query("x13_paragraphs_of_documents", f"select doc_id, md5({strip_sql('h || chr(10) || b')}) h from (select doc_id, {strip_sql('string_split(text, chr(10))[1]')} h, array_to_string(list_transform(r, lambda x, i: case when i > 1 and regexp_matches(r[i - 1], '[。！？；:：]$') then chr(10) else '' end || x), '') b from (select doc_id, text, {REST} r from (select doc_id, replace(text, '. ', ':' || chr(10)) text from documents)))")(
+    lambda t: t.documents.select("doc_id", F.md5(tx.paragraphs(F.split(F.replace("text", F.lit(". "), F.lit(":\n")), "\n"))).alias("h"))
+)
 query("x30_doc_ids", "select doc_id, 32 as n from documents")(lambda t: t.documents.select("doc_id", F.length(F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("n")))
 
 # metadata
