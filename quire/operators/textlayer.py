@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from quire.functions import tables as tb
 from quire.operators.infer import STRATEGIES, near_caption
+from quire.sources.shared import shared_folder
 
 
 class Tolerances(NamedTuple):
@@ -224,6 +225,14 @@ def find_tables(elements: DataFrame) -> DataFrame:
     return FindTables(wanted.asTable())
 
 
+def kept_found(elements: DataFrame) -> DataFrame:
+    """What find_tables gives, written once to the shared folder: it is read in several places."""
+    path = shared_folder(elements.sparkSession, "found")
+    found = find_tables(elements)
+    found.write.parquet(path)
+    return elements.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def failures(found: DataFrame) -> DataFrame:
     """doc_id, page, n: pages on which strategies failed, and how many did."""
     return found.where("failed is not null").groupBy("doc_id", "page").agg(F.count("*").alias("n"))
@@ -243,9 +252,9 @@ def extract_tables(elements: DataFrame, heights: DataFrame, found: DataFrame | N
 
     elements as find_tables takes them, heights (doc_id, page, height). Of what the strategies find only probable tables
     count; one of text edges alone needs a caption near it, and of equal ones the first strategy's is kept. found: what
-    find_tables has given, if it is there already.
+    kept_found has given, if it is there already.
     """
-    found = find_tables(elements) if found is None else found
+    found = kept_found(elements) if found is None else found
     rows = found.where("failed is null").withColumn("rows", tb.normalise_rows(F.col("rows"))).where(tb.judge(tb.shape(F.col("rows"))))
     by_text = F.col("strategy").isin([s["seq"] for s in STRATEGIES if s["vertical"] == s["horizontal"] == "text"])
     bare = rows.where(by_text)

@@ -71,6 +71,6 @@ query("s04_text_layer_tables", f"with {TABLES} select doc_id, 'pdf-table-1-1' id
 def s06(t):
     """Tables of the pages that can be worked out; of the others, how many strategies failed."""
     every = elements(t, bad=True)
-    found = textlayer.find_tables(every)
+    found = textlayer.kept_found(every)
     good = textlayer.extract_tables(every, heights(t), found).select("doc_id", as_text(), F.lit(0).cast("long").alias("failed"))
     return good.unionAll(textlayer.failures(found).select("doc_id", F.lit(None).cast("string"), "n"))
