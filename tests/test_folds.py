@@ -139,3 +139,18 @@ def test_sql_functions(spark):
     assert spark.sql("select dot(array(1d, 2d), array(3d, 4d)) v").first()["v"] == 11.0
     assert [r["piece"] for r in spark.sql("select piece from split_text('abcdef', 4, 1)").collect()] == ["abcd", "def"]
     assert store.json_string(F.lit("a")) is not None
+
+
+def test_sql_functions_of_page_texts(spark, data):
+    """The same as the Column functions, over whole documents and texts of all kinds of lines; modes as users write them."""
+    from quire.functions.register import register
+    from quire.plans.text_queries import TEXTS
+
+    register(spark)
+    odd = spark.createDataFrame([(t, m) for _, t, m in TEXTS] + [(t, m) for _, t, _ in TEXTS for m in ("paper", "notice", "general")] + [(None, "paper"), (" \n", "notice")], "t string, mode string")
+    whole = spark.read.parquet(f"{data}/documents.parquet").selectExpr("text as t", "case doc_id % 3 when 0 then 'paper' when 1 then 'notice' else 'general' end as mode")
+    rows = odd.unionAll(whole)
+    got = rows.selectExpr("clean_page_text(t, mode) a", "rag_text(t, mode) b", "clean_page_text(t, concat(' ', upper(mode))) c", "t", "mode")
+    both = got.withColumns({"x": tx.clean_page(F.col("t"), F.col("mode")), "y": tx.rag_text(F.col("t"), F.col("mode"))})
+    assert both.where("a <=> x and b <=> y and c <=> x").count() == rows.count() > 200
+    assert spark.sql("select clean_page_text('a  \nb', null) = clean_page_text('a  \nb', 'general') and rag_text(null, 'x') = '' v").first()["v"]
