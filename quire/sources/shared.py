@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; without that setting, only on one machine, in a folder of our own."""
+    """The path for a new folder under spark.checkpoint.dir, which is made if need be; without that setting, only on one machine, under a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="shared-")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
