@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.search import first_match
+from quire.sources.shared import kept
 from quire.sources.versioned import BUCKETS, Store
 
 #: Ids in one row of a trigram, about.
@@ -91,7 +92,7 @@ class KeywordIndex:
         """
         asked = keywords.select("keyword").where(~tx.is_blank(F.col("keyword"))).distinct()
         short = F.length(F.lower("keyword")) < 3
-        named = self.candidates(asked.where(~short)).checkpoint()
+        named = kept(self.candidates(asked.where(~short)), "named")
         texts = self.store.read_keys("texts", named.select("id"))
         ids = named.alias("n")
         rows = texts.join(F.broadcast(ids) if named.count() <= SENT_IDS else ids, "id")

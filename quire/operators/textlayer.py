@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from quire.functions import tables as tb
 from quire.operators.infer import STRATEGIES, near_caption
-from quire.sources.shared import shared_folder
+from quire.sources.shared import kept
 
 
 class Tolerances(NamedTuple):
@@ -227,10 +227,7 @@ def find_tables(elements: DataFrame) -> DataFrame:
 
 def kept_found(elements: DataFrame) -> DataFrame:
     """What find_tables gives, written once to the shared folder: it is read in several places."""
-    path = shared_folder(elements.sparkSession, "found")
-    found = find_tables(elements)
-    found.write.parquet(path)
-    return elements.sparkSession.read.schema(found.schema).parquet(path)
+    return kept(find_tables(elements), "found")
 
 
 def failures(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder once and read from there."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
