@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import CJK, is_blank, let, strip
@@ -25,7 +25,8 @@ def normalise_rows(rows: Column) -> Column:
 
 def is_prose(c: Column) -> Column:
     s = strip(F.coalesce(c, F.lit("")))
-    return (F.length(s) >= 36) & (s.rlike("[。；，、.!?;,:]") | (F.regexp_count(s, F.lit(f"[{CJK}]")) >= 24))
+    # most cells are too short even before they are stripped
+    return (F.length(F.coalesce(c, F.lit(""))) >= 36) & (F.length(s) >= 36) & (s.rlike("[。；，、.!?;,:]") | (F.regexp_count(s, F.lit(f"[{CJK}]")) >= 24))
 
 
 def shape(rows: Column) -> Column:
@@ -80,6 +81,11 @@ def is_probable(rows: Column) -> Column:
     return F.coalesce(let(normalise_rows(rows), lambda r: judge(shape(r))), F.lit(False))
 
 
+def probable(tables: DataFrame) -> DataFrame:
+    """tables with their rows normalised, those that are judged to be tables. The rows are worked out once, for the filter and for what follows."""
+    return tables.withColumn("rows", F.explode(F.filter(F.array(normalise_rows(F.col("rows"))), lambda r: judge(shape(r)))))
+
+
 def markdown(rows: Column) -> Column:
     """First row as header; cells padded or cut to its width, pipes escaped, line breaks as blanks."""
     cell = lambda c: strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))

@@ -1,7 +1,9 @@
 """Tables inferred from the boxes of recognised lines, and the merging of tables from several sources.
 
-Rows and columns are clustered in an order-dependent way (a centre moves with each line that joins it), so a page's lines
-go through one Python function; pages are bounded and independent. Judging and rendering are expressions again.
+Rows and columns are clustered in an order-dependent way (a centre moves with each line that joins it). Pages are bounded and
+independent, so many go through each step at once, as arrays: the n-th line of every page moves that page's centre. The
+functions on one page say what comes out, and take the pages with a place that is no finite number. Judging and rendering are
+expressions again.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +94,11 @@ def page_tables(lines: list[dict]) -> list[list[list[str]]]:
 
 def boxes(lines: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, text and the box's edges; lines without text, with fewer than four points or without area go."""
-    edge = lambda f, i: f(F.transform("bbox", lambda p: F.get(p, i).try_cast("double")))
-    out = lines.where(F.size("bbox") >= 4).select("doc_id", "page_no", "line_no", safe_text(F.col("text")).alias("text"), edge(F.array_min, 0).alias("x0"), edge(F.array_max, 0).alias("x1"), edge(F.array_min, 1).alias("y0"), edge(F.array_max, 1).alias("y1"))
+    places = lambda i: F.transform("bbox", lambda p: F.get(p, i).try_cast("double"))
+    # worked out once, for the columns and for the filter
+    one = F.struct(safe_text(F.col("text")).alias("text"), places(0).alias("xs"), places(1).alias("ys"))
+    out = lines.where(F.size("bbox") >= 4).select("doc_id", "page_no", "line_no", F.explode(F.array(one)).alias("b"))
+    out = out.select("doc_id", "page_no", "line_no", "b.text", *(f(f"b.{c}").alias(n) for n, f, c in (("x0", F.array_min, "xs"), ("x1", F.array_max, "xs"), ("y0", F.array_min, "ys"), ("y1", F.array_max, "ys"))))
     return out.where("text <> '' and x1 > x0 and y1 > y0")
 
 
@@ -100,14 +107,147 @@ def _pages(lines: DataFrame) -> DataFrame:
     return boxes(lines).groupBy("doc_id", F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "x0", "x1", "y0", "y1"))).alias("lines"))
 
 
+# Groups of rows that follow one another are given by the index of each row's group, in order.
+
+
+def _starts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+
+
+def _steps(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(groups, rows) of the first rows of all groups, then of the second ones, and so on."""
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order]
+    for k in range(int(size.max(initial=0))):
+        own = order[: np.searchsorted(falling, -k)]
+        yield own, start[own] + k
+
+
+def _opens(value: np.ndarray, start: np.ndarray, size: np.ndarray, tolerance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What Centres does to sorted values of many groups: which values open a centre, and each value's centre and its size so far.
+
+    A value is beyond the tolerance of every centre but the last.
+    """
+    new, at, many = np.zeros(len(value), bool), np.zeros(len(value)), np.zeros(len(value), np.int64)
+    last, n = np.zeros(len(start)), np.zeros(len(start), np.int64)
+    for own, rows in _steps(start, size):
+        v = value[rows]
+        opens = (n[own] == 0) | ~(np.abs(v - last[own]) <= tolerance[own])
+        c, m = np.where(opens, v, last[own]), np.where(opens, 0, n[own]) + 1
+        c += (v - c) / m
+        new[rows], at[rows], many[rows], last[own], n[own] = opens, c, m, c, m
+    return new, at, many
+
+
+def _medians(value: np.ndarray, group: np.ndarray, n: int, otherwise: float = 0.0) -> np.ndarray:
+    """The median of each of n groups."""
+    v = value[np.lexsort((value, group))]
+    size = np.bincount(group, minlength=n)
+    start, some = np.cumsum(size) - size, size > 0
+    out = np.full(n, otherwise)
+    low, high = (start + (size - 1) // 2)[some], (start + size // 2)[some]
+    out[some] = np.where(low == high, v[low], (v[low] + v[high]) / 2)
+    return out
+
+
+def _sums(value: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of groups with their rounding errors added at the end, as sum() has them."""
+    total, error = np.zeros(len(start)), np.zeros(len(start))
+    for own, rows in _steps(start, size):
+        s, v = total[own], value[rows]
+        t = s + v
+        error[own] += np.where(np.abs(s) >= np.abs(v), (s - t) + v, (v - t) + s)
+        total[own] = t
+    return total + error
+
+
+def _block_cells(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, y1: np.ndarray, pages: int) -> tuple[np.ndarray, ...]:
+    """For lines of many pages in order: those in blocks of three rows or more, from left to right in each row from the top; their row and block; each block's page and number there."""
+    height = _medians(y1 - y0, page, pages)
+    tolerance = np.maximum(ROW_LEAST, np.minimum(ROW_MOST, ROW_BY_HEIGHT * height))
+    middle = (y0 + y1) / 2
+    order = np.lexsort((x0, middle, page))
+    start = _starts(page[order])
+    size = np.diff(np.r_[start, len(order)])
+    row = np.cumsum(_opens(middle[order], start, size, tolerance[page[order][start]])[0]) - 1
+    order = order[np.lexsort((x0[order], row))]
+    # rows of two cells or more, and the steps between those of a page
+    size = np.bincount(row)
+    order, row = order[size[row] > 1], row[size[row] > 1]
+    start = _starts(row)
+    size = np.diff(np.r_[start, len(row)])
+    of_page = page[order][start]
+    centre = _sums(middle[order], start, size) / np.maximum(size, 1)
+    step, same = np.r_[0.0, np.diff(centre)][: len(centre)], np.r_[False, of_page[1:] == of_page[:-1]][: len(centre)]
+    down = same & (step > 0)
+    most = np.maximum(STEP_LEAST, np.minimum(STEP_MOST, STEP_BY_USUAL * _medians(step[down], of_page[down], pages, USUAL_STEP)))
+    block = np.cumsum(~same | (step > most[of_page])) - 1
+    whole = np.bincount(block)[block] > 2 if len(block) else np.zeros(0, bool)
+    number = np.unique(block[whole], return_inverse=True)[1]
+    first = _starts(number)
+    block_page = of_page[whole][first]
+    pages_start = _starts(block_page)
+    place = np.arange(len(first)) - np.repeat(pages_start, np.diff(np.r_[pages_start, len(first)]))
+    cells_kept = np.repeat(whole, size)
+    return order[cells_kept], np.repeat(np.arange(int(whole.sum())), size[whole]), np.repeat(number, size[whole]), block_page, place
+
+
+def _block_anchors(x0: np.ndarray, block: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """anchors() of many blocks, one after another, and each one's block."""
+    order = np.lexsort((x0, block))
+    xs, group = x0[order], block[order]
+    start = _starts(group)
+    size = np.diff(np.r_[start, len(xs)])
+    spread = xs[start + size - 1] - xs[start]
+    tolerance = np.maximum(COLUMN_LEAST, np.minimum(COLUMN_MOST, COLUMN_BY_WIDTH * spread))
+    new, at, many = _opens(xs, start, size, tolerance)
+    last = np.r_[new[1:], True][: len(new)]  # a centre is where its last value leaves it
+    at, many, group = at[last], many[last], group[last]
+    best = np.lexsort((-at, -many, group))
+    start = _starts(group[best])
+    rank = np.arange(len(best)) - np.repeat(start, np.diff(np.r_[start, len(best)]))
+    best = best[rank < most]
+    best = best[np.lexsort((at[best], group[best]))]
+    return at[best], group[best]
+
+
+#: Lines worked on at a time, about; a page is never cut.
+PIECE = 100_000
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict[str, np.ndarray], pa.Array, list[int]]]:
+    """Parts of a batch of pages: the part, each line's page in it, places, texts, and the pages that are worked on one by one."""
+    ends = b.column("lines").offsets.to_numpy()
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        part = b.slice(at, to - at)
+        lines = part.column("lines").flatten()
+        page = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))
+        places = {c: lines.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "y0", "y1")}
+        bad = ~np.all([np.isfinite(v) for v in places.values()], axis=0)
+        odd = np.unique(page[bad])
+        good = ~np.isin(page, odd)
+        yield part, page[good], {c: v[good] for c, v in places.items()}, lines.field("text").filter(pa.array(good)), odd.tolist()
+        at = to
+
+
 def block_anchors(lines: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     """doc_id, page_no, block and anchors: the left edges that the cells of each block of three rows or more go by, from left to right."""
 
+    def found(part: pa.RecordBatch, at: np.ndarray, block: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+        take = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("page_no").take(take), pa.array(block, pa.int32()), values], ["doc_id", "page_no", "block", "anchors"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(i, k, anchors(rows, most)) for i, page in enumerate(b.column("lines").to_pylist()) for k, rows in enumerate(x for x in blocks(cluster_rows(page)) if len(x) > 2)]
-            at = pa.array([i for i, _, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page_no").take(at), pa.array([k for _, k, _ in found], pa.int32()), pa.array([x for _, _, x in found], pa.list_(pa.float64()))], ["doc_id", "page_no", "block", "anchors"])
+        for part, page, p, _, odd in (x for b in batches for x in _pieces(b)):
+            cell, _, block, block_page, number = _block_cells(page, p["x0"], p["y0"], p["y1"], part.num_rows)
+            values, of = _block_anchors(p["x0"][cell], block, most)
+            offsets = np.r_[0, np.cumsum(np.bincount(of, minlength=len(block_page)))]
+            yield found(part, block_page, number, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
+            alone = [(i, k, anchors(rows, most)) for i in odd for k, rows in enumerate(x for x in blocks(cluster_rows(part.column("lines")[i].as_py())) if len(x) > 2)]
+            if alone:
+                yield found(part, [i for i, _, _ in alone], [k for _, k, _ in alone], pa.array([x for *_, x in alone], pa.list_(pa.float64())))
 
     return _pages(lines).mapInArrow(work, f"doc_id {dict(lines.dtypes)['doc_id']}, page_no int, block int, anchors array<double>")
 
@@ -115,14 +255,39 @@ def block_anchors(lines: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
 def infer_tables(lines: DataFrame) -> DataFrame:
     """doc_id and the tables of each page: id, page, title, markdown, html, rows, source 'ocr'; numbered within the page."""
 
+    def found(part: pa.RecordBatch, at: np.ndarray, block: np.ndarray, rows: pa.Array) -> pa.RecordBatch:
+        take = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("page_no").take(take), pa.array(block, pa.int32()), rows], ["doc_id", "page_no", "block", "rows"])
+
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(i, k, rows) for i, page in enumerate(b.column("lines").to_pylist()) for k, rows in enumerate(page_tables(page))]
-            at = pa.array([i for i, _, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page_no").take(at), pa.array([k for _, k, _ in found], pa.int32()), pa.array([r for _, _, r in found], pa.list_(pa.list_(pa.string())))], ["doc_id", "page_no", "block", "rows"])
+        for part, page, p, texts, odd in (x for b in batches for x in _pieces(b)):
+            cell, row, block, block_page, number = _block_cells(page, p["x0"], p["y0"], p["y1"], part.num_rows)
+            edges, of = _block_anchors(p["x0"][cell], block, MOST_ANCHORS)
+            wide = np.bincount(of, minlength=len(block_page))
+            # each cell's nearest edge, the left one of two as near
+            grid = np.full((len(block_page), MOST_ANCHORS), np.inf)
+            grid[of, np.arange(len(of)) - np.repeat(np.cumsum(wide) - wide, wide)] = edges
+            edge = np.argmin(np.abs(p["x0"][cell][:, None] - grid[block]), axis=1) if len(cell) else np.zeros(0, np.int64)
+            good = (wide > 1) & (np.bincount(page, minlength=part.num_rows)[block_page] >= 6)
+            cell, row, block, edge = (x[good[block]] for x in (cell, row, block, edge))
+            # a slot for each row and edge, with the texts that go there from left to right
+            start = _starts(row)
+            row_block = block[start]
+            slots = wide[row_block]
+            first = np.cumsum(slots) - slots
+            slot = np.repeat(first, np.diff(np.r_[start, len(row)])) + edge
+            inside = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(slot, minlength=int(slots.sum())))], pa.int32()), texts.take(pa.array(cell[np.argsort(slot, kind="stable")])))
+            by_row = pa.ListArray.from_arrays(pa.array(np.r_[first, slots.sum()], pa.int32()), pc.binary_join(inside, " "))
+            kept = np.flatnonzero(good)
+            offsets = np.r_[0, np.cumsum(np.bincount(row_block, minlength=len(block_page))[kept])]
+            # blocks of two edges or more keep their numbers: they only say which come first
+            yield found(part, block_page[kept], number[kept], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), by_row))
+            alone = [(i, k, rows) for i in odd for k, rows in enumerate(page_tables(part.column("lines")[i].as_py()))]
+            if alone:
+                yield found(part, [i for i, _, _ in alone], [k for _, k, _ in alone], pa.array([r for *_, r in alone], pa.list_(pa.list_(pa.string()))))
 
     raw = _pages(lines).mapInArrow(infer, f"doc_id {dict(lines.dtypes)['doc_id']}, page_no int, block int, rows array<array<string>>")
-    good = raw.withColumn("rows", tb.normalise_rows(F.col("rows"))).where(tb.judge(tb.shape(F.col("rows"))))
+    good = tb.probable(raw)
     seq = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("block"))
     return good.withColumn("seq", seq).select("doc_id", F.inline(F.array(tb.table_struct(F.col("page_no"), F.col("seq"), F.col("rows"), F.lit("ocr")))))
 
@@ -146,6 +311,7 @@ STRATEGIES = [
     {"seq": 3, "vertical": "lines", "horizontal": "text"},
     {"seq": 4, "vertical": "text", "horizontal": "lines"},
 ]
+CAPTION_WORD = r"(?iu)表|table"
 CAPTION = r"(?imudU)^\s*(表|table)\s*[\d一二三四五六七八九十]+"
 
 

@@ -53,9 +53,13 @@ def metrics(l: Column) -> Column:
 
 def widest_gap(centers: Column) -> Column:
     """struct<gap, at, split> between neighbours in a sorted array, the first of equal ones; null for fewer than two."""
-    gap = F.transform(F.slice(centers, 2, F.greatest(F.size(centers), F.lit(1))), lambda x, i: F.struct((x - F.get(centers, i)).alias("gap"), (-i).alias("minus"), ((x + F.get(centers, i)) / 2).alias("split")))
-    best = F.array_max(gap)
-    return F.when(F.size(gap) > 0, F.struct(best["gap"].alias("gap"), (-best["minus"]).alias("at"), best["split"].alias("split")))
+
+    def widest(c: Column) -> Column:  # of one array, worked out once, not again for every gap
+        gap = F.transform(F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda x, i: F.struct((x - F.get(c, i)).alias("gap"), (-i).alias("minus"), ((x + F.get(c, i)) / 2).alias("split")))
+        shown = lambda best: F.when(best.isNotNull(), F.struct(best["gap"].alias("gap"), (-best["minus"]).alias("at"), best["split"].alias("split")))
+        return tx.let(F.array_max(gap), shown)
+
+    return tx.let(centers, widest)
 
 
 def bind(pages: DataFrame, name: str, value: Column) -> DataFrame:
