@@ -1,23 +1,26 @@
 """Tables in the text layer of pages, found from ruling lines and the alignment of words by five strategies in turn.
 
-A page's elements (words and lines) are one partition of a table function: its cells need all of them together, and a page is
-bounded. Everything that comes after, from judging to numbering, is DataFrames again. A page that can't be worked out gives
-no tables, and is counted.
+A page's elements (words and lines) are gathered into a row, or one partition of a table function in SQL: its cells need all
+of them together, and a page is bounded. Everything that comes after, from judging to numbering, is DataFrames again. A page
+that can't be worked out gives no tables, and is counted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any, NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quire.functions import tables as tb
-from quire.operators.infer import STRATEGIES, near_caption
+from quire.operators.infer import CAPTION_WORD, STRATEGIES, near_caption
 from quire.sources.shared import kept
 
 
@@ -56,11 +59,14 @@ class Edge(NamedTuple):
 def runs(items: list, value: Callable[[Any], float], tolerance: float) -> list[list]:
     """items sorted by value, parted where the step between neighbours is over the tolerance."""
     out: list[list] = []
+    last = None
     for x in sorted(items, key=value):
-        if out and value(x) - value(out[-1][-1]) <= tolerance:
+        v = value(x)
+        if last is not None and v - last <= tolerance:
             out[-1].append(x)
         else:
             out.append([x])
+        last = v
     return out
 
 
@@ -157,24 +163,84 @@ def texts(words: list[Word], box: tuple[float, float, float, float]) -> str:
     """The words whose middles are in the box, line by line."""
     x0, top, x1, bottom = box
     own = [w for w in words if x0 <= (w.x0 + w.x1) / 2 < x1 and top <= (w.top + w.bottom) / 2 < bottom]
+    if len(own) == 1:
+        return own[0].text + ""
     return "\n".join(" ".join(w.text for w in sorted(r, key=lambda w: w.x0)) for r in runs(own, lambda w: w.top, TEXT_LINE))
 
 
-def page_tables(words: list[Word], lines: list[Word], vertical: str, horizontal: str, t: Tolerances) -> list[tuple[tuple, list[list[str | None]]]]:
-    """(box, rows) of the tables that one strategy finds on a page. ValueError for boxes without sense."""
-    if any(not (w.x0 <= w.x1 and w.top <= w.bottom) for w in [*words, *lines]):  # also where a place is no number
-        raise ValueError("a box ends before it begins")
-    down = ruled(lines, True) if vertical == "lines" else column_edges(words, t)
-    across = ruled(lines, False) if horizontal == "lines" else row_edges(words, t)
+#: Pages drawn alike share their cells: a worker remembers those of so many sets of edges, each of so many crossings at most.
+REMEMBERED, MOST_CROSSINGS = 4096, 512
+
+
+def placed(down: tuple[Edge, ...], across: tuple[Edge, ...], meet: float) -> list[tuple[tuple, list[list[tuple | None]]]]:
+    """(box, rows of its cells' boxes) of the tables that edges make."""
     out = []
-    for group in grouped(cells(tidy(down, t), tidy(across, t), t.meet)):
+    for group in grouped(cells(list(down), list(across), meet)):
         columns = sorted({b[0] for b in group})
         by_place = {(b[1], b[0]): b for b in group}
-        rows = [[texts(words, by_place[y, x]) if (y, x) in by_place else None for x in columns] for y in sorted({b[1] for b in group})]
+        rows = [[by_place.get((y, x)) for x in columns] for y in sorted({b[1] for b in group})]
         out.append(((min(b[0] for b in group), min(b[1] for b in group), max(b[2] for b in group), max(b[3] for b in group)), rows))
     return out
 
 
+_remembered = lru_cache(REMEMBERED)(placed)
+
+
+class Page:
+    """A page's words and lines. What several strategies share is worked out once. ValueError for boxes without sense."""
+
+    def __init__(self, words: list[Word], lines: list[Word]):
+        for _, x0, top, x1, bottom in (*words, *lines):
+            if not (x0 <= x1 and top <= bottom):  # also where a place is no number
+                raise ValueError("a box ends before it begins")
+        self.words, self.lines, self._edges, self._bands = words, lines, {}, {}
+        self._order = sorted(range(len(words)), key=lambda i: words[i].top + words[i].bottom)
+        self._middles = [(words[i].top + words[i].bottom) / 2 for i in self._order]
+
+    def edges(self, vertical: bool, by: str, t: Tolerances) -> tuple[Edge, ...]:
+        key = vertical, by, t.snap, t.join, *((t.words, t.least_words) if vertical else (t.words,)) * (by != "lines")
+        if key not in self._edges:
+            own = ruled(self.lines, vertical) if by == "lines" else (column_edges if vertical else row_edges)(self.words, t)
+            self._edges[key] = tuple(tidy(own, t))
+        return self._edges[key]
+
+    def between(self, top: float, bottom: float) -> list[Word]:
+        """The words whose middles lie so high, in the page's order."""
+        if (top, bottom) not in self._bands:
+            self._bands[top, bottom] = [self.words[i] for i in sorted(self._order[bisect_left(self._middles, top) : bisect_left(self._middles, bottom)])]
+        return self._bands[top, bottom]
+
+    def tables(self, vertical: str, horizontal: str, t: Tolerances) -> list[tuple[tuple, list[list[str | None]]]]:
+        """(box, rows) of the tables that one strategy finds."""
+        down, across = self.edges(True, vertical, t), self.edges(False, horizontal, t)
+        found = (_remembered if len(down) * len(across) <= MOST_CROSSINGS else placed)(down, across, t.meet)
+        return [(box, [[texts(self.between(c[1], c[3]), c) if c else None for c in r] for r in rows]) for box, rows in found]
+
+
+def page_tables(words: list[Word], lines: list[Word], vertical: str, horizontal: str, t: Tolerances) -> list[tuple[tuple, list[list[str | None]]]]:
+    """(box, rows) of the tables that one strategy finds on a page. ValueError for boxes without sense."""
+    return Page(words, lines).tables(vertical, horizontal, t)
+
+
+def by_strategies(words: list[Word], lines: list[Word]) -> Iterator[tuple]:
+    """strategy, table_no, x0, top, x1, bottom, rows, failed of all tables on a page; whatever is wrong with it stays with it."""
+    page, wrong = None, None
+    try:
+        page = Page(words, lines)
+    except Exception as e:
+        wrong = e
+    for s, t in zip(STRATEGIES, TOLERANCES, strict=True):
+        try:
+            if page is None:
+                raise wrong
+            found = page.tables(s["vertical"] or "lines", s["horizontal"] or "lines", t)
+        except Exception as e:
+            yield s["seq"], None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+            continue
+        for i, (box, rows) in enumerate(found):
+            yield s["seq"], i, *box, rows, None
+
+
 @udtf
 class FindTables:
     """find_tables(table(elements)): the tables of each page by each strategy, and a row with failed for one that can't be worked out."""
@@ -201,14 +267,8 @@ class FindTables:
     def terminate(self) -> Iterator[tuple]:
         if self.at is None:
             return
-        for s, t in zip(STRATEGIES, TOLERANCES, strict=True):
-            try:
-                found = page_tables(self.words, self.lines, s["vertical"] or "lines", s["horizontal"] or "lines", t)
-            except Exception as e:  # whatever is wrong with a page stays with that page
-                yield (*self.at, s["seq"], None, None, None, None, None, None, f"{type(e).__name__}: {e}")
-                continue
-            for i, (box, rows) in enumerate(found):
-                yield (*self.at, s["seq"], i, *box, rows, None)
+        for row in by_strategies(self.words, self.lines):
+            yield *self.at, *row
 
 
 def register(spark: SparkSession) -> None:
@@ -221,8 +281,40 @@ def find_tables(elements: DataFrame) -> DataFrame:
     elements: doc_id, page, kind ("word" or "line"), text, x0, top, x1, bottom. Where a strategy fails on a page, failed says
     why and there is no table. Elements may come in any order; other columns are ignored. An empty table gives no rows.
     """
-    wanted = elements.select("doc_id", "page", "kind", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")))
-    return FindTables(wanted.asTable())
+    places = [F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]
+    e = F.struct((F.col("kind") == "word").alias("word"), F.col("text").alias("text"), *places)
+    pages = elements.groupBy("doc_id", "page").agg(F.collect_list(e).alias("e"))
+    kinds = dict(elements.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in (b.slice(i, PIECE) for i in range(0, b.num_rows, PIECE)):
+                at, found = [], []
+                for i, own in enumerate(_elements(piece.column("e"))):
+                    rows = list(by_strategies([w for w, k in own if k], [w for w, k in own if not k]))
+                    at += [i] * len(rows)
+                    found += rows
+                take = pa.array(at, pa.int64())
+                columns = zip(*found, strict=True) if found else [[]] * len(FOUND)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(take), piece.column("page").take(take), *(pa.array(list(c), kind) for c, kind in zip(columns, FOUND.values(), strict=True))], names=["doc_id", "page", *FOUND])
+
+    return pages.mapInArrow(work, f"doc_id {kinds['doc_id']}, page {kinds['page']}, strategy int, table_no int, x0 double, top double, x1 double, bottom double, rows array<array<string>>, failed string")
+
+
+FOUND = {"strategy": pa.int32(), "table_no": pa.int32(), "x0": pa.float64(), "top": pa.float64(), "x1": pa.float64(), "bottom": pa.float64(), "rows": pa.list_(pa.list_(pa.string())), "failed": pa.string()}
+#: Pages whose elements are Python objects at a time.
+PIECE = 256
+
+
+def _elements(pages: pa.ListArray) -> Iterator[list[tuple[Word, bool]]]:
+    """Each page's elements, and whether they are words: from the top, then from the left, then by text, as the table function has them."""
+    place = lambda e: (e[0].top, e[0].x0, e[0].text is not None, e[0].text or "")
+    ends, values = pages.offsets.to_pylist(), pages.values
+    values = values.slice(ends[0], ends[-1] - ends[0])
+    numbers = (values.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("x0", "top", "x1", "bottom"))
+    every = list(zip(map(Word, values.field("text").to_pylist(), *numbers), values.field("word").to_pylist(), strict=True))
+    for start, end in zip(ends, ends[1:], strict=False):
+        yield sorted(every[start - ends[0] : end - ends[0]], key=place)
 
 
 def kept_found(elements: DataFrame) -> DataFrame:
@@ -244,6 +336,12 @@ def text_lines(elements: DataFrame) -> DataFrame:
     return own.select("doc_id", "page", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), "top", "bottom")
 
 
+def caption_lines(elements: DataFrame) -> DataFrame:
+    """text_lines of the pages on which a word has what a caption begins with; there are no captions on the others."""
+    said = elements.where(F.col("kind") == "word").where(F.col("text").rlike(CAPTION_WORD)).select("doc_id", "page").distinct()
+    return text_lines(elements.join(said, ["doc_id", "page"], "left_semi"))
+
+
 def extract_tables(elements: DataFrame, heights: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id and the tables of each page: id, page, title, markdown, html, rows, source 'pdf'; numbered within the page.
 
@@ -252,10 +350,10 @@ def extract_tables(elements: DataFrame, heights: DataFrame, found: DataFrame | N
     kept_found has given, if it is there already.
     """
     found = kept_found(elements) if found is None else found
-    rows = found.where("failed is null").withColumn("rows", tb.normalise_rows(F.col("rows"))).where(tb.judge(tb.shape(F.col("rows"))))
+    rows = tb.probable(found.where("failed is null"))
     by_text = F.col("strategy").isin([s["seq"] for s in STRATEGIES if s["vertical"] == s["horizontal"] == "text"])
     bare = rows.where(by_text)
-    captioned = near_caption(bare.select("doc_id", "page", "table_no", "top", "bottom"), text_lines(elements), heights).select("doc_id", "page", "table_no")
+    captioned = near_caption(bare.select("doc_id", "page", "table_no", "top", "bottom"), caption_lines(elements), heights).select("doc_id", "page", "table_no")
     good = rows.where(~by_text).unionByName(bare.join(captioned, ["doc_id", "page", "table_no"], "left_semi"), allowMissingColumns=True)
     first = Window.partitionBy("doc_id", tb.key(F.col("page"), F.col("rows"))).orderBy("strategy", "table_no")
     kept = good.withColumn("_n", F.row_number().over(first)).where("_n = 1")

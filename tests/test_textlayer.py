@@ -114,3 +114,32 @@ def test_as_sql(spark):
     assert spark.sql("select rows from find_tables(table(elements)) where strategy = 0").collect()[0]["rows"] == ROWS
     with pytest.raises(Exception, match="elements need"):
         spark.sql("select * from find_tables(table(select 1 as doc_id))").collect()
+
+
+def test_strategies_share_a_page_s_edges(monkeypatch):
+    """What several strategies go by is worked out once for a page, and cells once for pages drawn alike; each finds what it finds alone."""
+    calls = []
+    for name in ("column_edges", "row_edges", "ruled", "cells"):
+        monkeypatch.setattr(tl, name, lambda *a, f=getattr(tl, name), n=name: (calls.append(n), f(*a))[1])
+    tl._remembered.cache_clear()
+    own, lines = words(ROWS), rules(XS, YS)
+    found = list(tl.by_strategies(own, lines))
+    assert (calls.count("column_edges"), calls.count("row_edges"), calls.count("ruled")) == (1, 1, 2)
+    n = calls.count("cells")
+    again = list(tl.by_strategies(words([[c[::-1] for c in r] for r in ROWS]), lines))
+    assert calls.count("cells") == n and [r[6] for r in again] == [[[c[::-1] if c else c for c in r] for r in t] for t in (r[6] for r in found)]
+    alone = [t for s, at in zip(tl.STRATEGIES, tl.TOLERANCES, strict=True) for t in tl.page_tables(own, lines, s["vertical"] or "lines", s["horizontal"] or "lines", at)]
+    assert [(tuple(r[2:6]), r[6]) for r in found] == alone
+
+
+def test_pages_go_by_arrow(spark):
+    """A page is a row of an Arrow batch, not a call for each element."""
+    df = spark.createDataFrame(page(1, 1, words(ROWS), rules(XS, YS)), ELEMENTS)
+    plan = tl.find_tables(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "PythonUDTF" not in plan
+
+
+def test_caption_lines_are_those_of_pages_that_say_so(spark):
+    rows = page(1, 1, [Word("表", 0, 0, 5, 10), Word("3", 9, 0, 12, 10), *words(ROWS)]) + page(2, 1, words(ROWS)) + page(3, 1, [Word("TABLE9", 0, 0, 5, 10)])
+    got = {(r["doc_id"], r["text"]) for r in tl.caption_lines(spark.createDataFrame(rows, ELEMENTS)).collect()}
+    assert got == {(1, "表 3"), (3, "TABLE9"), *((1, " ".join(r)) for r in ROWS)}
