@@ -23,6 +23,8 @@ PER_DOCUMENT = 3
 QUESTION_BLOCK, CHUNK_BLOCK = 512, 1024
 #: Blocks of questions that are sent to every task at most; more are dealt to as many partitions as it takes.
 SENT_BLOCKS = 32
+#: Scores that a task turns into rows at a time.
+PIECE = 1 << 16
 
 # Texts of answers and prompts.
 NOTHING_INDEXED = "当前没有已完成向量入库的文档，跨文档问答暂时无法检索。请重新上传或重新解析文档后再试。"
@@ -82,11 +84,19 @@ def _meeting(index: DataFrame, questions: DataFrame, work: Callable[[Iterator[tu
     return both.mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, score double")
 
 
+def _parts(pairs: Iterator[tuple]) -> Iterator[tuple]:
+    """Pairs of blocks by so many questions that a part has PIECE scores, or one question."""
+    for same, qids, docs, ords, scores in pairs:
+        step = max(1, PIECE // max(1, scores.shape[1]))
+        for i in range(0, len(scores), step):
+            yield same, qids[i : i + step], docs, ords, scores[i : i + step]
+
+
 def score(index: DataFrame, questions: DataFrame) -> DataFrame:
     """Every question with every chunk: qid, doc_id, ord, score."""
 
     def every(pairs: Iterator[tuple]) -> Iterator[tuple]:
-        for _, qids, docs, ords, scores in pairs:
+        for _, qids, docs, ords, scores in _parts(pairs):
             n, m = scores.shape
             q, c = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
             yield qids.take(q), docs.take(c), ords.take(c), pa.array(scores.ravel())
@@ -117,7 +127,19 @@ def _best(q: np.ndarray, doc: np.ndarray, ord_: np.ndarray, value: np.ndarray, k
 
 
 def candidates(index: DataFrame, questions: DataFrame, k: int, per_document: int | None = None) -> DataFrame:
-    """qid, doc_id, ord, score of the chunks that are a question's k best in their partition: all that can be of the k best."""
+    """qid, doc_id, ord, score of the chunks that are a question's k best in their partition: all that can be of the k best.
+
+    A task remembers k rows for each question, but no more than a block has chunks; of a larger k, what is among the k best
+    of its own block goes on.
+    """
+
+    def passed(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        for _, qids, docs, ords, scores in _parts(pairs):
+            n, m = scores.shape
+            at = np.arange(n * m)
+            if per_document is not None or m > k:
+                at = _best(np.repeat(np.arange(n), m), np.tile(_codes(docs), n), np.tile(_codes(ords), n), scores.ravel(), k, per_document)
+            yield qids.take(pa.array(at // m)), docs.take(pa.array(at % m)), ords.take(pa.array(at % m)), pa.array(scores.ravel()[at])
 
     def kept(pairs: Iterator[tuple]) -> Iterator[tuple]:
         state: dict[tuple, list] = {}
@@ -147,7 +169,7 @@ def candidates(index: DataFrame, questions: DataFrame, k: int, per_document: int
         for qids, q, docs, ords, values, _ in state.values():
             yield qids.take(pa.array(q)), docs, ords, pa.array(values)
 
-    return _meeting(index, questions, kept)
+    return _meeting(index, questions, kept if k < CHUNK_BLOCK else passed)
 
 
 def _ranked(rows: DataFrame, k: int, *group: str) -> DataFrame:
@@ -164,7 +186,7 @@ def top_in_document(index: DataFrame, questions: DataFrame, k: int = 5) -> DataF
     """The k best chunks of each question and document, with rank from 1."""
 
     def own(pairs: Iterator[tuple]) -> Iterator[tuple]:
-        for _, qids, docs, ords, scores in pairs:
+        for _, qids, docs, ords, scores in _parts(pairs):
             n, m = scores.shape
             q, c = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
             at = _best(q, _codes(docs)[c], _codes(ords)[c], scores.ravel(), n * m, k)

@@ -78,3 +78,20 @@ def test_few_rows_leave_a_partition(made):
 def test_nothing_to_find(made):
     _, _, index, questions = made
     assert retrieve.top(index.limit(0), questions).collect() == [] and retrieve.top(index, questions.limit(0)).collect() == []
+
+
+def test_a_large_k_is_not_remembered_by_a_task(spark, monkeypatch):
+    """Of a k beyond a block, rows go on in parts of bounded size; what comes out is the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 4, (40, 3)).astype(float).tolist()
+    index = spark.createDataFrame([(i % 7, i, v) for i, v in enumerate(vectors)], "doc_id int, ord int, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:9])], "qid int, q array<double>")
+    show = lambda df: sorted(map(tuple, df.select("qid", "rank", "doc_id", "ord", "score").collect()))
+    small = [show(f(index, questions, 12)) for f in (retrieve.top, retrieve.top_across)]
+    monkeypatch.setattr(retrieve, "CHUNK_BLOCK", 8)
+    monkeypatch.setattr(retrieve, "PIECE", 16)
+    assert [show(f(index, questions, 12)) for f in (retrieve.top, retrieve.top_across)] == small
+    sizes = [s.shape for *_, s in retrieve._parts(iter([(0, list(range(9)), [], [], np.zeros((9, 8)))]))]
+    assert sizes == [(2, 8)] * 4 + [(1, 8)]
