@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_mode, has_cjk, is_blank, lines, strip
+from quire.functions.text import clean_mode, has_cjk, is_blank, let, lines, strip, stripped
 
 # Patterns that tell titles, organisations, dates and numbers.
 HEADER_WORDS = r"(?iuU)(computer era|cnki\.net|doi\s*:|^doi\s|journal of|vol\.|issue\s|press|编辑部|杂志社|期刊名|中图分类号|文献标志码|文章编号)"
@@ -25,19 +25,24 @@ _extract = lambda c, pattern, group: F.when(c.rlike(pattern), F.regexp_extract(c
 
 def text_lines(text: Column) -> Column:
     """Stripped lines that aren't empty."""
-    return F.filter(F.transform(lines(text), strip), lambda x: x != "")
+    return F.filter(F.transform(lines(text), stripped), lambda x: x != "")
 
 
 def is_header(line: Column) -> Column:
     """A line that is no title: too short, of a journal or issue, or short without CJK characters."""
-    s = strip(F.coalesce(line, F.lit("")))
-    return (F.length(s) < 4) | s.rlike(HEADER_WORDS) | (s.rlike(ISSUE_NUMBER) & s.rlike(ISSUE_YEAR)) | s.rlike(CJK_ISSUE) | (~has_cjk(s) & (F.length(s) < 90))
+    s = stripped(F.coalesce(line, F.lit("")))
+    short = (F.length(s) < 4) | ((F.length(s) < 90) & ~has_cjk(s))  # what is soonest told comes first
+    return short | s.rlike(HEADER_WORDS) | (s.rlike(ISSUE_NUMBER) & s.rlike(ISSUE_YEAR)) | s.rlike(CJK_ISSUE)
 
 
 def title(lines_: Column) -> Column:
-    first = F.slice(lines_, 1, 50)
-    best = F.filter(first, lambda x: ~is_header(x) & has_cjk(strip(x)) & (F.length(strip(x)) >= 6))
-    return strip(F.coalesce(F.get(best, 0), F.get(F.filter(first, lambda x: ~is_header(x)), 0), F.get(lines_, 0)))
+    """The first of 50 lines that is no header, with CJK characters and six characters at least; else the first that is none, else the first."""
+
+    def of(l: Column) -> Column:
+        named = lambda c: F.get(F.filter(c, lambda x: (F.length(stripped(x)) >= 6) & has_cjk(stripped(x))), 0)
+        return let(F.filter(F.slice(l, 1, 50), lambda x: ~is_header(x)), lambda c: strip(F.coalesce(named(c), F.get(c, 0), F.get(l, 0))))
+
+    return let(lines_, of)
 
 
 def authors(lines_: Column, title_: Column) -> Column:

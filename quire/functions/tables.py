@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import CJK, is_blank, let, strip
+from quire.functions.text import CJK, is_blank, let, strip, stripped
 
 _EMPTY = "array<array<string>>"
 
@@ -13,7 +13,7 @@ _EMPTY = "array<array<string>>"
 def normalise_rows(rows: Column) -> Column:
     """Cells stripped (null as empty), empty rows dropped, rows padded to the widest, columns that are empty throughout dropped."""
     some = lambda r: F.exists(r, lambda c: c != "")
-    clean = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit(""))))), some)
+    clean = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: stripped(F.coalesce(c, F.lit(""))))), some)
 
     def squared(r: Column) -> Column:
         kept = F.filter(F.sequence(F.lit(0), F.array_max(F.transform(r, F.size)) - 1), lambda i: F.exists(r, lambda x: F.coalesce(F.get(x, i), F.lit("")) != ""))
@@ -156,7 +156,7 @@ def to_csv(json: Column, md: Column) -> Column:
 
 def key(page: Column, rows: Column) -> Column:
     """What two copies of a table on a page share."""
-    text = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, strip), "\t")), "\n")
+    text = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, stripped), "\t")), "\n")
     return F.concat(page.cast("string"), F.lit(":"), F.md5(text))
 
 

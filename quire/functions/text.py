@@ -42,6 +42,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def stripped(c: Column) -> Column:
+    """strip() of a column or an element of an array: most have no white space at an end, and of these only two characters are looked at."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), strip(c)).otherwise(c)
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+\z", "")
 

@@ -94,11 +94,13 @@ def page_tables(lines: list[dict]) -> list[list[list[str]]]:
 
 def boxes(lines: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, text and the box's edges; lines without text, with fewer than four points or without area go."""
-    places = lambda i: F.transform("bbox", lambda p: F.get(p, i).try_cast("double"))
+    place = lambda p, i: F.get(p, F.lit(i)).try_cast("double")
+    # nearly every box has four points, which need no function for each
+    edge = lambda four, more, i: F.when(F.size("bbox") == 4, four(*(place(F.get("bbox", F.lit(k)), i) for k in range(4)))).otherwise(more(F.transform("bbox", lambda p: place(p, i))))
+    edges = [edge(four, more, i).alias(f"{c}{n}") for i, c in enumerate("xy") for n, four, more in ((0, F.least, F.array_min), (1, F.greatest, F.array_max))]
     # worked out once, for the columns and for the filter
-    one = F.struct(safe_text(F.col("text")).alias("text"), places(0).alias("xs"), places(1).alias("ys"))
-    out = lines.where(F.size("bbox") >= 4).select("doc_id", "page_no", "line_no", F.explode(F.array(one)).alias("b"))
-    out = out.select("doc_id", "page_no", "line_no", "b.text", *(f(f"b.{c}").alias(n) for n, f, c in (("x0", F.array_min, "xs"), ("x1", F.array_max, "xs"), ("y0", F.array_min, "ys"), ("y1", F.array_max, "ys"))))
+    one = F.struct(safe_text(F.col("text")).alias("text"), *edges)
+    out = lines.where(F.size("bbox") >= 4).select("doc_id", "page_no", "line_no", F.inline(F.array(one)))
     return out.where("text <> '' and x1 > x0 and y1 > y0")
 
 

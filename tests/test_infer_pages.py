@@ -76,3 +76,27 @@ def test_gaps_sort_their_centres_once(spark):
     got = df.select("id", layout.widest_gap(F.array_sort("c")).alias("g"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
     assert {r["id"]: r["g"] and tuple(r["g"]) for r in got.collect()} == {1: (3.0, 1, 3.5), 2: None, 3: None, 4: (3.0, 0, 1.5)}
+
+
+def test_boxes_of_four_points_and_more(spark):
+    nan = float("nan")
+    rows = [(1, [["1", "2"], ["5", None], ["x", "8"], ["3"]]), (2, [["1", "2"], ["5", "3"], ["9", "4"], ["0", "7"], ["-1", "1"]]), (3, [["1", "1"]] * 4), (4, [["1", "2"], ["3", "4"], None, ["2", "2"]]), (5, [["1", "2"], ["3", "4"], ["NaN", "3"], ["2", "2"]]), (6, [["1", "2"]] * 3)]
+    df = spark.createDataFrame([(i, 1, 1, f" t{i}\t", b) for i, b in rows], "doc_id int, page_no int, line_no int, text string, bbox array<array<string>>")
+    got = {r["doc_id"]: tuple(r)[3:] for r in infer.boxes(df).collect()}
+    assert repr(got) == repr({1: ("t1", 1.0, 5.0, 2.0, 8.0), 2: ("t2", -1.0, 9.0, 1.0, 7.0), 4: ("t4", 1.0, 3.0, 2.0, 4.0), 5: ("t5", 1.0, nan, 2.0, 4.0)})
+
+
+def test_a_title_splits_its_text_once(spark):
+    from quire.functions import meta
+
+    df = spark.createDataFrame([(1, " \n ab\nvol. 1 图书\n 图书馆数据研究 \n"), (2, "short\n" + "w " * 60), (3, "a\nb"), (4, None)], "id int, t string")
+    got = df.select("id", meta.title(meta.text_lines(F.col("t"))).alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(t") == 1
+    assert {r["id"]: r["v"] for r in got.collect()} == {1: "图书馆数据研究", 2: ("w " * 60).strip(), 3: "a", 4: None}
+
+
+def test_stripped_is_strip(spark):
+    from quire.functions import text as tx
+
+    df = spark.createDataFrame([(x,) for x in ("", " ", "a", " a", "a　", " \n b c \x85", "x\ty", None, "\U0001F600 ")], "t string")
+    assert all(r[0] == r[1] for r in df.select(tx.strip(F.col("t")), tx.stripped(F.col("t"))).collect())
