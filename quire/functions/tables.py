@@ -31,6 +31,10 @@ def is_prose(c: Column) -> Column:
 
 def shape(rows: Column) -> Column:
     """Statistics of normalised rows, over rows with two filled cells at least."""
+    return let(rows, _shape)
+
+
+def _shape(rows: Column) -> Column:
     filled = lambda r: F.filter(r, lambda c: c != "")
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     is_short = lambda c: (F.length(c) <= 28) | c.endswith(":") | c.endswith("：")
@@ -131,12 +135,16 @@ def json_rows(json: Column) -> Column:
 def json_csv(json: Column) -> Column:
     """CSV of a table's JSON whose rows are arrays or objects; empty if it has none."""
     columns = F.coalesce(F.get_json_object(json, "$.columns"), F.get_json_object(json, "$.table_json.columns"))
-    rows = F.coalesce(F.get_json_object(json, "$.rows"), F.get_json_object(json, "$.table_json.rows"))
-    arrays = csv_rows(F.filter(_json_rows(rows), lambda r: r.isNotNull()))
-    objects = F.from_json(rows, "array<map<string,string>>")
-    names = F.coalesce(F.from_json(columns, "array<string>"), F.json_object_keys(F.get_json_object(rows, "$[0]")))
-    by_name = F.concat(F.array(names), F.transform(objects, lambda o: F.transform(names, lambda n: F.try_element_at(o, n))))
-    return F.coalesce(F.when(rows.rlike(r"^\s*\[\s*\["), arrays).when(rows.rlike(r"^\s*\[\s*\{") & (F.size(names) > 0), csv_rows(by_name)), F.lit(""))
+
+    def of(rows: Column) -> Column:  # what is parsed is parsed once
+        objects = F.from_json(rows, "array<map<string,string>>")
+        names = F.coalesce(F.from_json(columns, "array<string>"), F.json_object_keys(F.get_json_object(rows, "$[0]")))
+        by_name = lambda n: F.concat(F.array(n), F.transform(objects, lambda o: F.transform(n, lambda x: F.try_element_at(o, x))))
+        arrays = csv_rows(F.filter(_json_rows(rows), lambda r: r.isNotNull()))
+        named = let(names, lambda n: F.when(F.size(n) > 0, csv_rows(by_name(n))))
+        return F.coalesce(F.when(rows.rlike(r"^\s*\[\s*\["), arrays).when(rows.rlike(r"^\s*\[\s*\{"), named), F.lit(""))
+
+    return let(F.coalesce(F.get_json_object(json, "$.rows"), F.get_json_object(json, "$.table_json.rows")), of)
 
 
 def markdown_csv(md: Column) -> Column:
@@ -150,7 +158,7 @@ def markdown_csv(md: Column) -> Column:
 
 def to_csv(json: Column, md: Column) -> Column:
     """CSV from the JSON, else from the Markdown, else the JSON itself."""
-    some = lambda c: F.when(~is_blank(c), c)
+    some = lambda c: let(c, lambda x: F.when(~is_blank(x), x))
     return F.when(is_blank(json) & is_blank(md), "").otherwise(F.coalesce(some(json_csv(json)), some(markdown_csv(md)), json, F.lit("")))
 
 

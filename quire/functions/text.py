@@ -59,7 +59,7 @@ def is_blank(c: Column) -> Column:
 
 def safe_text(c: Column) -> Column:
     """Stripped, null as empty."""
-    return F.coalesce(strip(c.cast("string")), F.lit(""))
+    return F.coalesce(stripped(c.cast("string")), F.lit(""))
 
 
 def first_non_blank(*columns: Column) -> Column:

@@ -74,7 +74,7 @@ def view_rows(rows: Column) -> Column:
     """array<array<string>> of a JSON array; what isn't an array in it is left out, nested cells stay JSON; null if nothing is left."""
     each = F.from_json(rows, "array<string>")
     kept = F.transform(F.filter(each, lambda r: r.rlike(r"^\s*\[")), lambda r: F.from_json(r, "array<string>"))
-    return F.when(F.size(kept) > 0, kept)
+    return tx.let(kept, lambda k: F.when(F.size(k) > 0, k))
 
 
 def resolve_table(tables: DataFrame, wanted: str) -> DataFrame:

@@ -86,11 +86,17 @@ def _kind(spark_type: str) -> str:
     return {"string": "varchar", "int": "integer", "long": "bigint", "double": "double", "boolean": "boolean"}[t]
 
 
-def scalar(name: str, fixture: Fixture, sql: str, /, **columns: Callable[..., Column]) -> None:
-    """A query of expressions over a fixture; sql selects the same from {t}."""
+def scalar(name: str, fixture: Fixture, sql: str, /, *, once: Callable[..., Column] | None = None, **columns: Callable[..., Column]) -> None:
+    """A query of expressions over a fixture; sql selects the same from {t}. once: what is worked out once; the columns are then made of it alone."""
     if name in QUERIES:
         raise ValueError(f"two queries are called {name}")
-    picked = lambda df: df.select(*fixture.names[:1], *(f(*(F.col(c) for c in fixture.names)).alias(c) for c, f in columns.items()))
+
+    def picked(df: DataFrame) -> DataFrame:
+        own = [F.col(c) for c in fixture.names]
+        if once is not None:
+            df, own = df.select(fixture.names[0], F.explode(F.array(once(*own))).alias("_once")), [F.col("_once")]
+        return df.select(*fixture.names[:1], *(f(*own).alias(c) for c, f in columns.items()))
+
     QUERIES[name] = lambda spark, folder: picked(fixture.df(Tables(spark, folder)))
     ORACLES[name] = sql.replace("{t}", fixture.sql)
     if fixture.over:

@@ -52,9 +52,9 @@ s as (select id, len(r) n_rows, cols, len(kept) kept, len(list_filter(kept, lamb
   list_sum(list_transform(cells, lambda c: length(c))) / nullif(len(cells), 0) avg_chars, len(list_filter(cells, lambda c: length(c) <= 32)) / nullif(len(cells), 0) short_, len(list_filter(cells, lambda c: length(c) >= 56)) / nullif(len(cells), 0) long_,
   len(list_filter(cells, lambda c: regexp_matches(c, '\\d'))) / nullif(len(cells), 0) numeric_, len(list_filter(cells, lambda c: {PROSE})) / nullif(len(cells), 0) prose,
   len(list_filter(kept, lambda x: length(x[1]) <= 28 or x[1] like '%:' or x[1] like '%：')) / nullif(len(kept), 0) first_, list_sum(list_transform(cells, lambda c: length(c))) / nullif(len(kept), 0) row_chars from c)"""
-shape = lambda f: lambda id, r: F.round(F.try_add(tb.shape(tb.normalise_rows(r))[f].cast("double"), F.lit(0.0)), 6)
+shape = lambda f: lambda stats: F.round(F.try_add(stats[f].cast("double"), F.lit(0.0)), 6)
 SOME = Fixture("id int, r array<array<string>>", [x for x in ROWS if x[0] not in (6, 9, 2, 1)], ITEMS)
-scalar("a06_table_stats", SOME, f"with {SHAPE} select id, round(n_rows::double, 6) as n_rows, round(kept::double, 6) as kept, round(density, 6) as density, round(avg_chars, 6) as avg_chars, round(short_, 6) as short, round(long_, 6) as long, round(numeric_, 6) as numeric, round(prose, 6) as prose from s", **{f: shape(f) for f in ("n_rows", "kept", "density", "avg_chars", "short", "long", "numeric", "prose")})
+scalar("a06_table_stats", SOME, f"with {SHAPE} select id, round(n_rows::double, 6) as n_rows, round(kept::double, 6) as kept, round(density, 6) as density, round(avg_chars, 6) as avg_chars, round(short_, 6) as short, round(long_, 6) as long, round(numeric_, 6) as numeric, round(prose, 6) as prose from s", once=lambda id, r: tb.shape(tb.normalise_rows(r)), **{f: shape(f) for f in ("n_rows", "kept", "density", "avg_chars", "short", "long", "numeric", "prose")})
 PROBABLE = """coalesce(case when n_rows < 2 or cols < 2 or kept < 2 then false
   when cols >= 3 then kept >= 3 and three >= greatest(2, floor(kept * 0.35)) and density >= 0.55 and not (short_ < 0.45 and numeric_ < 0.18) and not (long_ > 0.45 and numeric_ < 0.18) and not (prose > 0.45 and numeric_ < 0.18) and not (avg_chars > 70 and numeric_ < 0.20)
   else kept >= 3 and density >= 0.65 and first_ >= 0.6 and row_chars <= 130 and (long_ <= 0.35 or numeric_ >= 0.15) and prose <= 0.5 end, false)"""

@@ -100,3 +100,23 @@ def test_stripped_is_strip(spark):
 
     df = spark.createDataFrame([(x,) for x in ("", " ", "a", " a", "a　", " \n b c \x85", "x\ty", None, "\U0001F600 ")], "t string")
     assert all(r[0] == r[1] for r in df.select(tx.strip(F.col("t")), tx.stripped(F.col("t"))).collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_is_parsed_once(spark):
+    from quire.operators import store
+
+    df = spark.createDataFrame([(1, '{"rows":[["a","b,c"],[null,"d"]],"columns":["x"]}', None), (2, '[["p"],"q"]', "| z |")], "id int, j string, m string")
+    assert _plan(df.select(store.view_rows(F.col("j")).alias("v"))).count("from_json") == 2  # the array, and in it the rows
+    assert _plan(df.select(tb.to_csv(F.col("j"), F.col("m")).alias("v"))).count("from_json") == 3  # arrays, objects, names
+    assert [r[0] for r in df.select(tb.to_csv(F.col("j"), F.col("m"))).collect()] == ['a,"b,c"\n,d\n', "z\n"]
+    assert [r[0] for r in df.select(store.view_rows(F.col("j"))).collect()] == [None, [["p"]]]
+
+
+def test_statistics_are_worked_out_once(spark, data):
+    from quire import plans
+
+    assert _plan(plans.QUERIES["a06_table_stats_documents"](spark, data)).count("filter(r#") == 1
