@@ -204,11 +204,16 @@ def contains_keyword(text: Column, keyword: Column) -> Column:
 def snippet(text: Column, keyword: Column) -> Column:
     """30 characters on either side of the keyword's first place; without one the first 100."""
     at = F.instr(F.lower(text), F.lower(keyword)) - 1
-    start, end = F.greatest(F.lit(0), at - 30), F.least(F.length(text), at + F.length(keyword) + 30)
     dots = lambda c: F.when(c, "...").otherwise("")
-    found = F.concat(dots(start > 0), F.substring(text, start + 1, end - start), dots(end < F.length(text)))
     none = F.concat(F.substring(text, 1, 100), dots(F.length(text) > 100))
-    return F.when(is_blank(text), "").when(at < 0, none).otherwise(found)
+    return F.when(is_blank(text), "").when(at < 0, none).otherwise(snippet_at(text, keyword, at))
+
+
+def snippet_at(text: Column, keyword: Column, at: Column) -> Column:
+    """30 characters on either side of a keyword's place, from 0."""
+    start, end = F.greatest(F.lit(0), at - 30), F.least(F.length(text), at + F.length(keyword) + 30)
+    dots = lambda c: F.when(c, "...").otherwise("")
+    return F.concat(dots(start > 0), F.substring(text, start + 1, end - start), dots(end < F.length(text)))
 
 
 def escape_html(c: Column) -> Column:

@@ -176,13 +176,22 @@ class Change:
         elif _schema(old).simpleString() != fields.simpleString() or old["key"] != key:
             raise ValueError(f"{name} is there with other columns or another key")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """The rows of the keys in it take the place of all that these keys had; other keys stay. No key counts as a key, too."""
+    def replace(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows of the keys in it take the place of all that these keys had; other keys stay. No key counts as a key, too.
+
+        Returns the rows, as they are written.
+        """
         table = self._table(name)
         new = self._write(name, rows)
         fresh = self.store._rows(name, table | {"files": {b: [d] for b, d in new.items()}})
         self._without(name, table, list(new), fresh.select(table["key"]).distinct())
         self._add(table, new)
+        return fresh.drop(BATCH)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Rows come in as they are, worked out once; if they are sent again, they are there twice."""
+        table = self._table(name)
+        self._add(table, self._write(name, rows))
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """The rows of these keys (a column of the key's name) go."""
