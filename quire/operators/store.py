@@ -10,6 +10,18 @@ from quire.functions import text as tx
 from quire.operators.ordering import numbered
 
 
+#: Rows that are gathered by document in one task, about.
+PART_ROWS = 1 << 18
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to as many partitions as PART_ROWS asks for: what a task sorts and gathers doesn't grow with the table.
+
+    Without it they are gathered once where they are read, too, and a few MB of Parquet may be millions of them.
+    """
+    return rows.repartition(1 + rows.count() // PART_ROWS, key)
+
+
 def registry(listed: DataFrame, files: DataFrame) -> DataFrame:
     """doc_id and pos: listed(pos, doc_id) stripped, then folders that hold both index files, by name; each once, first place first.
 
@@ -53,12 +65,12 @@ def with_names(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 def with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """documents with pages: their pages in order, as structs."""
-    own = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "id", "ocr_text", "display_text", "clean_text_for_rag", "raw_ocr_text"))).alias("pages"))
+    own = _dealt(pages, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "id", "ocr_text", "display_text", "clean_text_for_rag", "raw_ocr_text"))).alias("pages"))
     return documents.join(own, documents["id"] == own["doc_id"], "left").drop("doc_id").withColumn("pages", F.coalesce("pages", F.array().cast(own.schema["pages"].dataType)))
 
 
 def with_tables(documents: DataFrame, tables: DataFrame) -> DataFrame:
-    own = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "page_no", "table_json", "table_markdown"))).alias("tables"))
+    own = _dealt(tables, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "page_no", "table_json", "table_markdown"))).alias("tables"))
     return documents.join(own, documents["id"] == own["doc_id"], "left").drop("doc_id").withColumn("tables", F.coalesce("tables", F.array().cast(own.schema["tables"].dataType)))
 
 
