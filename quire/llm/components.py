@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,18 @@ def folder(spark: SparkSession) -> None:
     context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files are deleted when it has ended; for work in steps that each end with a checkpoint or file."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with a number: one that no column of df has."""
     taken = {c.lower() for c in df.columns}

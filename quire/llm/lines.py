@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
-from quire.llm.components import connected, folder, fresh, small, written
+from quire.llm.components import connected, folder, fresh, shuffles_dropped, small, written
 
 #: Edit similarity is 1 - distance / length of the longer one, in fifths: at most one fifth may differ.
 FIFTH = 5
@@ -53,8 +53,8 @@ AHEAD = 2
 LONG, PIECE, MOST_PIECES, ANCHOR, DRIFT = 384, 64, 1024, 16, 32
 
 _LETTER = r"[\p{L}\p{N}]"
-#: Runs to be replaced by a blank: all but single blanks.
-_GAPS = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+"
+#: Runs to be replaced by a blank; one class is faster than leaving single blanks out.
+_GAPS = r"[^\p{L}\p{N}]+"
 
 
 def normalised(line: Column) -> Column:
@@ -291,10 +291,11 @@ def dedup_lines(documents: DataFrame, names: tuple[str, str] = ("n_lines", "drop
     dropped replace columns of these names. Links go by 64-bit, exact repeats by 128-bit hashes of the lines.
     """
     folder(documents.sparkSession)
-    dropped = _dropped(documents).checkpoint()
+    with shuffles_dropped(documents.sparkSession):  # else those of all steps lie on disk to the end
+        dropped = _dropped(documents).checkpoint()
+        lines = dropped.agg(F.sum(F.size("dropped") + 2)).first()[0] or 0
     id_, fp, gone = (fresh(documents, name) for name in ("_first_id", "_first_fp", "_lines_gone"))
     dropped = dropped.select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("dropped").alias(gone))
-    lines = dropped.agg(F.sum(F.size(gone) + 2)).first()[0] or 0
     rest = documents.join(F.broadcast(dropped) if lines <= 2 * BROADCAST_ROWS else dropped, documents["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(documents["text"]) == F.col(fp)), "left")
     # the text is split once, not for each line that stays
     stay = F.transform(F.array(F.split(documents["text"], "\n")), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone)), lambda i: F.get(own, i)), "\n"))[0]

@@ -610,3 +610,24 @@ def test_pipeline_stages(spark, data):
     windows = {tuple(w[a : a + 10]) for w in items for a in range(max(len(w) - 10, 0) + 1) if w}
     assert not any(tuple(w[a : a + 10]) in windows for w in map(words, texts) for a in range(len(w) - 9))
     assert corpus_pipeline.STAGES[-1][1](spark, kept, data).agg(F.count_distinct("doc_id")).first()[0] == len({r["doc_id"] for r in kept.collect()})
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """Each of its steps ends with a checkpoint; the shuffle files of all of them lay on disk together."""
+    import gc
+
+    def shuffled() -> int:
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(f.getName().startswith("shuffle_") for d in manager.localDirs() for f in spark._jvm.org.apache.commons.io.FileUtils.listFiles(d, None, True))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    line = " ".join(f"longword{i}" for i in range(60))
+    df = spark.createDataFrame([(i, line.replace("longword7 ", f"longword{i}x ")) for i in range(20)], "doc_id long, text string")
+    gc.disable()  # Python holds on to what a collection would let go
+    try:
+        before, was = shuffled(), spark.conf.get(key)
+        out = lines.dedup_lines(df)
+        assert shuffled() <= before and spark.conf.get(key) == was
+        assert out.where("size(dropped) = 0").count() == 1
+    finally:
+        gc.enable()
