@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,28 +62,36 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the component's smallest node.
 
     Each step keeps at most as many rows as there are links and never gathers a node's neighbours: it needs their minimum
-    only. Nodes that link to themselves alone, and nulls, are left out.
+    only. Nodes that link to themselves alone, and nulls, are left out. A table of up to PART_ROWS links, in one partition,
+    is worked on without shuffles: each shuffle is a thread of the driver for a minute, and small tables take many steps.
     """
     folder(links.sparkSession)
-    e = _compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    e, one = _compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while not _stars(e):
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _compact(small.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
+        large = _lowest(_turned(e, ("u", "v"), ("v", "u")), one).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _turned(_lowest(large, one), ("v", "m"), ("u", "m")).where("u > v").distinct()
+        e, one = (small.checkpoint().coalesce(1), one) if one else _compact(small)  # it doesn't grow
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _compact(links: DataFrame) -> DataFrame:
-    """links, checkpointed; a table of few rows in few partitions, as each of them costs files in every later shuffle."""
+def _turned(e: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) for each of these pairs of columns of each row; unlike a union, in as many partitions."""
+    return e.select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))).alias("e")).select("e.u", "e.v")
+
+
+def _lowest(e: DataFrame, one: bool) -> DataFrame:
+    """e with m, the smallest v of each u. Of one partition of PART_ROWS links, a node's may be gathered."""
+    return e.withColumn("m", F.min("v").over(Window.partitionBy("u"))) if one else e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
+def _compact(links: DataFrame) -> tuple[DataFrame, bool]:
+    """links, checkpointed, and whether in one partition; a table of few rows in few partitions, as each of them costs files in every later shuffle."""
     links = links.checkpoint()
     parts = 1 + links.count() // PART_ROWS
-    return links.coalesce(parts) if parts < links.rdd.getNumPartitions() else links
+    return links.coalesce(parts) if parts == 1 or parts < links.rdd.getNumPartitions() else links, parts == 1
 
 
 def _stars(e: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u."""
-    rows, us = e.agg(F.count("*"), F.count_distinct("u")).first()
-    return rows == us and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+    end = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("vs")), F.struct(F.col("v").alias("node"), F.lit(0).alias("vs")))).alias("end")).select("end.*")
+    return end.groupBy("node").agg(F.sum("vs").alias("vs"), F.min("vs").alias("least")).where("vs > 1 or vs > least").isEmpty()

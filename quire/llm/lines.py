@@ -218,7 +218,7 @@ def _needed(words: str) -> Column:
 
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose normalised lines are similar."""
-    wanted = pairs.select(F.col("a").alias("k1")).unionAll(pairs.select("b")).distinct().checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().checkpoint()
     at = lines.join(_small(wanted), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "fp", "line")).alias("at"))
     at = at.select("k1", F.col("at.doc_id").alias("_id"), F.col("at.fp").alias("_fp"), F.col("at.line").alias("_line")).checkpoint()
     line = docs.select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t"))
@@ -230,8 +230,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     return similar(both, "ta", "tb").distinct()  # a document that repeats gives its lines as often
 
 
-def _links(parts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b), by k1, that connect all lines that share enough blocks and are similar."""
+def _groups(parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(k1, root), root being the smallest k1 of a group: the groups of lines that share enough blocks and are similar."""
     lines = parts.where("code = 0")
     small = lines.where("short is not null").select("k1", "length", "words", F.explode(_small_blocks(F.col("short"))).alias("block"))
     keyed = parts.where("code > 0").select("k1", "length", "words", "block").unionAll(small)
@@ -243,10 +243,9 @@ def _links(parts: DataFrame, docs: DataFrame) -> DataFrame:
     under = keyed.join(_small(shared), "block").select("block", "k1", "length", "words", "leader").distinct().checkpoint()
     led = under.where("k1 <> leader").groupBy(F.col("k1").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("blocks"), F.max("words").alias("words"))
     led = led.where(F.col("blocks") >= _needed("words")).select("a", "b").checkpoint()
-    links, tested = _verified(led, lines, docs).checkpoint(), led
+    group, tested = _grouped(_verified(led, lines, docs)), led
     under = under.select("block", "k1", "length", "words")
     for everyone in (False, True):  # a leader of what isn't connected yet, then all that still isn't
-        group = connected(links).select(F.col("node").alias("k1"), "root").checkpoint()
         apart = under.join(_small(group), "k1", "left").select("block", "k1", "length", "words", F.coalesce("root", "k1").alias("root"))
         mixed = apart.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("lines")).where("least <> most").select("block", "lines").checkpoint()
         # lines that share as many blocks as they must share one besides their most frequent ones
@@ -261,8 +260,14 @@ def _links(parts: DataFrame, docs: DataFrame) -> DataFrame:
             pairs = pairs.where("a_k1 > b_k1")
         pairs = pairs.select(F.greatest("a_k1", "b_k1").alias("a"), F.least("a_k1", "b_k1").alias("b")).distinct()
         pairs = pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-        links, tested = links.unionAll(_verified(pairs, lines, docs)).checkpoint(), tested.unionAll(pairs)
-    return links
+        # a group's lines are linked to its root now, which takes fewer steps than all links again
+        group, tested = _grouped(group.select(F.col("k1").alias("a"), F.col("root").alias("b")).unionAll(_verified(pairs, lines, docs))), tested.unionAll(pairs)
+    return group
+
+
+def _grouped(links: DataFrame) -> DataFrame:
+    """(k1, root) of all lines that links (a, b) connect."""
+    return connected(links).select(F.col("node").alias("k1"), "root").checkpoint()
 
 
 def _dropped(documents: DataFrame) -> DataFrame:
@@ -270,7 +275,7 @@ def _dropped(documents: DataFrame) -> DataFrame:
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["text"]).alias("fp"), documents["text"].cast("string").alias("text")).where("text is not null")
     parts = written(_parts(docs.groupBy("doc_id", "fp").agg(F.first("text").alias("text"))))
     lines = parts.where("code = 0").select("doc_id", "fp", "line", "k1", "k2")
-    groups = connected(_links(parts, docs)).select(F.col("node").alias("k1"), "root").checkpoint()
+    groups = _groups(parts, docs)
     # lines that normalise alike are one group, and so are all that links connect
     lines = lines.join(_small(groups), "k1", "left").select("doc_id", "fp", "line", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0).cast("long")).alias("g2"))
     again = lines.groupBy("g1", "g2").count().where("count > 1").select("g1", "g2").checkpoint()

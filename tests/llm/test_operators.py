@@ -631,3 +631,14 @@ def test_line_dedup_leaves_no_shuffle_files(spark):
         assert out.where("size(dropped) = 0").count() == 1
     finally:
         gc.enable()
+
+
+def test_components_of_a_small_table_take_few_shuffles(spark):
+    """Each shuffle is a thread of the driver for a minute. A path takes many steps."""
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001), (7, 7), (None, 3)]
+    df = spark.createDataFrame(links, "a long, b long").checkpoint()
+    number = spark.sparkContext._jsc.sc().newShuffleId
+    before = number()
+    got = {r["node"]: r["root"] for r in components.connected(df).collect()}
+    assert number() - before < 10
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1002: 1000}
