@@ -114,8 +114,8 @@ def _small_blocks(t: Column) -> Column:
 def _parts(docs: DataFrame) -> DataFrame:
     """Rows of the lines with a letter or digit, for each the line itself (code 0) and its parts.
 
-    doc_id, fp, line; k1 and k2, its hashes; length and words (distinct ones); short, its text, with code 0 and if it is
-    short; and block, with other codes.
+    doc_id, fp, line; k1 and k2, its hashes; length and words (distinct ones); blocks, those of a short line, with code 0;
+    and block, with other codes.
     """
     line = docs.select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(_LETTER))
     line = line.select("doc_id", "fp", "line", normalised(F.col("t")).alias("t"))
@@ -134,7 +134,8 @@ def _parts(docs: DataFrame) -> DataFrame:
     part = word.groupBy("doc_id", "fp", "line", "code", "short").agg(*same, *(F.sum(c).alias(f"c{k}") for k, c in enumerate(_counts("h"))), F.count("*").alias("n"), F.sum("chars").alias("chars"))
     bits = _majority([F.col(f"c{k}") for k in range(LANE)], F.col("n"))
     part = part.where((F.col("code") == 0) | ((F.col("n") >= PART_WORDS) & (F.col("chars") >= PART_CHARS)))
-    return part.select(*what, "short", "code", F.when(F.col("code") > 0, F.xxhash64("code", bits)).alias("block"))
+    blocks = F.when(F.col("short").isNotNull(), _small_blocks(F.col("short"))).alias("blocks")  # once, as they are read twice
+    return part.select(*what, blocks, "code", F.when(F.col("code") > 0, F.xxhash64("code", bits)).alias("block"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 def _groups(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """(k1, root), root being the smallest k1 of a group: the groups of lines that share enough blocks and are similar."""
     lines = parts.where("code = 0")
-    small = lines.where("short is not null").select("k1", "length", "words", F.explode(_small_blocks(F.col("short"))).alias("block"))
+    small = lines.where("blocks is not null").select("k1", "length", "words", F.explode("blocks").alias("block"))
     keyed = parts.where("code > 0").select("k1", "length", "words", "block").unionAll(small)
     # the most frequent line leads: it's the one that variants were made from
     often = lines.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").checkpoint()

@@ -642,3 +642,10 @@ def test_components_of_a_small_table_take_few_shuffles(spark):
     got = {r["node"]: r["root"] for r in components.connected(df).collect()}
     assert number() - before < 10
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_blocks_of_short_lines_are_kept(spark):
+    """They are read twice, so the table of parts holds them."""
+    docs = spark.createDataFrame([(1, 5, "one two three\n" + " ".join(f"word{i}" for i in range(20)))], "doc_id long, fp long, text string")
+    got = {r["line"]: r["blocks"] for r in lines._parts(docs).where("code = 0").collect()}
+    assert len(got[0]) >= 3 and got[1] is None
