@@ -8,13 +8,13 @@ expressions again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import median
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import tables as tb
@@ -321,11 +321,22 @@ def requires_caption(vertical, horizontal):
     return F.coalesce((vertical == "text") & (horizontal == "text"), F.lit(False))
 
 
+def _near(f: Callable[[str], Column], w: Callable[[str], Column]) -> Column:
+    """A text line (top, bottom) is wholly in [top - 90, top + 18] or [bottom - 8, bottom + 55] of a table, within the page (height)."""
+    band = lambda low, high: (w("top") >= F.greatest(F.lit(0.0), low)) & (w("bottom") <= F.least(f("height"), high))
+    return band(f("top") - 90, f("top") + 18) | band(f("bottom") - 8, f("bottom") + 55)
+
+
 def near_caption(found: DataFrame, words: DataFrame, heights: DataFrame) -> DataFrame:
     """The found tables (doc_id, page, table_no, top, bottom) with a caption just above or below: text lines (doc_id, page, text,
     top, bottom) wholly in [top - 90, top + 18] or [bottom - 8, bottom + 55], within the page."""
     pages = found.join(heights, ["doc_id", "page"])
-    band = lambda low, high: (F.col("w.top") >= F.greatest(F.lit(0.0), low)) & (F.col("w.bottom") <= F.least(F.col("f.height"), high))
-    near = band(F.col("f.top") - 90, F.col("f.top") + 18) | band(F.col("f.bottom") - 8, F.col("f.bottom") + 55)
+    near = _near(lambda c: F.col(f"f.{c}"), lambda c: F.col(f"w.{c}"))
     captions = words.where(F.col("text").rlike(CAPTION))
     return pages.alias("f").join(captions.alias("w"), (F.col("f.doc_id") == F.col("w.doc_id")) & (F.col("f.page") == F.col("w.page")) & near, "left_semi").select("doc_id", "page", "table_no", "top", "bottom")
+
+
+def has_caption(lines: Column, top: Column, bottom: Column, height: Column) -> Column:
+    """near_caption of one table over its page's text lines, an array of (text, top, bottom); false where the height is null."""
+    f = {"top": top, "bottom": bottom, "height": height}
+    return F.coalesce(height.isNotNull() & F.exists(lines, lambda w: w["text"].rlike(CAPTION) & _near(f.get, lambda c: w[c])), F.lit(False))

@@ -152,9 +152,8 @@ query("f23_captions_wanted", f"select l_orderkey doc_id, 1::bigint n, len(any_va
 
 
 def captioned(t) -> DataFrame:
-    elements = textlayer_queries.elements(t)
-    bare = textlayer.find_tables(elements).where("strategy = 2 and failed is null").select("doc_id", "page", "table_no", "top", "bottom")
-    return infer.near_caption(bare, textlayer.caption_lines(elements), textlayer_queries.heights(t)).select("doc_id")
+    bare = textlayer.find_with_captions(textlayer_queries.elements(t)).where("strategy = 2 and failed is null")
+    return textlayer.captioned(bare, textlayer_queries.heights(t)).select("doc_id")
 
 
 query("j10_captioned_pages", "select distinct l_orderkey doc_id from lineitem where l_orderkey % 6 = 2")(captioned)

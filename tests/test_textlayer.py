@@ -1,11 +1,14 @@
 """The text layer's tables: geometry by hand, each strategy alone, captions, equal tables, bad pages."""
 
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import textlayer as tl
+from quire.operators.infer import near_caption
 from quire.operators.textlayer import Edge, Tolerances, Word
 
 ELEMENTS = "doc_id int, page int, kind string, text string, x0 double, top double, x1 double, bottom double"
@@ -143,3 +146,57 @@ def test_caption_lines_are_those_of_pages_that_say_so(spark):
     rows = page(1, 1, [Word("表", 0, 0, 5, 10), Word("3", 9, 0, 12, 10), *words(ROWS)]) + page(2, 1, words(ROWS)) + page(3, 1, [Word("TABLE9", 0, 0, 5, 10)])
     got = {(r["doc_id"], r["text"]) for r in tl.caption_lines(spark.createDataFrame(rows, ELEMENTS)).collect()}
     assert got == {(1, "表 3"), (3, "TABLE9"), *((1, " ".join(r)) for r in ROWS)}
+
+
+def odd_page(rng):
+    """Words and lines in crooked rows and columns; some at one place, some without sense or text."""
+    own, lines = [], []
+    for _ in range(rng.choice((0, 1, 3, 8, 20, 45))):
+        x, y = rng.choice((10, 52, 130.3, 210)) + rng.choice((0, 0, 0.7, 2, rng.random() * 90)), rng.randrange(9) * rng.choice((15, 20)) + rng.choice((0, 0, 0.9, 2.9))
+        own.append(Word(rng.choice(("a", "bb", "表 1", "Table", "x y", "TABLE7", "")), x, y, x + rng.choice((5, 9.1, 30)), y + rng.choice((10, 12, 17.3))))
+    for i in range(rng.choice((0, 0, 3, 6))):
+        x = 8.0 + i * 40 + rng.random() * rng.choice((0, 2))
+        steps = [(y, y + rng.choice((12, 18, 21))) for y in range(0, 180, 20)] if rng.random() < 0.3 else [(rng.choice((0, 5, 60)), rng.choice((100, 180, 200)))]
+        lines += [Word("", x, a, x + rng.choice((0, 0.5)), b) for a, b in steps]
+    lines += [Word("", rng.choice((8, 8, 48)), i * 20.0, rng.choice((90, 208, 250)), i * 20.0 + rng.choice((0, 1, 3))) for i in range(rng.choice((0, 0, 4, 10)))]
+    own += rng.choice(([], [], [], [Word("bad", 9, 0, 1, 1)], [Word(None, 5.0, 50.0, 9.0, 60.0)], [Word("none", None, 0, 1, 1)], [Word("-0", -0.0, 0, 5, 9)], [Word("far", 0, 0, math.inf, 9)]))
+    return own, lines
+
+
+def test_many_pages_at_once(spark, monkeypatch):
+    """Pages go through the strategies together, as arrays; what comes out is what each gives alone."""
+    rng = random.Random(4)
+    pages = [odd_page(rng) for _ in range(300)]
+    pages[0] = words(ROWS, 100.0, 1.0), [*rules(XS, [y - 99 for y in YS]), Word("", 158.0, 18.0, 158.0, 20.0)]
+    df = spark.createDataFrame([r for i, p in enumerate(pages) for r in page(i, 1, *p)], ELEMENTS).repartition(2)
+    place = lambda w: (w.top, w.x0, w.text is not None, w.text or "")
+    expected, number = [], lambda v: math.nan if v is None else float(v)
+    for i, (own, lines) in enumerate(pages):
+        own, lines = ([Word(w.text, *map(number, w[1:])) for w in e] for e in (own, lines))
+        expected += [(i, *r) for r in tl.by_strategies(sorted(own, key=place), lines)]
+    show = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[2], r[3] or 0))
+    alone = []
+    monkeypatch.setattr(tl, "PIECE", 2000)
+    got = show(tl.find_tables(df).collect())
+    assert repr([(i, *r) for i, _, *r in got]) == repr(sorted(expected, key=lambda r: (r[0], r[1], r[2] or 0))) and len(got) > 400
+    # pages without fault take no part in the page by page way
+    monkeypatch.setattr(tl, "by_strategies", lambda *a: alone.append(a) or [])
+    kind = pa.list_(pa.struct({"word": pa.bool_(), "text": pa.string(), **{c: pa.float64() for c in tl.PLACES}}))
+    good = pa.array([[{"word": True, **w._asdict()} for w in words(ROWS)] + [{"word": False, **w._asdict()} for w in rules(XS, YS)]] * 40, kind)
+    ((at, _),) = tl._piece(good, good.offsets.to_numpy())
+    assert not alone and sorted(set(at.tolist())) == list(range(40))
+
+
+def test_captions_come_with_the_tables(spark):
+    """A page's elements are gathered once: its caption lines are those of caption_lines, and no join brings them."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([r for i in range(200) for r in page(i, 1, *odd_page(rng))], ELEMENTS)
+    heights = df.select("doc_id", "page", (F.lit(100.0) + F.col("doc_id")).alias("height")).distinct()
+    bare = tl.find_with_captions(df).where("strategy = 2 and failed is null")
+    got = tl.captioned(bare, heights)
+    plain = bare.select("doc_id", "page", "table_no", "top", "bottom")
+    expected = near_caption(plain, tl.caption_lines(df), heights)
+    show = lambda rows: sorted(tuple(r) for r in rows.select("doc_id", "page", "table_no").collect())
+    assert show(got) == show(expected) and 10 < got.count() < bare.count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+    assert tl.extract_tables(df, heights)._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
