@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import excerpt, strip
+from quire.sources import shared
 
 PER_DOCUMENT = 3
 #: Vectors in a block of questions, and of chunks.
@@ -25,6 +26,8 @@ QUESTION_BLOCK, CHUNK_BLOCK = 512, 1024
 SENT_BLOCKS = 32
 #: Scores that a task turns into rows at a time.
 PIECE = 1 << 16
+#: Steps of equal width that scores are counted by where many of them are wanted.
+STEPS = 512
 
 # Texts of answers and prompts.
 NOTHING_INDEXED = "当前没有已完成向量入库的文档，跨文档问答暂时无法检索。请重新上传或重新解析文档后再试。"
@@ -56,13 +59,17 @@ def blocks(rows: DataFrame, names: list[str], vector: str, size: int) -> DataFra
     return own.mapInArrow(pack, ", ".join(f"{n} array<{k}>" for n, k in kinds) + ", dim int, matrix binary")
 
 
-def _meeting(index: DataFrame, questions: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """qid, doc_id, ord, score that work gives for the pairs of blocks of a partition: (the questions' hash, qids, doc_ids, ords, scores as a matrix)."""
-    asked = blocks(questions.select("qid", "q"), ["qid"], "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
+def _meeting(index: DataFrame, questions: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], more: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
+    """What work gives for the pairs of blocks of a partition: (the questions' hash, qids, doc_ids, ords, scores as a matrix, more columns of the questions).
+
+    out: its columns, if they aren't qid, doc_id, ord and score.
+    """
+    names = ["qid", *more]
+    asked = blocks(questions.select(*names, "q"), names, "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
     held = blocks(index.select("doc_id", "ord", "embedding"), ["doc_id", "ord"], "embedding", CHUNK_BLOCK)
     n = -(-questions.count() // QUESTION_BLOCK)
     # the same questions in as few blocks as they fill
-    asked = asked if n <= 1 else blocks(questions.repartition(n).select("qid", "q"), ["qid"], "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
+    asked = asked if n <= 1 else blocks(questions.repartition(n).select(*names, "q"), names, "q", QUESTION_BLOCK).withColumnRenamed("matrix", "asked")
     asked = F.broadcast(asked) if n <= SENT_BLOCKS else asked.repartition(-(-n // SENT_BLOCKS)).hint("shuffle_replicate_nl")
     both = held.crossJoin(asked.withColumnRenamed("dim", "_dim")).where("dim = _dim")
     kinds = {**dict(questions.select("qid").dtypes), **dict(index.select("doc_id", "ord").dtypes)}
@@ -76,20 +83,22 @@ def _meeting(index: DataFrame, questions: DataFrame, work: Callable[[Iterator[tu
                     q, v = (np.frombuffer(b.column(c)[i].as_buffer()).reshape(-1, dim) for c in ("asked", "matrix"))
                     scaled = (q @ v.T) * 1e6
                     same = hash(b.column("asked")[i].as_buffer().to_pybytes())
-                    yield same, cell("qid"), cell("doc_id"), cell("ord"), np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6 + 0.0
+                    yield same, cell("qid"), cell("doc_id"), cell("ord"), np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6 + 0.0, *map(cell, more)
 
         for found in work(pairs()):
-            yield pa.RecordBatch.from_arrays(list(found), names=["qid", "doc_id", "ord", "score"])
+            yield pa.RecordBatch.from_arrays(list(found), names=columns)
 
-    return both.mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, score double")
+    out = out or f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, score double"
+    columns = [c.split()[0] for c in out.split(", ")]
+    return both.mapInArrow(run, out)
 
 
 def _parts(pairs: Iterator[tuple]) -> Iterator[tuple]:
     """Pairs of blocks by so many questions that a part has PIECE scores, or one question."""
-    for same, qids, docs, ords, scores in pairs:
+    for same, qids, docs, ords, scores, *more in pairs:
         step = max(1, PIECE // max(1, scores.shape[1]))
         for i in range(0, len(scores), step):
-            yield same, qids[i : i + step], docs, ords, scores[i : i + step]
+            yield same, qids[i : i + step], docs, ords, scores[i : i + step], *(c[i : i + step] for c in more)
 
 
 def score(index: DataFrame, questions: DataFrame) -> DataFrame:
@@ -182,6 +191,51 @@ def top(index: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     return _ranked(candidates(index, questions, k), k, "qid")
 
 
+def best(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, ord, score of the k best chunks of each question, the rows of top without their ranks.
+
+    Scores are counted by steps first, which says in which step each question's k-th is. Rows of the steps above need no
+    ranking and aren't shuffled; those of that step alone are ranked.
+    """
+    norm = lambda df, c: df.select(F.sqrt(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)).alias("n")).where(F.col("n") < float("inf")).agg(F.max("n")).first()[0]
+    reach = (norm(index, "embedding") or 0.0) * (norm(questions, "q") or 0.0)
+
+    def step(scores: np.ndarray) -> np.ndarray:
+        """Higher scores are in the same or a higher step."""
+        at = np.floor((scores / reach + 1) * (STEPS / 2)) if reach else np.zeros(scores.shape)
+        return np.clip(np.nan_to_num(at, nan=np.inf, posinf=STEPS), 0, STEPS - 1).astype(np.int64)
+
+    def counts(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        state: dict[tuple, tuple[pa.Array, np.ndarray]] = {}
+        for same, qids, _, _, scores in pairs:
+            _, own = state.setdefault((same, tuple(qids.to_pylist())), (qids, np.zeros((len(qids), STEPS), np.int64)))
+            own += np.bincount((np.arange(len(qids))[:, None] * STEPS + step(scores)).ravel(), minlength=own.size).reshape(own.shape)
+        for qids, own in state.values():
+            q, at = np.nonzero(own)
+            yield qids.take(pa.array(q)), pa.array(at), pa.array(own[q, at])
+
+    def rows(last: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        def own(pairs: Iterator[tuple]) -> Iterator[tuple]:
+            for _, qids, docs, ords, scores, edge in _parts(pairs):
+                at, edge = step(scores), edge.to_numpy()[:, None]
+                q, c = np.nonzero(at == edge if last else at > edge)
+                yield qids.take(pa.array(q)), docs.take(pa.array(c)), ords.take(pa.array(c)), pa.array(scores[q, c])
+
+        return own
+
+    per_step = _meeting(index, questions, counts, out=f"qid {dict(questions.dtypes)['qid']}, step long, n long").groupBy("qid", "step").agg(F.sum("n").alias("n"))
+    upward = Window.partitionBy("qid").orderBy(F.desc("step"))
+    so_far = per_step.withColumn("above", F.sum("n").over(upward.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    edges = so_far.where((F.col("above") < k) & (F.col("above") + F.col("n") > k)).select("qid", F.col("step").alias("edge"), (k - F.col("above")).alias("left"))
+    # no edge: all of a question's chunks are among its best, or the k-th is the last of its step
+    full = so_far.where(F.col("above") + F.col("n") <= k).groupBy("qid").agg((F.min("step") - 1).alias("below"))
+    edges = shared.kept(full.join(edges, "qid", "full").select("qid", F.coalesce("edge", "below").alias("edge"), F.coalesce("left", F.lit(0)).alias("left")), "edges")
+    asked = questions.join(edges, "qid")
+    sure, tied = (_meeting(index, asked, rows(last), ("edge",)) for last in (False, True))
+    ranked = tied.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "ord")))
+    return sure.unionByName(ranked.join(edges, "qid").where("rank <= left").drop("rank", "edge", "left"))
+
+
 def top_in_document(index: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """The k best chunks of each question and document, with rank from 1."""
 

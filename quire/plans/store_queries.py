@@ -194,7 +194,7 @@ query("o04_topk", f"with {V} select qid, rank, ord, score from (select *, row_nu
 query("w07_top_per_document", f"with {V} select qid, doc_id, rank, ord from (select *, row_number() over (partition by qid, doc_id order by score desc, ord)::integer rank from s) where rank <= 3")(lambda t: retrieve.top_in_document(index(t), questions(t), 3).select("qid", "doc_id", "rank", "ord"))
 TWO_STAGE = f"{V}, r as (select *, row_number() over (partition by qid, doc_id order by score desc, ord) k from s), f as (select *, row_number() over (partition by qid order by score desc, doc_id, k)::integer rank from r where k <= 3)"
 query("o05_two_stage_topk", f"with {TWO_STAGE} select qid, rank, doc_id, ord, score from f where rank <= 5")(lambda t: retrieve.top_across(index(t), questions(t)).select("qid", "rank", "doc_id", "ord", "score"))
-query("f30_short_results", f"with {V} select qid, least(count(*), 100000) as n from s group by 1")(lambda t: retrieve.top(index(t), questions(t), 100000).groupBy("qid").agg(F.count("*").alias("n")))
+query("f30_short_results", f"with {V} select qid, least(count(*), 100000) as n from s group by 1")(lambda t: retrieve.best(index(t), questions(t), 100000).groupBy("qid").agg(F.count("*").alias("n")))
 hits = lambda t: retrieve.top_across(index(t), questions(t)).withColumns({"content": F.concat(F.lit(" chunk "), F.col("ord").cast("string")), "doc_name": retrieve.document_label(F.col("doc_id"), F.create_map(F.lit("0"), F.lit("zero.pdf"), F.lit("1"), F.lit(" ")))})
 LABEL = "case when doc_id = 0 then 'zero.pdf' else doc_id::varchar end"
 query("j05_document_labels", f"with {TWO_STAGE} select qid, rank, {LABEL} as doc_name from f where rank <= 5")(lambda t: hits(t).select("qid", "rank", "doc_name"))

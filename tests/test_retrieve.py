@@ -1,5 +1,6 @@
 """Retrieval against all scores worked out one by one."""
 
+import math
 import random
 
 import pytest
@@ -95,3 +96,27 @@ def test_a_large_k_is_not_remembered_by_a_task(spark, monkeypatch):
     assert [show(f(index, questions, 12)) for f in (retrieve.top, retrieve.top_across)] == small
     sizes = [s.shape for *_, s in retrieve._parts(iter([(0, list(range(9)), [], [], np.zeros((9, 8)))]))]
     assert sizes == [(2, 8)] * 4 + [(1, 8)]
+
+
+@pytest.mark.parametrize("k", [1, 7, 60, 399, 400, 10_000])
+@pytest.mark.parametrize("steps", [1, 8, 512])
+def test_best_are_the_rows_of_top(made, monkeypatch, k, steps):
+    """Ties and steps that hold the k-th and more: the same rows, without ranks."""
+    monkeypatch.setattr(retrieve, "STEPS", steps)
+    chunks, asked, index, questions = made
+    got = {}
+    for r in retrieve.best(index, questions, k).collect():
+        got.setdefault(r["qid"], []).append((-r["score"], r["doc_id"], r["ord"]))
+    expected = {q: [(-s, d, o) for _, d, o, s in rows] for q, rows in brute(chunks, asked, k).items()}
+    assert {q: sorted((s + 0.0, d, o) for s, d, o in rows) for q, rows in got.items()} == {q: sorted((s + 0.0, d, o) for s, d, o in rows) for q, rows in expected.items()}
+
+
+def test_best_shuffles_one_step(spark):
+    """Rows that are surely among the best aren't shuffled."""
+    vectors = [[math.cos(i), math.sin(i)] for i in range(2000)]
+    index = spark.createDataFrame([(i % 7, i, v) for i, v in enumerate(vectors)], "doc_id int, ord int, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:9])], "qid int, q array<double>")
+    found = retrieve.best(index, questions, 1500)
+    assert {r["n"] for r in found.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {1500}
+    sure, ranked = found._jdf.queryExecution().optimizedPlan().children().apply(0), found._jdf.queryExecution().optimizedPlan().children().apply(1)
+    assert "Window" not in sure.toString() and "Window" in ranked.toString()
