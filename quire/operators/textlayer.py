@@ -297,9 +297,14 @@ def find_tables(elements: DataFrame) -> DataFrame:
 
 def find_with_captions(elements: DataFrame) -> DataFrame:
     """What find_tables gives, and captions: with a table of text edges alone, its page's lines (text, top, bottom) as caption_lines has them."""
-    e = F.struct((F.col("kind") == "word").alias("word"), F.col("text").alias("text"), *(F.col(c).cast("double").alias(c) for c in PLACES))
-    pages = elements.groupBy("doc_id", "page").agg(F.collect_list(e).alias("e"))
-    kinds = dict(elements.dtypes)
+    e = F.struct("kind", "text", *(F.col(c).cast("double").alias(c) for c in PLACES))
+    return find_in_pages(elements.groupBy("doc_id", "page").agg(F.collect_list(e).alias("elements")))
+
+
+def find_in_pages(pages: DataFrame) -> DataFrame:
+    """find_with_captions of pages that are rows already: doc_id, page and elements, an array of (kind, text, x0, top, x1, bottom), the places as doubles."""
+    pages = pages.select("doc_id", "page", F.col("elements").alias("e"))
+    kinds = dict(pages.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +327,7 @@ def find_with_captions(elements: DataFrame) -> DataFrame:
 def _piece(pages: pa.ListArray, ends: np.ndarray) -> Iterator[tuple[np.ndarray | list[int], list[pa.Array]]]:
     """Pages of the rows found, and the rows' columns."""
     values, n = pages.flatten(), len(ends) - 1
-    word = values.field("word").fill_null(False).to_numpy(zero_copy_only=False)
+    word = pc.equal(values.field("kind"), "word").fill_null(False).to_numpy(zero_copy_only=False)
     places = np.stack([values.field(c).to_numpy(zero_copy_only=False) for c in PLACES])
     page = np.repeat(np.arange(n), np.diff(ends))
     x0, top, x1, bottom = places
@@ -353,7 +358,7 @@ def _piece(pages: pa.ListArray, ends: np.ndarray) -> Iterator[tuple[np.ndarray |
 def _elements(values: pa.StructArray) -> Iterator[tuple[Word, bool]]:
     """A page's elements, and whether they are words."""
     numbers = (values.field(c).to_numpy(zero_copy_only=False).tolist() for c in PLACES)
-    return zip(map(Word, values.field("text").to_pylist(), *numbers), values.field("word").to_pylist(), strict=True)
+    return zip(map(Word, values.field("text").to_pylist(), *numbers), pc.equal(values.field("kind"), "word").to_pylist(), strict=True)
 
 
 def said_lines(words: list[Word]) -> list[dict]:
@@ -567,8 +572,8 @@ def _captions(pages: int, page: np.ndarray, places: np.ndarray, texts_: pa.Array
 
 
 def kept_found(elements: DataFrame) -> DataFrame:
-    """What find_with_captions gives, written once to the shared folder: it is read in several places."""
-    return kept(find_with_captions(elements), "found")
+    """What find_with_captions gives, written once to the shared folder: it is read in several places. elements may be pages, as find_in_pages takes them."""
+    return kept((find_in_pages if "elements" in elements.columns else find_with_captions)(elements), "found")
 
 
 def failures(found: DataFrame) -> DataFrame:
@@ -591,12 +596,12 @@ def caption_lines(elements: DataFrame) -> DataFrame:
     return text_lines(elements.join(said, ["doc_id", "page"], "left_semi"))
 
 
-def extract_tables(elements: DataFrame, heights: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def extract_tables(elements: DataFrame | None, heights: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id and the tables of each page: id, page, title, markdown, html, rows, source 'pdf'; numbered within the page.
 
     elements as find_tables takes them, heights (doc_id, page, height). Of what the strategies find only probable tables
     count; one of text edges alone needs a caption near it, and of equal ones the first strategy's is kept. found: what
-    kept_found has given, if it is there already.
+    kept_found, find_with_captions or find_in_pages has given, if it is there already; elements aren't read then.
     """
     found = find_with_captions(elements) if found is None else found
     good = tb.probable(captioned(found.where("failed is null"), heights))

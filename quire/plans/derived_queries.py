@@ -135,7 +135,7 @@ query("u01_merged_tables_of_orders", f"select l_orderkey doc_id, 'pdf-0' id, str
 
 
 def by_strategy(t) -> DataFrame:
-    found = textlayer.find_tables(textlayer_queries.elements(t))
+    found = textlayer.find_in_pages(textlayer_queries.laid_out(t))
     return found.where("failed is null").select("doc_id", "strategy").distinct()
 
 
@@ -152,7 +152,7 @@ query("f23_captions_wanted", f"select l_orderkey doc_id, 1::bigint n, len(any_va
 
 
 def captioned(t) -> DataFrame:
-    bare = textlayer.find_with_captions(textlayer_queries.elements(t)).where("strategy = 2 and failed is null")
+    bare = textlayer.find_in_pages(textlayer_queries.laid_out(t)).where("strategy = 2 and failed is null")
     return textlayer.captioned(bare, textlayer_queries.heights(t)).select("doc_id")
 
 

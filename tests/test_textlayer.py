@@ -181,8 +181,8 @@ def test_many_pages_at_once(spark, monkeypatch):
     assert repr([(i, *r) for i, _, *r in got]) == repr(sorted(expected, key=lambda r: (r[0], r[1], r[2] or 0))) and len(got) > 400
     # pages without fault take no part in the page by page way
     monkeypatch.setattr(tl, "by_strategies", lambda *a: alone.append(a) or [])
-    kind = pa.list_(pa.struct({"word": pa.bool_(), "text": pa.string(), **{c: pa.float64() for c in tl.PLACES}}))
-    good = pa.array([[{"word": True, **w._asdict()} for w in words(ROWS)] + [{"word": False, **w._asdict()} for w in rules(XS, YS)]] * 40, kind)
+    kind = pa.list_(pa.struct({"kind": pa.string(), "text": pa.string(), **{c: pa.float64() for c in tl.PLACES}}))
+    good = pa.array([[{"kind": "word", **w._asdict()} for w in words(ROWS)] + [{"kind": "line", **w._asdict()} for w in rules(XS, YS)]] * 40, kind)
     ((at, _),) = tl._piece(good, good.offsets.to_numpy())
     assert not alone and sorted(set(at.tolist())) == list(range(40))
 
@@ -200,3 +200,15 @@ def test_captions_come_with_the_tables(spark):
     assert show(got) == show(expected) and 10 < got.count() < bare.count()
     assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
     assert tl.extract_tables(df, heights)._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+
+
+def test_pages_that_are_rows_already(spark, data):
+    """Pages laid out as rows aren't taken apart and gathered again; what comes out is that of their elements."""
+    from quire.plans import textlayer_queries
+    from quire.plans.registry import Tables
+
+    pages = textlayer_queries.laid_out(Tables(spark, data), bad=True)
+    whole = tl.find_in_pages(pages)
+    elements = pages.select("doc_id", "page", F.inline("elements"))
+    show = lambda df: sorted(map(repr, df.collect()))
+    assert show(whole) == show(tl.find_with_captions(elements)) and "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
